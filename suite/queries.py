@@ -507,8 +507,11 @@ def rank_clustering(spark, sf):
 
 @query
 def model_warnings(spark, sf):
-    row, balance = _classified(spark, sf)
-    return recommend.model_warnings(row, "classification", "toxic", balance)
+    df = load(spark, sf, "orders").select(
+        "o_orderpriority", "o_totalprice", F.when(F.col("o_totalprice") > 490000, "yes").otherwise("no").alias("rare"))
+    balance = frequency.class_balance(df, ["rare"])
+    row = recommend.signals(facts.column_facts(df), "rare", balance)
+    return recommend.model_warnings(row, "classification", "rare", balance)
 
 
 @query
