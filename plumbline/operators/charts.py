@@ -14,7 +14,7 @@ from plumbline.functions.scalars import one_place, safe_name, strength_words, tw
 from plumbline.operators.columns import ColumnInfo, columns_of
 from plumbline.operators.correlation import corr_pairs, top_pairs
 from plumbline.operators.frequency import value_frequencies
-from plumbline.operators.quantiles import exact_quantiles
+from plumbline.operators.quantiles import column_quantiles
 from plumbline.session import small_table
 
 
@@ -86,14 +86,11 @@ def histogram_specs(df: DataFrame, facts: DataFrame, log_scale: bool | None = No
         wide = axis.agg(*[
             f(F.col(f"x{i}")).alias(f"{k}{i}") for i in range(len(logged))
             for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-        extents = small_table(
-            spark, [(i, wide[f"n{i}"], wide[f"lo{i}"], wide[f"hi{i}"]) for i in range(len(logged))],
-            "ordinal int, n bigint, min double, max double")
-        found = {r["ordinal"]: r for r in exact_quantiles(axis, columns_of(axis), (0.25, 0.75), extents).collect()}
+        extents = {i: (wide[f"n{i}"], wide[f"lo{i}"], wide[f"hi{i}"]) for i in range(len(logged))}
+        found = column_quantiles(axis, columns_of(axis), (0.25, 0.75), extents)
         for i, (c, skew) in enumerate(logged):
             if i in found:
-                rows.append((c.ordinal, c.name, True, wide[f"n{i}"], wide[f"lo{i}"], wide[f"hi{i}"],
-                             found[i]["p0"], found[i]["p1"], skew))
+                rows.append((c.ordinal, c.name, True, *extents[i], *found[i], skew))
     table = small_table(
         spark, rows,
         "ordinal int, column string, log_scale boolean, n bigint, lo double, hi double, q1 double, q3 double, skew double")

@@ -18,9 +18,9 @@ from plumbline.functions import vocab
 from plumbline.operators.columns import BOOLEAN, DATETIME, NUMERIC, UNSUPPORTED, ColumnInfo, columns_of, ref
 from plumbline.operators.correlation import leakage_flags
 from plumbline.operators.duplicates import drop_duplicate_rows
-from plumbline.operators.facts import _moments, value_counts
+from plumbline.operators.facts import value_counts
 from plumbline.operators.frequency import typed_modes
-from plumbline.operators.quantiles import exact_quantiles
+from plumbline.operators.quantiles import column_quantiles
 from plumbline.plans.cleaning_plan import DUPLICATES, ENCODING, MISSING, OUTLIERS, Step, plan_steps
 from plumbline.session import cut_lineage, small_table
 
@@ -90,28 +90,28 @@ def clipped(c: ColumnInfo, low: float, high: float) -> Column:
 # --- statistics passes --------------------------------------------------------
 
 
-def _extents(df: DataFrame, cols: Sequence[ColumnInfo]) -> DataFrame:
-    rows = _moments(df, cols, None).select("ordinal", "n", "min", "max").collect()
-    return small_table(df.sparkSession, [r.asDict() for r in rows], "ordinal int, n bigint, min double, max double")
+def _extents(df: DataFrame, cols: Sequence[ColumnInfo]) -> dict[int, tuple]:
+    row = df.agg(*[
+        f(c.number).alias(f"{k}{c.ordinal}") for c in cols for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))
+    ]).first()
+    return {c.ordinal: tuple(row[f"{k}{c.ordinal}"] for k in ("n", "lo", "hi")) for c in cols}
+
+
+def _quantiles(df: DataFrame, cols: Sequence[ColumnInfo], probs: Sequence[float]) -> dict[str, list[float]]:
+    if not cols:
+        return {}
+    found = column_quantiles(df, cols, probs, _extents(df, cols))
+    return {c.name: found[c.ordinal] for c in cols if c.ordinal in found}
 
 
 def iqr_fences(df: DataFrame, cols: Sequence[ColumnInfo]) -> dict[str, tuple[float, float]]:
     """IQR fences per column with data."""
-    names = {c.ordinal: c.name for c in cols}
-    found = exact_quantiles(df, cols, (0.25, 0.75), _extents(df, cols)).collect()
-    out = {}
-    for r in found:
-        reach = 1.5 * (r["p1"] - r["p0"])
-        out[names[r["ordinal"]]] = (r["p0"] - reach, r["p1"] + reach)
-    return out
+    return {
+        name: (a - 1.5 * (b - a), b + 1.5 * (b - a)) for name, (a, b) in _quantiles(df, cols, (0.25, 0.75)).items()}
 
 
 def _medians(df: DataFrame, cols: Sequence[ColumnInfo]) -> dict[str, float]:
-    if not cols:
-        return {}
-    names = {c.ordinal: c.name for c in cols}
-    found = exact_quantiles(df, cols, (0.5,), _extents(df, cols)).collect()
-    return {names[r["ordinal"]]: r["p0"] for r in found}
+    return {name: q[0] for name, q in _quantiles(df, cols, (0.5,)).items()}
 
 
 def _filled(c: ColumnInfo, fill: object) -> Column:

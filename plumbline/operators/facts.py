@@ -7,7 +7,7 @@ for values outside the IQR fences.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +16,8 @@ from plumbline.functions.scalars import fact, is_whole
 from plumbline.operators.columns import (
     BOOLEAN, DATETIME, NUMERIC, UNSUPPORTED, ColumnInfo, columns_of, slice_key,
 )
-from plumbline.operators.quantiles import exact_quantiles, long_numbers
-from plumbline.session import cut_lineage, small_table
+from plumbline.operators.quantiles import column_quantiles, long_numbers, sliced_quantiles
+from plumbline.session import cut_lineage, small_table, together
 
 BATCH = 16
 _FACTS = (
@@ -127,26 +127,62 @@ def _approx_quantiles(df: DataFrame, cols: Sequence[ColumnInfo], by: str | None)
     return wide.select(*(["slice"] if by else []), F.inline(F.array(*packed)))
 
 
-def outlier_counts(df: DataFrame, cols: Sequence[ColumnInfo], fences: DataFrame, by: str | None = None) -> DataFrame:
-    """(slice?, ordinal, outliers): values strictly outside [lower, upper]."""
-    if by:
-        index = small_table(df.sparkSession, [(c.ordinal, i) for i, c in enumerate(cols)], "ordinal int, pos int")
-        bounds = fences.join(F.broadcast(index), "ordinal").select("slice", "pos", "ordinal", "lower", "upper")
-        outside = (F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper"))
-        return (
-            long_numbers(df, cols, by).join(bounds, ["slice", "pos"])
-            .groupBy("slice", "ordinal").agg(F.sum(outside.cast("bigint")).alias("outliers"))
-        )
-    limits = {r["ordinal"]: (r["lower"], r["upper"]) for r in fences.select("ordinal", "lower", "upper").collect()}
-    kept = [c for c in cols if c.ordinal in limits]
+def outlier_counts(df: DataFrame, cols: Sequence[ColumnInfo], fences: Mapping[int, tuple[float, float]]) -> dict[int, int]:
+    """Values strictly outside [lower, upper] per ordinal, in one conditional count."""
+    kept = [c for c in cols if c.ordinal in fences]
     if not kept:
-        return small_table(df.sparkSession, [], "ordinal int, outliers bigint")
-    wide = df.agg(*[
-        F.count(F.when((c.number < limits[c.ordinal][0]) | (c.number > limits[c.ordinal][1]), 1)).alias(f"o{c.ordinal}")
+        return {}
+    row = df.agg(*[
+        F.count(F.when((c.number < fences[c.ordinal][0]) | (c.number > fences[c.ordinal][1]), 1)).alias(f"o{c.ordinal}")
         for c in kept
-    ])
-    packed = [F.struct(F.lit(c.ordinal).alias("ordinal"), F.col(f"o{c.ordinal}").alias("outliers")) for c in kept]
-    return wide.select(F.inline(F.array(*packed)))
+    ]).first()
+    return {c.ordinal: row[f"o{c.ordinal}"] for c in kept}
+
+
+def sliced_outlier_counts(df: DataFrame, cols: Sequence[ColumnInfo], fences: DataFrame, by: str) -> DataFrame:
+    """(slice, ordinal, outliers) from fences (slice, ordinal, lower, upper)."""
+    index = small_table(df.sparkSession, [(c.ordinal, i) for i, c in enumerate(cols)], "ordinal int, pos int")
+    bounds = fences.join(F.broadcast(index), "ordinal").select("slice", "pos", "ordinal", "lower", "upper")
+    outside = (F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper"))
+    return (
+        long_numbers(df, cols, by).join(bounds, ["slice", "pos"])
+        .groupBy("slice", "ordinal").agg(F.sum(outside.cast("bigint")).alias("outliers"))
+    )
+
+
+def _role(c: ColumnInfo, date_columns: Sequence[str]) -> str:
+    if c.kind in (NUMERIC, UNSUPPORTED):
+        return c.kind
+    return "datetime" if c.kind == DATETIME or c.name in date_columns else "categorical"
+
+
+def _sliced_facts(df: DataFrame, by: str, approx: bool, distinct: bool, quantiles: bool, labels: DataFrame) -> DataFrame:
+    cols = columns_of(df, by)
+    numeric = [c for c in cols if c.kind == NUMERIC]
+    keys = ["slice", "ordinal"]
+    out = basic_facts(df, by)
+    if distinct and any(c.kind != UNSUPPORTED for c in cols):
+        out = out.join(distinct_counts(df, cols, by, approx), keys, "left")
+        out = out.withColumn("nunique", F.coalesce("nunique", F.when(F.col("n") == 0, 0)))
+    else:
+        out = out.withColumn("nunique", F.lit(None).cast("bigint"))
+    if quantiles and numeric:
+        out = cut_lineage(out)
+        found = _approx_quantiles(df, numeric, by) if approx else sliced_quantiles(
+            df, numeric, (0.25, 0.5, 0.75), out, by)
+        out = out.join(found, keys, "left").withColumnsRenamed({"p0": "q1", "p1": "median", "p2": "q3"})
+        reach = 1.5 * (F.col("q3") - F.col("q1"))
+        eligible = F.col("nunique") > 2 if distinct else F.col("q1").isNotNull()
+        out = cut_lineage(
+            out.withColumn("lower", F.when(eligible, F.col("q1") - reach))
+            .withColumn("upper", F.when(eligible, F.col("q3") + reach)))
+        out = out.join(sliced_outlier_counts(df, numeric, out.where(F.col("lower").isNotNull()), by), keys, "left")
+    else:
+        null = F.lit(None).cast("double")
+        out = out.withColumns({k: null for k in ("q1", "median", "q3", "lower", "upper")})
+        out = out.withColumn("outliers", F.lit(None).cast("bigint"))
+    out = out.join(F.broadcast(labels), "ordinal").withColumn("n_null", F.col("rows") - F.col("n"))
+    return out.select("slice", *[f.strip().split(" ")[0] for f in _FACTS.split(",")])
 
 
 def column_facts(
@@ -159,62 +195,50 @@ def column_facts(
 ) -> DataFrame:
     """All facts of ``df``, per slice of ``by`` when given.
 
-    Without ``by`` the result has one row per column and is held by the driver;
+    Without ``by`` the result has one row per column and is computed at once;
     with ``by`` it stays a distributed table. ``mode="approx"`` swaps distinct
     counts and quantiles for bounded sketches.
     """
     cols = columns_of(df, by)
     numeric = [c for c in cols if c.kind == NUMERIC]
-    keys = (["slice"] if by else []) + ["ordinal"]
-    spark = df.sparkSession
-
-    def role(c: ColumnInfo) -> str:
-        if c.kind in (NUMERIC, UNSUPPORTED):
-            return c.kind
-        return "datetime" if c.kind == DATETIME or c.name in date_columns else "categorical"
-
-    labels = small_table(
-        spark,
-        [(c.ordinal, c.name, c.dtype.simpleString(), role(c), c.kind in (NUMERIC, BOOLEAN)) for c in cols],
-        "ordinal int, column string, dtype string, role string, is_numeric boolean",
-    )
-
-    def hold(part: DataFrame) -> DataFrame:
-        """Compute a per-column result once: on the driver (one row per column), or written out per slice."""
-        if by:
-            return cut_lineage(part)
-        ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in part.schema.fields)
-        return small_table(spark, [r.asDict() for r in part.collect()], ddl)
+    spark, approx = df.sparkSession, mode == "approx"
+    rows = {
+        c.ordinal: {
+            "ordinal": c.ordinal, "column": c.name, "dtype": c.dtype.simpleString(), "role": _role(c, date_columns),
+            "is_numeric": c.kind in (NUMERIC, BOOLEAN)}
+        for c in cols
+    }
+    if by:
+        labels = small_table(
+            spark, rows.values(), "ordinal int, column string, dtype string, role string, is_numeric boolean")
+        return _sliced_facts(df, by, approx, distinct, quantiles, labels)
 
-    out = hold(basic_facts(df, by))
-    if distinct and any(c.kind != UNSUPPORTED for c in cols):
-        out = out.join(hold(distinct_counts(df, cols, by, approx=mode == "approx")), keys, "left")
-        out = out.withColumn("nunique", F.coalesce("nunique", F.when(F.col("n") == 0, 0)))
-    else:
-        out = out.withColumn("nunique", F.lit(None).cast("bigint"))
+    usable = [c for c in cols if c.kind != UNSUPPORTED]
+    counting = [lambda: distinct_counts(df, usable, None, approx).collect()] if distinct and usable else []
+    basic, *counted = together(lambda: basic_facts(df).collect(), *counting)
+    for r in basic:
+        rows[r["ordinal"]].update(r.asDict(), n_null=r["rows"] - r["n"])
+    if counting:
+        for c in usable:
+            rows[c.ordinal]["nunique"] = 0
+        for r in counted[0]:
+            rows[r["ordinal"]]["nunique"] = r["nunique"]
     if quantiles and numeric:
-        if mode == "approx":
-            found = _approx_quantiles(df, numeric, by)
+        if approx:
+            found = {r["ordinal"]: [r["p0"], r["p1"], r["p2"]] for r in _approx_quantiles(df, numeric, None).collect()
+                     if r["p0"] is not None}
         else:
-            found = exact_quantiles(df, numeric, (0.25, 0.5, 0.75), out, by)
-        out = out.join(hold(found), keys, "left")
-        reach = 1.5 * (F.col("p2") - F.col("p0"))
-        eligible = F.col("nunique") > 2 if distinct else F.col("p0").isNotNull()
-        out = (
-            out.withColumn("lower", F.when(eligible, F.col("p0") - reach))
-            .withColumn("upper", F.when(eligible, F.col("p2") + reach))
-        )
-        fences = out.where(F.col("lower").isNotNull())
-        out = out.join(hold(outlier_counts(df, numeric, fences, by)), keys, "left")
-        out = out.withColumnsRenamed({"p0": "q1", "p1": "median", "p2": "q3"})
-    else:
-        null = F.lit(None).cast("double")
-        out = out.withColumns({k: null for k in ("q1", "median", "q3", "lower", "upper")})
-        out = out.withColumn("outliers", F.lit(None).cast("bigint"))
-    out = out.join(F.broadcast(labels), "ordinal").withColumn("n_null", F.col("rows") - F.col("n"))
-    fields = [f.strip().split(" ")[0] for f in _FACTS.split(",")]
-    out = out.select(*keys[:-1], *fields)
-    return out if by else hold(out)
+            extents = {c.ordinal: tuple(rows[c.ordinal][k] for k in ("n", "min", "max")) for c in numeric}
+            found = column_quantiles(df, numeric, (0.25, 0.5, 0.75), extents)
+        fences = {}
+        for i, (q1, median, q3) in found.items():
+            rows[i].update(q1=q1, median=median, q3=q3)
+            if not counting or rows[i]["nunique"] > 2:
+                fences[i] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+                rows[i].update(lower=fences[i][0], upper=fences[i][1])
+        for i, n in outlier_counts(df, numeric, fences).items():
+            rows[i]["outliers"] = n
+    return small_table(spark, rows.values(), _FACTS)
 
 
 # --- views over the facts ----------------------------------------------------

@@ -11,7 +11,9 @@ round, so the precision of a double bounds the rounds.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from plumbline.operators.columns import ColumnInfo, slice_key
 from plumbline.session import cut_lineage, small_table
 
+Extent = tuple[int, float, float]
+
 BINS = 4096
 SORT_LIMIT = 200_000
 MAX_ROUNDS = 6
@@ -42,74 +46,95 @@ def _bin(v: Column, lo: Column, hi: Column) -> Column:
     return F.least(F.floor((_clamp(v) - _clamp(lo)) / width * BINS).cast("int"), F.lit(BINS - 1))
 
 
-def order_statistics(
-    long: DataFrame, wanted: DataFrame, keys: list[str], bounded: bool, sort_limit: int = SORT_LIMIT
-) -> DataFrame:
-    """Values at the 0-based ranks ``k`` of each group.
-
-    ``wanted`` has keys, k, lo, hi (the group's extremes) and inside (its row
-    count). ``bounded`` says that the number of groups is bounded by the schema,
-    so that the search state fits the driver and may be broadcast.
-    """
-    spark = long.sparkSession
-    state = wanted.withColumn("below", F.lit(0).cast("bigint"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema.fields)
+def _rank_of(p: float, n: int) -> tuple[int, int, float]:
+    spot = p * (n - 1)
+    low = math.floor(spot)
+    return low, min(low + 1, n - 1), spot - low
+
+
+@dataclass(frozen=True)
+class _Hunt:
+    """Search for the value at rank k of one column, now known to lie in [lo, hi]."""
+
+    pos: int
+    k: int
+    lo: float
+    hi: float
+    below: int
+    inside: int
+
+    @property
+    def range(self) -> tuple[int, float, float]:
+        return self.pos, self.lo, self.hi
+
+
+def _scan_ranges(df: DataFrame, cols: Sequence[ColumnInfo], hunts: Sequence[_Hunt], binned: bool) -> list[_Hunt]:
+    """One pass over all ranges: the bin (or the value) that holds each wanted rank."""
+    ranges = sorted({h.range for h in hunts})
+    cells = F.array(*[
+        F.when(cols[pos].number.between(F.lit(lo), F.lit(hi)), cols[pos].number) for pos, lo, hi in ranges])
+    rows = df.select(F.posexplode(cells).alias("at", "v")).where(F.col("v").isNotNull())
+
+    def per_range(values: Sequence) -> Column:
+        return F.get(F.array(*[F.lit(x) for x in values]), F.col("at"))
+
+    if binned:
+        lo, hi = per_range([r[1] for r in ranges]), per_range([r[2] for r in ranges])
+        group = _bin(F.col("v"), lo, hi).alias("bin")
+    else:
+        group = F.col("v").alias("bin")
+    order = Window.partitionBy("at").orderBy("bin")
+    ranks = F.get(
+        F.array(*[F.array(*[F.lit(h.k - h.below) for h in hunts if h.range == r]) for r in ranges]), F.col("at"))
+    hits = (
+        rows.groupBy("at", group)
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        .withColumn("upto", F.sum("n").over(order))
+        .where(F.exists(ranks, lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("n"))))
+        .collect()
+    )
+    out = []
+    for h in hunts:
+        rank = h.k - h.below
+        hit = next(b for b in hits if ranges[b["at"]] == h.range and b["upto"] - b["n"] <= rank < b["upto"])
+        out.append(_Hunt(h.pos, h.k, hit["lo"], hit["hi"], h.below + hit["upto"] - hit["n"], hit["n"]))
+    return out
 
-    def settle(s: DataFrame) -> tuple[DataFrame, bool]:
-        """The search state, held, and whether a range is still too wide to sort."""
-        if bounded:
-            rows = [r.asDict() for r in s.collect()]
-            return small_table(spark, rows, schema), any(
-                r["inside"] > sort_limit and r["lo"] < r["hi"] for r in rows)
-        held = cut_lineage(s)
-        return held, not held.where(wide).isEmpty()
 
-    def attach(s: DataFrame) -> DataFrame:
-        ranges = s.select(*keys, "lo", "hi").distinct()
-        joined = long.join(F.broadcast(ranges) if bounded else ranges, keys)
-        return joined.where(F.col("v").between(F.col("lo"), F.col("hi")))
+def column_quantiles(
+    df: DataFrame,
+    cols: Sequence[ColumnInfo],
+    probs: Sequence[float],
+    extents: Mapping[int, Extent],
+    sort_limit: int = SORT_LIMIT,
+) -> dict[int, list[float]]:
+    """Linearly interpolated quantiles per column ordinal; columns without data are left out.
 
-    wide = (F.col("inside") > sort_limit) & (F.col("lo") < F.col("hi"))
-    group = [*keys, "lo", "hi"]
-    state, open_ranges = settle(state)
+    ``extents`` has (n, min, max) per ordinal. The search state is a few numbers
+    per column and stays on the driver; each round is one pass for all columns.
+    """
+    known = [(i, c, extents[c.ordinal]) for i, c in enumerate(cols) if extents.get(c.ordinal, (0,))[0]]
+    hunts = [
+        _Hunt(i, k, lo, hi, 0, n) for i, _, (n, lo, hi) in known
+        for k in sorted({k for p in probs for k in _rank_of(p, n)[:2]})
+    ]
     for _ in range(MAX_ROUNDS):
-        if not open_ranges:
+        wide = [h for h in hunts if h.inside > sort_limit and h.lo < h.hi]
+        if not wide:
             break
-        bins = (
-            attach(state.where(wide))
-            .groupBy(*group, _bin(F.col("v"), F.col("lo"), F.col("hi")).alias("bin"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("bin_lo"), F.max("v").alias("bin_hi"))
-            .withColumn("upto", F.sum("n").over(Window.partitionBy(*group).orderBy("bin")))
-        )
-        hit = (F.col("upto") > F.col("k") - F.col("below")) & (
-            F.col("upto") - F.col("n") <= F.col("k") - F.col("below")
-        )
-        narrowed = (
-            state.where(wide)
-            .join(bins, group)
-            .where(hit)
-            .select(
-                *keys, "k", F.col("bin_lo").alias("lo"), F.col("bin_hi").alias("hi"),
-                F.col("n").alias("inside"), (F.col("below") + F.col("upto") - F.col("n")).alias("below"),
-            )
-        )
-        state, open_ranges = settle(state.where(~wide).unionByName(narrowed).select(*state.columns))
-
-    single = state.where(F.col("lo") == F.col("hi")).select(*keys, "k", F.col("lo").alias("v"))
-    rest = state.where(F.col("lo") < F.col("hi"))
-    sorted_values = (
-        attach(rest)
-        .groupBy(*group, "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(Window.partitionBy(*group).orderBy("v")))
-    )
-    rank = F.col("k") - F.col("below")
-    found = (
-        rest.join(sorted_values, group)
-        .where((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank))
-        .select(*keys, "k", "v")
-    )
-    return single.unionByName(found)
+        hunts = [h for h in hunts if h not in wide] + _scan_ranges(df, cols, wide, binned=True)
+    rest = [h for h in hunts if h.lo < h.hi]
+    if rest:
+        hunts = [h for h in hunts if h.lo == h.hi] + _scan_ranges(df, cols, rest, binned=False)
+    value = {(h.pos, h.k): h.lo for h in hunts}
+    out = {}
+    for i, c, (n, _, _) in known:
+        out[c.ordinal] = []
+        for p in probs:
+            low, high, share = _rank_of(p, n)
+            a, b = value[i, low], value[i, high]
+            out[c.ordinal].append(a if share == 0 or a == b else a + (b - a) * share)
+    return out
 
 
 def _ranks(p: float, n: Column) -> tuple[Column, Column, Column]:
@@ -118,41 +143,73 @@ def _ranks(p: float, n: Column) -> tuple[Column, Column, Column]:
     return low, F.least(low + 1, n - 1), spot - low
 
 
-def exact_quantiles(
+def sliced_order_statistics(long: DataFrame, wanted: DataFrame, keys: list[str], sort_limit: int = SORT_LIMIT) -> DataFrame:
+    """The same search per group, with its state as a distributed table.
+
+    ``wanted`` has keys, k, lo, hi (the group's extremes) and inside (its row
+    count). The join to the ranges carries no hint: their number grows with the
+    groups, so the planner decides by size.
+    """
+    group = [*keys, "lo", "hi"]
+    wide = (F.col("inside") > sort_limit) & (F.col("lo") < F.col("hi"))
+    rank = F.col("k") - F.col("below")
+    hit = (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
+
+    def attach(s: DataFrame) -> DataFrame:
+        return long.join(s.select(*group).distinct(), keys).where(F.col("v").between(F.col("lo"), F.col("hi")))
+
+    state = wanted.withColumn("below", F.lit(0).cast("bigint"))
+    if not state.where(wide).isEmpty():
+        state = cut_lineage(state)
+        for _ in range(MAX_ROUNDS):
+            bins = (
+                attach(state.where(wide))
+                .groupBy(*group, _bin(F.col("v"), F.col("lo"), F.col("hi")).alias("bin"))
+                .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("bin_lo"), F.max("v").alias("bin_hi"))
+                .withColumn("upto", F.sum("n").over(Window.partitionBy(*group).orderBy("bin")))
+            )
+            narrowed = state.where(wide).join(bins, group).where(hit).select(
+                *keys, "k", F.col("bin_lo").alias("lo"), F.col("bin_hi").alias("hi"), F.col("n").alias("inside"),
+                (F.col("below") + F.col("upto") - F.col("n")).alias("below"))
+            state = cut_lineage(state.where(~wide).unionByName(narrowed).select(*state.columns))
+            if state.where(wide).isEmpty():
+                break
+    single = state.where(F.col("lo") == F.col("hi")).select(*keys, "k", F.col("lo").alias("v"))
+    rest = state.where(F.col("lo") < F.col("hi"))
+    values = (
+        attach(rest).groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("upto", F.sum("n").over(Window.partitionBy(*group).orderBy("v")))
+    )
+    return single.unionByName(rest.join(values, group).where(hit).select(*keys, "k", "v"))
+
+
+def sliced_quantiles(
     df: DataFrame,
     cols: Sequence[ColumnInfo],
     probs: Sequence[float],
     extents: DataFrame,
-    by: str | None = None,
+    by: str,
     sort_limit: int = SORT_LIMIT,
 ) -> DataFrame:
-    """(slice?, ordinal, p0, p1, ...): linearly interpolated quantiles of numeric columns.
-
-    ``extents`` has slice?, ordinal, n, min, max for at least these columns.
-    """
-    keys = (["slice"] if by else []) + ["pos"]
-    spark = df.sparkSession
-    index = small_table(spark, [(c.ordinal, i) for i, c in enumerate(cols)], "ordinal int, pos int")
+    """(slice, ordinal, p0, p1, ...) from ``extents`` (slice, ordinal, n, min, max)."""
+    keys = ["slice", "pos"]
+    index = small_table(df.sparkSession, [(c.ordinal, i) for i, c in enumerate(cols)], "ordinal int, pos int")
     groups = (
-        extents.join(F.broadcast(index), "ordinal")
-        .where(F.col("n") > 0)
+        extents.join(F.broadcast(index), "ordinal").where(F.col("n") > 0)
         .select(*keys, "n", F.col("min").alias("lo"), F.col("max").alias("hi"))
     )
     ranks = [r for p in probs for r in _ranks(p, F.col("n"))[:2]]
     wanted = groups.select(
-        *keys, F.explode(F.array_distinct(F.array(*ranks))).alias("k"), "lo", "hi", F.col("n").alias("inside")
-    )
-    found = order_statistics(long_numbers(df, cols, by), wanted, keys, bounded=not by, sort_limit=sort_limit)
-    merged = found.join(groups.select(*keys, "n"), keys)
+        *keys, F.explode(F.array_distinct(F.array(*ranks))).alias("k"), "lo", "hi", F.col("n").alias("inside"))
+    found = sliced_order_statistics(long_numbers(df, cols, by), wanted, keys, sort_limit)
     picks = []
     for i, p in enumerate(probs):
         low, high, share = _ranks(p, F.col("n"))
         at_low = F.max(F.when(F.col("k") == low, F.col("v")))
         at_high = F.max(F.when(F.col("k") == high, F.col("v")))
         part = F.max(share)
-        picks.append(
-            F.when(part == 0, at_low).otherwise(at_low + (at_high - at_low) * part).alias(f"p{i}")
-        )
+        picks.append(F.when(part == 0, at_low).otherwise(at_low + (at_high - at_low) * part).alias(f"p{i}"))
     return (
-        merged.groupBy(*keys).agg(*picks).join(F.broadcast(index), "pos").drop("pos")
+        found.join(groups.select(*keys, "n"), keys).groupBy(*keys).agg(*picks)
+        .join(F.broadcast(index), "pos").drop("pos")
     )

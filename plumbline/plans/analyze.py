@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import charts, compare, insights, quality, recommend, roles
 from plumbline.operators.cleaning import clean
-from plumbline.operators.facts import missing_profile, numeric_summary, outlier_summary
+from plumbline.operators.columns import ref
+from plumbline.operators.facts import column_facts, missing_profile, numeric_summary, outlier_summary
 from plumbline.operators.frequency import class_balance
 from plumbline.plans.cleaning_plan import plan_table, propose_plan
 from plumbline.plans.profile import Profile, _held, profile
@@ -57,6 +58,14 @@ class Analysis:
             spark, [(i + 1, k, v) for i, (k, v) in enumerate(items)], "ordinal int, item string, value string")
 
 
+def _facts_before_encoding(plain: DataFrame, encoded: DataFrame, facts: DataFrame, mode: str) -> DataFrame:
+    """Facts of the columns before encoding: those still present are reused, only the encoded ones are scanned."""
+    gone = [n for n in plain.columns if n not in encoded.columns]
+    order = small_table(facts.sparkSession, list(enumerate(plain.columns)), "at int, column string")
+    known = facts if not gone else facts.unionByName(column_facts(plain.select(*[ref(n) for n in gone]), mode=mode))
+    return _held(known.join(F.broadcast(order), "column").withColumn("ordinal", F.col("at")).select(*facts.columns))
+
+
 def analyze(
     df: DataFrame,
     name: str = "dataset",
@@ -104,8 +113,7 @@ def analyze(
     balance = None
     if out.problem_type == "classification":
         balance = _held(class_balance(out.cleaned, [target]))
-    encoded = set(out.cleaned.columns) != set(out.pre_encoding.columns)
-    chart_facts = profile(out.pre_encoding, mode).facts if encoded else facts
+    chart_facts = _facts_before_encoding(out.pre_encoding, out.cleaned, facts, mode)
     signal_row = _held(recommend.signals(chart_facts if signals_on == "pre_encoding" else facts, target, balance))
     ranking = _held(recommend.rank_models(signal_row, out.problem_type))
     warnings = _held(recommend.model_warnings(signal_row, out.problem_type, target, balance))

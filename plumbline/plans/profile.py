@@ -5,14 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from plumbline.operators.columns import columns_of
 from plumbline.operators.correlation import corr_pairs, correlation_matrix
 from plumbline.operators.dates import datetime_profile
 from plumbline.operators.duplicates import duplicate_rows
 from plumbline.operators.facts import column_facts, missing_profile, numeric_summary, outlier_summary
 from plumbline.operators.frequency import top_values
-from plumbline.session import small_table
+from plumbline.session import small_table, together
 
 
 @dataclass(frozen=True)
@@ -34,14 +34,14 @@ def _held(table: DataFrame) -> DataFrame:
 
 def profile(df: DataFrame, mode: str = "exact") -> Profile:
     """Profile a table; every part is computed once and is small."""
-    dates = _held(datetime_profile(df))
+    facts, dates, repeated, top = together(
+        lambda: column_facts(df, mode=mode), lambda: _held(datetime_profile(df)), lambda: _held(duplicate_rows(df)),
+        lambda: _held(top_values(df)))
     date_columns = [r["column"] for r in dates.select("column").collect()]
-    facts = column_facts(df, mode=mode, date_columns=date_columns)
-    categorical = {r["column"] for r in facts.where("role = 'categorical'").select("column").collect()}
-    cols = [c for c in columns_of(df) if c.name in categorical]
-    return Profile(
-        facts, _held(duplicate_rows(df)), dates, _held(top_values(df, cols)),
-        _held(corr_pairs(df, facts=facts)))
+    if date_columns:
+        facts = facts.withColumn("role", F.when(F.col("column").isin(date_columns), "datetime").otherwise(F.col("role")))
+        top = top.where(~F.col("column").isin(date_columns))
+    return Profile(facts, repeated, dates, top, _held(corr_pairs(df, facts=facts)))
 
 
 def profile_record(p: Profile) -> dict:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -40,3 +42,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(where)
     return df.checkpoint(eager=True)
+
+
+def together(*jobs: Callable) -> list:
+    """Results of independent actions submitted at once, so that small stages share the executors."""
+    session = SparkSession.getActiveSession()
+    wrap = inheritable_thread_target(session) if session is not None else (lambda job: job)
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(wrap(job)) for job in jobs]]
