@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import fact, is_whole
@@ -20,6 +20,8 @@ from plumbline.operators.quantiles import column_quantiles, long_numbers, sliced
 from plumbline.session import cut_lineage, small_table, together
 
 BATCH = 16
+CELL_BATCH = 32
+LONG_TEXT = 64
 _FACTS = (
     "ordinal int, column string, dtype string, role string, is_numeric boolean, rows bigint, n_null bigint, "
     "n bigint, nunique bigint, mean double, std double, min double, max double, span double, all_whole boolean, "
@@ -72,26 +74,46 @@ def basic_facts(df: DataFrame, by: str | None = None) -> DataFrame:
     return out
 
 
+def _cells(df: DataFrame, cols: Sequence[ColumnInfo], values: Sequence[Column], by: str | None) -> DataFrame:
+    """(slice?, pos, v): one row per present cell, in batches that keep the generated code small."""
+    keys = ["slice"] if by else []
+    out = None
+    for start in range(0, len(cols), CELL_BATCH):
+        part = df.select(
+            *slice_key(by), F.posexplode(F.array(*values[start : start + CELL_BATCH])).alias("pos", "v")
+        ).select(*keys, (F.col("pos") + start).alias("pos"), "v").where(F.col("v").isNotNull())
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _grouped(df: DataFrame, cols: Sequence[ColumnInfo], values: Sequence[Column], by: str | None) -> DataFrame:
+    keys = ["slice"] if by else []
+    ordinal = F.get(F.array(*[F.lit(c.ordinal) for c in cols]), F.col("pos"))
+    return (
+        _cells(df, cols, values, by).groupBy(*keys, "pos", "v").agg(F.count(F.lit(1)).alias("n"))
+        .select(*keys, ordinal.alias("ordinal"), "v", "n")
+    )
+
+
+def _families(cols: Sequence[ColumnInfo]) -> list[list[ColumnInfo]]:
+    groups = ([c for c in cols if c.family == f and c.kind != UNSUPPORTED] for f in ("bigint", "double", "string"))
+    return [g for g in groups if g]
+
+
 def value_counts(df: DataFrame, cols: Sequence[ColumnInfo], by: str | None = None) -> list[DataFrame]:
     """Per type family: (slice?, ordinal, v, n), the rows of each distinct present value.
 
     Counts combine on the map side, so a hot value costs one row per task.
     """
-    out = []
-    for family in ("bigint", "double", "string"):
-        members = [c for c in cols if c.family == family and c.kind != UNSUPPORTED]
-        if not members:
-            continue
-        cells = df.select(
-            *slice_key(by), F.posexplode(F.array(*[c.family_value for c in members])).alias("pos", "v")
-        ).where(F.col("v").isNotNull())
-        keys = ["slice"] if by else []
-        ordinal = F.element_at(F.array(*[F.lit(c.ordinal) for c in members]), F.col("pos") + 1)
-        out.append(
-            cells.groupBy(*keys, "pos", "v").agg(F.count(F.lit(1)).alias("n"))
-            .select(*keys, ordinal.alias("ordinal"), "v", "n")
-        )
-    return out
+    return [_grouped(df, members, [c.family_value for c in members], by) for members in _families(cols)]
+
+
+def _short(c: ColumnInfo) -> Column:
+    """Stand-in for counting distinct values: a long text becomes its SHA-256, so it is not shuffled whole."""
+    if c.family != "string":
+        return c.family_value
+    v = c.family_value
+    return F.when(F.length(v) > LONG_TEXT, F.concat(F.lit("#"), F.sha2(v, 256))).otherwise(v)
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[ColumnInfo], by: str | None = None, approx: bool = False) -> DataFrame:
@@ -105,7 +127,9 @@ def distinct_counts(df: DataFrame, cols: Sequence[ColumnInfo], by: str | None =
         packed = [F.struct(F.lit(c.ordinal).alias("ordinal"), F.col(f"u{c.ordinal}").alias("nunique")) for c in usable]
         return wide.select(*keys, F.inline(F.array(*packed)))
     parts = [
-        p.groupBy(*keys, "ordinal").agg(F.count(F.lit(1)).alias("nunique")) for p in value_counts(df, usable, by)
+        _grouped(df, members, [_short(c) for c in members], by)
+        .groupBy(*keys, "ordinal").agg(F.count(F.lit(1)).alias("nunique"))
+        for members in _families(usable)
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -132,11 +156,15 @@ def outlier_counts(df: DataFrame, cols: Sequence[ColumnInfo], fences: Mapping[in
     kept = [c for c in cols if c.ordinal in fences]
     if not kept:
         return {}
-    row = df.agg(*[
-        F.count(F.when((c.number < fences[c.ordinal][0]) | (c.number > fences[c.ordinal][1]), 1)).alias(f"o{c.ordinal}")
-        for c in kept
-    ]).first()
-    return {c.ordinal: row[f"o{c.ordinal}"] for c in kept}
+    out = {}
+    for start in range(0, len(kept), CELL_BATCH):
+        batch = kept[start : start + CELL_BATCH]
+        row = df.agg(*[
+            F.count(F.when((c.number < fences[c.ordinal][0]) | (c.number > fences[c.ordinal][1]), 1)).alias(f"o{c.ordinal}")
+            for c in batch
+        ]).first()
+        out.update({c.ordinal: row[f"o{c.ordinal}"] for c in batch})
+    return out
 
 
 def sliced_outlier_counts(df: DataFrame, cols: Sequence[ColumnInfo], fences: DataFrame, by: str) -> DataFrame:
@@ -238,7 +266,8 @@ def column_facts(
                 rows[i].update(lower=fences[i][0], upper=fences[i][1])
         for i, n in outlier_counts(df, numeric, fences).items():
             rows[i]["outliers"] = n
-    return small_table(spark, rows.values(), _FACTS)
+    # One partition: everything decided from these few rows runs without a shuffle.
+    return small_table(spark, rows.values(), _FACTS).coalesce(1)
 
 
 # --- views over the facts ----------------------------------------------------

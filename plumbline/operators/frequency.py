@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import vocab
 from plumbline.operators.columns import BOOLEAN, DATETIME, ColumnInfo, columns_of, slice_key
-from plumbline.operators.facts import value_counts
+from plumbline.operators.facts import _families, value_counts
 from plumbline.session import small_table
 
 
@@ -43,11 +43,6 @@ def value_frequencies(df: DataFrame, cols: Sequence[ColumnInfo] | None = None, b
     return out
 
 
-def _families(cols: Sequence[ColumnInfo]) -> list[list[ColumnInfo]]:
-    groups = ([c for c in cols if c.family == f and c.kind != "unsupported"] for f in ("bigint", "double", "string"))
-    return [g for g in groups if g]
-
-
 def ranked_values(freq: DataFrame, top: int) -> DataFrame:
     """The ``top`` most frequent values of each column; ties in ascending text order.
 

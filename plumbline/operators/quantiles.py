@@ -26,6 +26,7 @@ Extent = tuple[int, float, float]
 BINS = 4096
 SORT_LIMIT = 200_000
 MAX_ROUNDS = 6
+COLUMN_BATCH = 16
 _HALF_MAX = 8.9e307
 
 
@@ -52,6 +53,14 @@ def _rank_of(p: float, n: int) -> tuple[int, int, float]:
     return low, min(low + 1, n - 1), spot - low
 
 
+def _between(a: float, b: float, share: float) -> float:
+    if share == 0 or a == b:
+        return a
+    if math.isinf(a) or math.isinf(b):
+        return a + b if math.isinf(a) and math.isinf(b) else a if math.isinf(a) else b
+    return a + (b - a) * share
+
+
 @dataclass(frozen=True)
 class _Hunt:
     """Search for the value at rank k of one column, now known to lie in [lo, hi]."""
@@ -111,8 +120,18 @@ def column_quantiles(
     """Linearly interpolated quantiles per column ordinal; columns without data are left out.
 
     ``extents`` has (n, min, max) per ordinal. The search state is a few numbers
-    per column and stays on the driver; each round is one pass for all columns.
+    per column and stays on the driver; each round is one pass over a batch of
+    columns.
     """
+    out = {}
+    for start in range(0, len(cols), COLUMN_BATCH):
+        out.update(_batch_quantiles(df, cols[start : start + COLUMN_BATCH], probs, extents, sort_limit))
+    return out
+
+
+def _batch_quantiles(
+    df: DataFrame, cols: Sequence[ColumnInfo], probs: Sequence[float], extents: Mapping[int, Extent], sort_limit: int
+) -> dict[int, list[float]]:
     known = [(i, c, extents[c.ordinal]) for i, c in enumerate(cols) if extents.get(c.ordinal, (0,))[0]]
     hunts = [
         _Hunt(i, k, lo, hi, 0, n) for i, _, (n, lo, hi) in known
@@ -133,7 +152,7 @@ def column_quantiles(
         for p in probs:
             low, high, share = _rank_of(p, n)
             a, b = value[i, low], value[i, high]
-            out[c.ordinal].append(a if share == 0 or a == b else a + (b - a) * share)
+            out[c.ordinal].append(_between(a, b, share))
     return out
 
 

@@ -29,7 +29,7 @@ class Profile:
 def _held(table: DataFrame) -> DataFrame:
     """Keep a result whose rows are bounded by the columns on the driver."""
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema.fields)
-    return small_table(table.sparkSession, [r.asDict() for r in table.collect()], ddl)
+    return small_table(table.sparkSession, [r.asDict() for r in table.collect()], ddl).coalesce(1)
 
 
 def profile(df: DataFrame, mode: str = "exact") -> Profile:

@@ -181,12 +181,15 @@ def read_csv(
     multiline: bool = False,
     max_rows: int | None = None,
     max_columns: int | None = vocab.MAX_COLUMNS,
+    stage_to: str | None = None,
 ) -> DataFrame:
     """Read CSV files with repairs and typed columns.
 
     ``multiline`` admits line breaks in quoted cells but makes each file one
     task, so it is off by default. ``max_rows`` and ``max_columns`` are optional
-    guards that raise; nothing is ever cut off.
+    guards that raise; nothing is ever cut off. ``stage_to`` writes the typed
+    table there as parquet and returns it, so that later passes read columns
+    instead of parsing text again.
     """
     layout = detect_layout(spark, path, encoding)
     if max_columns and len(layout.names) > max_columns:
@@ -197,7 +200,11 @@ def read_csv(
         raise ScanError(f"CSV file is corrupted or malformed: {path} ({surplus} rows have too many fields)")
     if max_rows and total > max_rows:
         raise ScanError(f"{path} has {total:,} rows, above the {max_rows:,}-row limit.")
-    return typed(rows, types)
+    table = typed(rows, types)
+    if stage_to is None:
+        return table
+    table.write.mode("errorifexists").parquet(stage_to)
+    return spark.read.parquet(stage_to)
 
 
 def shape_preview(df: DataFrame) -> DataFrame:

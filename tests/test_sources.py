@@ -37,7 +37,7 @@ def test_latin1_file(spark, put):
 
 
 def test_latin1_file_with_banner(spark, put):
-    got = pb.read_csv(spark, put("# café\nname,n\nCafé,1\nZoé,2\n".encode("latin-1")))
+    got = pb.read_csv(spark, put("# café\nname,n,m\nCafé,1,0\nZoé,2,0\n".encode("latin-1")))
     assert [r["name"] for r in got.orderBy("n").collect()] == ["Café", "Zoé"]
 
 
