@@ -659,14 +659,21 @@ SELECT 'lineitem' AS dataset_name, n AS "rows", k AS columns, CASE
 SQL["statistics_table"] = f"""WITH {facts('events', COLUMNS['events'])}, {roles()}
 SELECT "column", {r4('mean', 'median', 'std', 'min', 'max')} FROM flags WHERE role = 'numeric' AND NOT is_id"""
 
-_BAR_LINES = [(3, "l_linenumber"), (6, "l_discount"), (7, "l_tax"), (8, "l_returnflag"), (9, "l_linestatus")]
-SQL["bar_data"] = f"""WITH {facts('lineitem', COLUMNS['lineitem'])},
-picked AS (SELECT * FROM facts WHERE nunique <= {vocab.MAX_BAR_CATEGORIES} AND
-  (role IN ('categorical', 'datetime') OR nunique <= {vocab.CATEGORICAL_MAX_DISTINCT}))
+_ROUTES = f"""routes AS (SELECT *, CASE WHEN bar THEN 'bar' ELSE 'histogram' END AS chart, row_number() OVER
+  (PARTITION BY bar ORDER BY role = 'numeric' AND bar, ordinal) AS place FROM (SELECT *, role IN ('categorical', 'datetime')
+  OR (role = 'numeric' AND nunique <= {vocab.CATEGORICAL_MAX_DISTINCT}) AS bar FROM facts WHERE role <> 'unsupported')),
+barred AS (SELECT * FROM routes WHERE bar AND place <= {vocab.MAX_BARS} AND nunique BETWEEN 1 AND {vocab.MAX_BAR_CATEGORIES})"""
+
+
+def _plain(columns):
+    return [(i, c) for i, (c, k) in enumerate(columns) if k in (INT, NUM, TEXT)]
+
+
+SQL["bar_data"] = f"""WITH {facts('lineitem', COLUMNS['lineitem'])}, {_ROUTES}
 SELECT ordinal::INTEGER AS ordinal, "column", value, n,
   (row_number() OVER (PARTITION BY ordinal ORDER BY n DESC, value))::INTEGER AS rk,
   round(n / sum(n) OVER (PARTITION BY ordinal) * 100, 4) AS share
-FROM ({_counts('lineitem', _BAR_LINES)}) WHERE ordinal IN (SELECT ordinal FROM picked)"""
+FROM ({_counts('lineitem', _plain(COLUMNS['lineitem']))}) WHERE ordinal IN (SELECT ordinal FROM barred)"""
 
 
 def hist_sql(columns, log: bool) -> str:
@@ -684,7 +691,8 @@ def hist_sql(columns, log: bool) -> str:
     SELECT *, ceil((hi - lo) / CASE WHEN fd > 0 THEN least(fd, st) ELSE st END) AS bins FROM (
      SELECT min(v) AS lo, max(v) AS hi, (max(v) - min(v)) / (log2(count(v)) + 1) AS st,
       2 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / pow(count(v), 1.0::DOUBLE / 3) AS fd
-     FROM (SELECT {axis} AS v FROM events))), (SELECT {axis} AS v FROM events) WHERE v IS NOT NULL) GROUP BY bin)""")
+     FROM (SELECT {axis} AS v FROM events))), (SELECT {axis} AS v FROM events) WHERE v IS NOT NULL) GROUP BY bin)
+WHERE (SELECT count(DISTINCT {c}) FROM events) > {vocab.CATEGORICAL_MAX_DISTINCT}""")
     return " UNION ALL ".join(rows)
 
 
@@ -721,30 +729,36 @@ SELECT a, b, r FROM half UNION ALL SELECT b, a, r FROM half UNION ALL SELECT "co
 
 _PLAIN_EVENTS = _without(COLUMNS["events"], "props", "ts")
 SQL["chart_manifest"] = f"""WITH src AS (SELECT event_id, user_id, event_type, value FROM events),
-{facts('src', _PLAIN_EVENTS)}, cnt AS ({_counts('src', [(2, 'event_type')])}),
-cont AS (SELECT *, abs(mean - median) / std AS skew FROM facts WHERE role = 'numeric' AND nunique > 15),
-prs AS (SELECT * FROM ({pairs_sql('src', _PLAIN_EVENTS)})),
+{facts('src', _PLAIN_EVENTS)}, {_ROUTES}, cnt AS ({_counts('src', _plain(_PLAIN_EVENTS))}),
+tall AS (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY n DESC, value) AS rk,
+  sum(n) OVER (PARTITION BY ordinal) AS total, count(*) OVER (PARTITION BY ordinal) AS k FROM cnt
+  WHERE ordinal IN (SELECT ordinal FROM barred)),
+cont AS (SELECT *, abs(mean - median) / std AS skew FROM routes WHERE NOT bar),
+near AS (SELECT "column" FROM cont WHERE nunique / n <= {vocab.HEATMAP_UNIQUENESS}),
+prs AS (SELECT * FROM ({pairs_sql('src', _PLAIN_EVENTS)})
+  WHERE a IN (SELECT "column" FROM cont) AND b IN (SELECT "column" FROM cont)),
+tops AS (SELECT a, b, round(r, 4) AS r FROM prs WHERE r IS NOT NULL ORDER BY abs(r) DESC LIMIT {vocab.MAX_SCATTERS}),
 charts AS (
-SELECT 1 AS f, 1 AS p, 'bar' AS chart_type, 'bar_chart_event_type' AS chart_id, 'Frequency of ''event_type''' AS title,
-  'Count of each category in ''event_type'' (' || (SELECT count(*) FROM cnt) || ' categories shown).' AS description,
-  '''' || value || ''' is the most common value, appearing ' || n || ' times (' ||
-  printf('%.1f', round(n / (SELECT sum(n) FROM cnt) * 100, 1)) || '% of rows).' AS interpretation
-FROM (SELECT * FROM cnt ORDER BY n DESC, value LIMIT 1)
-UNION ALL SELECT 2, ordinal, 'histogram', 'histogram_' || "column", 'Distribution of ''' || "column" || '''',
+SELECT 1 AS f, place AS p, 'bar' AS chart_type, 'bar_chart_' || t."column" AS chart_id,
+  'Frequency of ''' || t."column" || '''' AS title,
+  'Count of each category in ''' || t."column" || ''' (' || k || ' categories shown).' AS description,
+  '''' || value || ''' is the most common value, appearing ' || t.n || ' times (' ||
+  printf('%.1f', round(round(t.n / total * 100, 4), 1)) || '% of rows).' AS interpretation
+FROM tall t JOIN routes USING (ordinal) WHERE rk = 1
+UNION ALL SELECT 2, place, 'histogram', 'histogram_' || "column", 'Distribution of ''' || "column" || '''',
   'Distribution of ''' || "column" || ''' across all rows with a non-null value.',
   '''' || "column" || CASE WHEN skew > 0.5 THEN ''' is right-skewed (skew measure ' || printf('%.2f', round(skew, 2)) ||
     '), so this is shown on a log scale.' ELSE ''' is roughly symmetric (skew measure ' || printf('%.2f', round(skew, 2)) ||
     ').' END FROM cont
-UNION ALL SELECT 3, row_number() OVER (ORDER BY abs(round(r, 4)) DESC, a, b), 'scatter', 'scatter_' || a || '_vs_' || b,
+UNION ALL SELECT 3, row_number() OVER (ORDER BY abs(r) DESC, a, b), 'scatter', 'scatter_' || a || '_vs_' || b,
   '''' || a || ''' vs ''' || b || '''', 'Relationship between ''' || a || ''' and ''' || b ||
   ''', the numeric pair with one of the strongest correlations in this dataset.', 'A ' || CASE WHEN abs(r) > 0.5 THEN 'strong'
   WHEN abs(r) > 0.25 THEN 'moderate' ELSE 'weak' END || ' ' || CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END ||
-  ' relationship (correlation ' || printf('%.2f', round(round(r, 4), 2)) || ').' FROM prs
+  ' relationship (correlation ' || printf('%.2f', round(r, 2)) || ').' FROM tops
 UNION ALL SELECT 4, 1, 'heatmap', 'correlation_heatmap', 'Correlation Matrix', 'Pairwise correlation across ' ||
-  (SELECT count(*) FROM cont WHERE nunique / n <= 0.95) || ' numeric columns.', 'The strongest relationship is between ''' ||
+  (SELECT count(*) FROM near) || ' numeric columns.', 'The strongest relationship is between ''' ||
   a || ''' and ''' || b || ''' (correlation ' || printf('%.2f', round(r, 2)) || ').' FROM (SELECT * FROM prs
-  WHERE a IN (SELECT "column" FROM cont WHERE nunique / n <= 0.95) AND b IN (SELECT "column" FROM cont
-  WHERE nunique / n <= 0.95) ORDER BY abs(r) DESC LIMIT 1))
+  WHERE a IN (FROM near) AND b IN (FROM near) ORDER BY abs(r) DESC LIMIT 1))
 SELECT row_number() OVER (ORDER BY f, p)::INTEGER AS ordinal, chart_type, chart_id, title, description, interpretation
 FROM charts"""
 
