@@ -195,6 +195,9 @@ SELECT a, b, n, CASE WHEN b <> 'fixed' THEN round(r, 4) END AS r
 FROM ({pairs_sql('src', COLUMNS['lineitem'] + [('fixed', NUM)])})"""
 SQL["corr_pairs_by_slice"] = f"""SELECT slice, a, b, n, round(r, 4) AS r
 FROM ({pairs_sql('lineitem', COLUMNS['lineitem'], 'l_returnflag')})"""
+_LINE_PAIRS = f"SELECT a, b, round(r, 4) AS r FROM ({pairs_sql('lineitem', COLUMNS['lineitem'])})"
+SQL["correlation_matrix"] = f"""WITH half AS ({_LINE_PAIRS}) SELECT a, b, r FROM half UNION ALL SELECT b, a, r FROM half
+UNION ALL SELECT c, c, 1.0::DOUBLE FROM (SELECT a AS c FROM half UNION SELECT b FROM half)"""
 SQL["top_corr_pairs"] = f"""WITH src AS ({PRICED})
 SELECT a, b, round(r, 4) AS r FROM ({pairs_sql('src', PRICED_COLUMNS)}) WHERE r IS NOT NULL
 ORDER BY round(abs(r), 9) DESC, i, j LIMIT {vocab.MAX_SCATTERS}"""
@@ -933,6 +936,7 @@ SELECT k AS {key}, event_id, ts, admitted, retry_after FROM r WHERE rn > 0"""
 
 
 SQL["admission_audit_events"] = admission_sql("user_id", 2, 6 * 3600)
+SQL["admission_stream_events"] = SQL["admission_audit_events"]
 SQL["admission_audit_chunked"] = admission_sql("event_type", 3, 3600)
 
 

@@ -16,7 +16,7 @@ from plumbline.plans.analyze import analyze
 from plumbline.plans.cleaning_plan import propose_plan
 from plumbline.session import shared_dir
 from plumbline.sources import csv_files, sinks
-from plumbline.streaming.admission import admission_audit
+from plumbline.streaming.admission import admission_audit, admission_stream
 from suite.tables import (
     NAMES, dirty_events, dirty_lineitem, labelled_documents, load, priced_lineitem, repeated_orders,
 )
@@ -130,6 +130,11 @@ def corr_pairs_by_slice(spark, sf):
     return correlation.correlation_table(correlation.corr_pairs(load(spark, sf, "lineitem"), by="l_returnflag"))
 
 
+@query
+def correlation_matrix(spark, sf):
+    return correlation.correlation_matrix(correlation.corr_pairs(load(spark, sf, "lineitem")))
+
+
 @query
 def top_corr_pairs(spark, sf):
     df = priced_lineitem(spark, sf)
@@ -622,6 +627,27 @@ def admission_audit_chunked(spark, sf):
         load(spark, sf, "events"), "event_type", "ts", "event_id", 3, 3600, chunk_windows=48, busy_rows=0)
 
 
+@query
+def admission_stream_events(spark, sf):
+    """The streaming form over the whole events table, read as a file stream and written to a file sink."""
+    path = _scratch(spark)
+    events = load(spark, sf, "events").select("user_id", "event_id", "ts")
+    events.write.parquet(f"{path}/in")
+    # A much later event moves the watermark past every held row.
+    events.agg(F.max("ts").alias("last")).select(
+        F.lit(-1).cast("bigint").alias("user_id"), F.lit(-1).cast("bigint").alias("event_id"),
+        (F.col("last") + F.expr("INTERVAL 2 YEARS")).alias("ts"),
+    ).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+    sink = (
+        admission_stream(stream, "user_id", "ts", "event_id", 2, 6 * 3600, "1 day")
+        .writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    sink.awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
 @query
 def analyze_report(spark, sf):
     return analyze(load(spark, sf, "events"), "events").report()
