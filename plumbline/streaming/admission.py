@@ -92,47 +92,54 @@ def admission_audit(
     ord_type = rows.schema["ord"].dataType.simpleString()
     empty = F.array().cast("array<bigint>")
 
-    def end_state(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "ord"], kind="stable")
-        carry = list(pdf["carry"].iloc[0])
-        _, _, times = admit(pdf["us"].to_numpy(), carry, limit, window)
+    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.sort_values(["us", "ord"], kind="stable")
+
+    def end_state(pdf: pd.DataFrame, carry: list[int]) -> pd.DataFrame:
+        _, _, times = admit(in_order(pdf)["us"].to_numpy(), carry, limit, window)
         chunk = int(pdf["chunk"].iloc[0])
         alive = times[times > (chunk + 1) * span - window][-limit:]
         return pd.DataFrame({
             "key": [pdf["key"].iloc[0]], "chunk": [chunk], "carry": [carry], "left": [alive.tolist()]})
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "ord"], kind="stable")
-        flags, retry, _ = admit(pdf["us"].to_numpy(), list(pdf["carry"].iloc[0]), limit, window)
+    def decide(pdf: pd.DataFrame, carry: list[int]) -> pd.DataFrame:
+        pdf = in_order(pdf)
+        flags, retry, _ = admit(pdf["us"].to_numpy(), carry, limit, window)
         return pd.DataFrame({
             "key": pdf["key"].to_numpy(), "ord": pdf["ord"].to_numpy(), "us": pdf["us"].to_numpy(),
             "admitted": flags, "retry_after": retry})
 
-    def decided(part: DataFrame) -> DataFrame:
-        return (
-            part.select("key", "ord", "us", "chunk", "carry").groupBy("key", "chunk")
-            .applyInPandas(decide, f"key {key_type}, ord {ord_type}, us bigint, admitted boolean, retry_after bigint")
-            .withColumn("ts", F.timestamp_micros("us")).select(*named, "admitted", "retry_after")
-        )
+    decided_schema = f"key {key_type}, ord {ord_type}, us bigint, admitted boolean, retry_after bigint"
+    state_schema = f"key {key_type}, chunk bigint, carry array<bigint>, left array<bigint>"
+
+    def shown(decided: DataFrame) -> DataFrame:
+        return decided.withColumn("ts", F.timestamp_micros("us")).select(*named, "admitted", "retry_after")
+
+    def alone(part: DataFrame) -> DataFrame:
+        """Decisions for keys that fit one group."""
+        return shown(part.select("key", "ord", "us").groupBy("key").applyInPandas(
+            lambda pdf: decide(pdf, []), decided_schema))
+
+    def with_carry(part: DataFrame, carries: DataFrame, fn, schema: str) -> DataFrame:
+        """Run a function on each chunk together with its one carry row."""
+        left = part.select("key", "ord", "us", "chunk").groupBy("key", "chunk")
+        right = carries.select("key", "chunk", "carry").groupBy("key", "chunk")
+        return left.cogroup(right).applyInPandas(lambda pdf, c: fn(pdf, list(c["carry"].iloc[0])), schema)
 
     busy = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > busy_rows).select("key")
-    one_chunk = F.lit(0).cast("bigint")
     busy_keys = busy.limit(_FEW_KEYS + 1).count()
     if busy_keys == 0:
-        return decided(rows.withColumns({"chunk": one_chunk, "carry": empty}))
+        return alone(rows)
     busy = cut_lineage(busy)
     listed = F.broadcast(busy) if busy_keys <= _FEW_KEYS else busy
-    quiet = rows.join(listed, "key", "left_anti").withColumns({"chunk": one_chunk, "carry": empty})
+    quiet = rows.join(listed, "key", "left_anti")
     loud = rows.join(listed, "key", "left_semi").withColumn("chunk", F.floor(F.col("us") / F.lit(span)).cast("bigint"))
 
-    def run(part: DataFrame) -> DataFrame:
-        return part.select("key", "ord", "us", "chunk", "carry").groupBy("key", "chunk").applyInPandas(
-            end_state, f"key {key_type}, chunk bigint, carry array<bigint>, left array<bigint>")
-
-    state = cut_lineage(run(loud.withColumn("carry", empty)))
+    first = loud.select("key", "ord", "us", "chunk").groupBy("key", "chunk")
+    state = cut_lineage(first.applyInPandas(lambda pdf: end_state(pdf, []), state_schema))
     while True:
         ends = state.select("key", (F.col("chunk") + 1).alias("chunk"), F.col("left").alias("new_carry"))
-        wrong = (
+        wrong = cut_lineage(
             state.join(ends, ["key", "chunk"], "left")
             .withColumn("new_carry", F.coalesce("new_carry", empty))
             .where(F.col("new_carry") != F.col("carry"))
@@ -140,11 +147,11 @@ def admission_audit(
         )
         if wrong.isEmpty():
             break
-        again = run(loud.join(wrong, ["key", "chunk"]))
+        redo = loud.join(wrong.select("key", "chunk"), ["key", "chunk"], "left_semi")
+        again = with_carry(redo, wrong, end_state, state_schema)
         kept = state.join(wrong.select("key", "chunk"), ["key", "chunk"], "left_anti")
         state = cut_lineage(kept.unionByName(again))
-    loud = loud.join(state.select("key", "chunk", "carry"), ["key", "chunk"])
-    return decided(quiet).unionByName(decided(loud))
+    return alone(quiet).unionByName(shown(with_carry(loud, state, decide, decided_schema)))
 
 
 def admission_summary(audit: DataFrame) -> DataFrame:
