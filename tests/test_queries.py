@@ -34,10 +34,10 @@ def _rows(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(entry.SQL) == set(entry.QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     result = duck.execute(entry.oracle_sql()[name])
