@@ -93,7 +93,7 @@ cov AS (SELECT doc_id, n, most, count(*) AS words, sum(octet_length(encode(w[pla
 agg AS (SELECT doc_id, coalesce(sum(words) FILTER (n = 3), 0) AS n_repeat_words,
                coalesce(max(bytes / most) FILTER (n > 3), 0) AS worst FROM cov GROUP BY doc_id),
 l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, line ORDER BY place) > 1 AS dup, length(line) AS chars FROM
-      (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS at
+      (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS place
        FROM w) WHERE regexp_matches(line, '[^ \\t\\n\\v\\f\\r]')),
 ls AS (SELECT doc_id, count(*) FILTER (dup) AS n_dup_lines, count(*) AS n, sum(chars) AS chars,
               coalesce(sum(chars) FILTER (dup), 0) AS dup_chars FROM l GROUP BY doc_id),
