@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import licences, order_minhash, quality_rules, sentencepiece_bpe, unigram_counts, url_rules
+from plumbline.llm import (
+    archives, licences, order_minhash, quality_rules, sentencepiece_bpe, string_tiling, unigram_counts, url_rules,
+)
 from plumbline.llm.sql import SQL  # noqa: F401
+from plumbline.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,3 +70,16 @@ def op9_token_counts(spark, sf):
 @query
 def op10_licences(spark, sf):
     return licences.scan(table(spark, sf, "documents")).withColumn("score", F.round("score", 9))
+
+
+@query
+def op3_string_tiling(spark, sf):
+    return string_tiling.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op6_archives(spark, sf):
+    where = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    archives.write_arc(table(spark, sf, "pages"), f"{where}/arc")
+    archives.convert(spark, f"{where}/arc", f"{where}/warc")
+    return archives.warc_pages(spark, f"{where}/warc")

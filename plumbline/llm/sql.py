@@ -109,4 +109,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f"""
 
 
-SQL = {"op1_url_rules": _urls(), "op7_repetition": _repetition(), "op10_licences": _licences()}
+def _archives() -> str:
+    return """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+           FROM pages),
+f AS (SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY 1 HAVING count(*) > 1)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN f.first IS NOT NULL AND f.first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first IS DISTINCT FROM page_id THEN f.first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)"""
+
+
+SQL = {"op6_archives": _archives(), "op1_url_rules": _urls(), "op7_repetition": _repetition(), "op10_licences": _licences()}
