@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    archives, licences, order_minhash, quality_rules, sentencepiece_bpe, string_tiling, unigram_counts, url_rules,
+    archives, debruijn, licences, order_minhash, quality_rules, sentencepiece_bpe, string_tiling, unigram_counts, url_rules,
 )
 from plumbline.llm.sql import SQL  # noqa: F401
 from plumbline.session import shared_dir
@@ -83,3 +83,8 @@ def op6_archives(spark, sf):
     archives.write_arc(table(spark, sf, "pages"), f"{where}/arc")
     archives.convert(spark, f"{where}/arc", f"{where}/warc")
     return archives.warc_pages(spark, f"{where}/warc")
+
+
+@query
+def op8_debruijn(spark, sf):
+    return debruijn.removal(table(spark, sf, "documents"))

@@ -206,13 +206,14 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, keep: dict[str, Column] | N
     keep names further columns to carry (with their types in kinds)."""
     keep = keep or {"doc_id": F.col("doc_id").cast("long")}
     more = ", ids array<int>, decoded string" if with_ids else ""
+    carried = list(keep)
 
     def start():
         encoder = Encoder(vocabulary)
         memory = _Remembered(encoder)
 
         def work(rows, texts):
-            out = {c: rows.column(c) for c in keep}
+            out = {c: rows.column(c) for c in carried}
             counts, id_hashes, text_hashes, all_ids, all_texts = [], [], [], [], []
             for raw in texts:
                 prepared = encoder.prepare(raw.decode("utf-8", "replace") if raw else "")

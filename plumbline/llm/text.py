@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from plumbline.session import shared_dir
+
 #: Bytes of text that a task holds as arrays at once; one text may be longer and then stands alone.
 SLICE_BYTES = 4 << 20
 #: Entries of a worker's memory of word hashes, which starts afresh when full.
@@ -119,5 +122,8 @@ def _array(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
-def text_column(df: DataFrame, name: str = "text") -> Column:
-    return F.col(name) if name in df.columns else F.lit(None).cast("string")
+def staged(df: DataFrame) -> DataFrame:
+    """The rows written as Parquet below the shared folder and read again: later passes read only the columns they need."""
+    path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
