@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    archives, debruijn, licences, order_minhash, quality_rules, sentencepiece_bpe, string_tiling, unigram_counts, url_rules,
+    archives, context_mixing, debruijn, licences, order_minhash, quality_rules, sentencepiece_bpe, string_tiling, unigram_counts, url_rules,
 )
 from plumbline.llm.sql import SQL  # noqa: F401
 from plumbline.session import shared_dir
@@ -88,3 +88,8 @@ def op6_archives(spark, sf):
 @query
 def op8_debruijn(spark, sf):
     return debruijn.removal(table(spark, sf, "documents"))
+
+
+@query
+def op4_context_mixing(spark, sf):
+    return context_mixing.scores(table(spark, sf, "documents"))
