@@ -41,8 +41,8 @@ BLOCK = 1 << 16
 class Mixing:
     orders: tuple[int, ...] = (1, 2, 3, 4, 5)
     bits: tuple[int, ...] = (16, 20, 22, 22, 22)
-    rounds: int = 3
-    rate: float = 0.02
+    rounds: int = 4
+    rate: float = 0.1
     batch: int = 4096
     buckets: int = 33
     frequent_words: int = 1 << 17
