@@ -54,6 +54,11 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1)
 
 
+def _named(words: Column, kind: str) -> Column:
+    wanted = F.filter(words, lambda x: (x != "") & ~x.rlike("^[0-9]+$"))
+    return F.transform(wanted, lambda x: F.concat(F.lit(kind), x))
+
+
 def tokens_of(url: Column) -> Column:
     """Sorted distinct tokens: h:label, p:word, q:name; without numbers and empty words."""
     query = F.regexp_extract(_rest(url), r"^[^?#]*\?([^#]*)", 1)
@@ -62,10 +67,7 @@ def tokens_of(url: Column) -> Column:
         (F.split(F.translate(path_of(url), UPPER, LOWER), r"[^a-z0-9]+"), "p:"),
         (F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, r"^[^=]*", 0)), "q:"),
     ]
-    named = [
-        F.transform(F.filter(w, lambda x: (x != "") & ~x.rlike("^[0-9]+$")), lambda x, kind=kind: F.concat(F.lit(kind), x))
-        for w, kind in words
-    ]
+    named = [_named(w, kind) for w, kind in words]
     return F.sort_array(F.array_distinct(F.concat(*named)))
 
 
