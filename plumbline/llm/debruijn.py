@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.text import WordHashes, Windows, Words, mix, per_text, staged
+from plumbline.llm.text import WordHashes, Windows, Words, mix, per_text, staged, unused
 
 
 @dataclass(frozen=True)
@@ -206,11 +206,12 @@ def removal(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
 
 def cut(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
     """The documents without their repeated passages; texts without any stay as they are."""
+    own, rid, new = unused(docs, "__row", "__rid", "__kept")
     _, cuts = repeats(docs, how)
-    cuts = staged(cuts.select(F.col("rid").alias("__rid"), F.col("kept").cast("string").alias("__kept")))
-    joined = docs.withColumn("__row", row_id()).join(cuts, F.col("__row") == F.col("__rid"), "left")
-    changes = {"text": F.coalesce("__kept", "text")}
+    cuts = staged(cuts.select("rid", F.col("kept").cast("string")).toDF(rid, new))
+    joined = docs.withColumn(own, row_id()).join(cuts, F.col(own) == F.col(rid), "left")
+    changes = {"text": F.coalesce(new, "text")}
     if "n_chars" in docs.columns:
-        changes["n_chars"] = F.when(F.col("__kept").isNotNull(), F.length("__kept")).otherwise(F.col("n_chars")).cast(
+        changes["n_chars"] = F.when(F.col(new).isNotNull(), F.length(new)).otherwise(F.col("n_chars")).cast(
             docs.schema["n_chars"].dataType)
     return joined.withColumns(changes).select(*docs.columns)
