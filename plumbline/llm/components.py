@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import cut_lineage
+from plumbline.llm.text import staged
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -29,13 +29,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (u, v); root is the least node of the component.
 
-    Every step writes its edges to the shared checkpoint folder; the loop ends when a double step changes nothing."""
-    now = cut_lineage(edges.where("u <> v").select("u", "v").distinct())
+    Every step writes its edges to the shared folder; the loop ends when a double step changes nothing."""
+    now = staged(edges.where("u <> v").select("u", "v").distinct())
     mark = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if not state[0] or state == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+            return staged(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+                now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct())
         mark = state
-        now = cut_lineage(_small_star(_large_star(now)))
+        now = staged(_small_star(_large_star(now)))

@@ -31,8 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.components import components
-from plumbline.llm.text import BASE, WordHashes, Windows, Words, mix, per_text, slices
-from plumbline.session import cut_lineage
+from plumbline.llm.text import BASE, WordHashes, Windows, Words, mix, per_text, slices, staged
 
 
 @dataclass(frozen=True)
@@ -109,7 +108,7 @@ def _sketches(how: Sketching):
 
 
 def sketched(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
-    """(doc_id, raw digest, key of the words, number of shingles, sketches), written once to the shared folder."""
+    """(doc_id, raw digest, key of the words, number of shingles, sketches)."""
     keep = {"doc_id": F.col("doc_id").cast("long"), "raw": F.md5(F.col("text").cast("binary"))}
     return per_text(docs, "text", keep, _sketches(how),
                     "doc_id long, raw string, key binary, size int, sketches array<long>")
@@ -164,26 +163,29 @@ def _verify(how: Sketching):
     return run
 
 
-def links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, how: Sketching) -> DataFrame:
-    """The candidate pairs (a, b) of keys whose alignment is good enough. Only texts of candidates reach Python."""
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = wanted.join(nodes.select("key", "rep"), "key").select("key", F.col("rep.doc_id").alias("d"), F.col("rep.raw").alias("r"))
+def _texts(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, text) of the nodes that have any candidate; the one join that moves texts of all documents."""
+    wanted = keys.distinct().join(nodes.select("key", "rep"), "key").select(
+        "key", F.col("rep.doc_id").alias("d"), F.col("rep.raw").alias("r"))
     texts = docs.select(F.col("doc_id").cast("long").alias("d0"), F.md5(F.col("text").cast("binary")).alias("r0"),
                         F.col("text").cast("binary").alias("text"))
-    texts = cut_lineage(texts.join(wanted, F.col("d0").eqNullSafe(F.col("d")) & (F.col("r0") == F.col("r")))
-                        .select("key", "text").dropDuplicates(["key"]))
+    found = texts.join(wanted, F.col("d0").eqNullSafe(F.col("d")) & (F.col("r0") == F.col("r")))
+    return staged(found.select("key", "text").dropDuplicates(["key"]))
+
+
+def links(pairs: DataFrame, texts: DataFrame, how: Sketching) -> DataFrame:
+    """The candidate pairs (a, b) of keys whose alignment is good enough."""
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verify(how), T.StructType.fromDDL("u binary, v binary"))
+    return staged(both.mapInArrow(_verify(how), T.StructType.fromDDL("u binary, v binary")))
 
 
-def _candidates(buckets: DataFrame, ends: DataFrame, how: Sketching) -> DataFrame:
-    """Members paired with the ends of their bucket, if the sizes allow the threshold."""
-    joined = buckets.join(ends, "bucket")
+def _candidates(members: DataFrame, how: Sketching) -> DataFrame:
+    """Members paired with the ends low and high of their bucket, if the sizes allow the threshold."""
     pairs = None
     for end in ("low", "high"):
-        one = joined.select(F.least("key", f"{end}.key").alias("a"), F.greatest("key", f"{end}.key").alias("b"),
-                            F.col("size").alias("s"), F.col(f"{end}.size").alias("t"))
+        one = members.select(F.least("key", f"{end}.key").alias("a"), F.greatest("key", f"{end}.key").alias("b"),
+                             F.col("size").alias("s"), F.col(f"{end}.size").alias("t"))
         pairs = one if pairs is None else pairs.unionByName(one)
     fits = F.least("s", "t") >= F.lit(how.threshold) * F.greatest("s", "t")
     return pairs.where((F.col("a") != F.col("b")) & fits).select("a", "b").distinct()
@@ -191,37 +193,38 @@ def _candidates(buckets: DataFrame, ends: DataFrame, how: Sketching) -> DataFram
 
 def _ends(members: DataFrame) -> DataFrame:
     node = F.struct("key", "size")
-    return members.groupBy("bucket").agg(F.min(node).alias("low"), F.max(node).alias("high")).where("low.key <> high.key")
+    return members.groupBy("bucket").agg(F.min(node).alias("low"), F.max(node).alias("high"))
 
 
-def classes(docs: DataFrame, how: Sketching = Sketching(), table: DataFrame | None = None) -> DataFrame:
+def classes(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     """(doc_id, raw, class_id, rep): one row per input row; rep is the representative (doc_id, raw digest) of its class."""
-    rows = cut_lineage(sketched(docs, how)) if table is None else table
+    rows = staged(sketched(docs, how))
     rep = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "raw")
-    nodes = cut_lineage(rows.where("key is not null").groupBy("key").agg(
+    nodes = staged(rows.where("key is not null").groupBy("key").agg(
         F.min(rep).alias("rep"), F.first("size").alias("size"), F.first("sketches").alias("sketches")))
     buckets = nodes.select("key", "size", F.explode("sketches").alias("bucket"))
-    seen = cut_lineage(_candidates(buckets, _ends(buckets), how))
-    edges = cut_lineage(links(docs, seen, nodes, how))
-    found = cut_lineage(components(edges))
+    shared = staged(buckets.join(_ends(buckets).where("low.key <> high.key"), "bucket"))
+    texts = _texts(docs, nodes, shared.select("key"))
+    seen = staged(_candidates(shared, how))
+    edges = links(seen, texts, how)
+    found = components(edges)
+    members = shared.select("bucket", "key", "size")
     for _ in range(how.rounds):
-        placed = buckets.join(found, buckets["key"] == found["node"], "left").select(
+        placed = members.join(found, members["key"] == found["node"], "left").select(
             "bucket", "key", "size", F.coalesce("root", "key").alias("root"))
-        first = placed.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other")
-        rest = placed.join(first, "bucket").where("root <> one")
-        ends = rest.groupBy("bucket").agg(
-            F.min(F.struct("key", "size")).alias("low"), F.max(F.struct("key", "size")).alias("high"))
-        more = cut_lineage(_candidates(buckets, ends, how).join(seen, ["a", "b"], "left_anti"))
+        mixed = placed.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other")
+        rest = placed.join(mixed, "bucket").where("root <> one")
+        more = staged(_candidates(members.join(_ends(rest), "bucket"), how).join(seen, ["a", "b"], "left_anti"))
         if more.isEmpty():
             break
-        new = cut_lineage(links(docs, more, nodes, how))
+        new = links(more, texts, how)
         if new.isEmpty():
             break
         seen, edges = seen.unionByName(more), edges.unionByName(new)
-        found = cut_lineage(components(edges))
+        found = components(edges)
     roots = nodes.join(found, nodes["key"] == found["node"], "left").select(
         "key", "rep", F.coalesce("root", "key").alias("root"))
-    named = cut_lineage(roots.join(roots.groupBy("root").agg(F.min("rep").alias("best")), "root").select("key", "best"))
+    named = roots.join(roots.groupBy("root").agg(F.min("rep").alias("best")), "root").select("key", "best")
     out = rows.select("doc_id", "raw", "key").join(named, "key", "left")
     own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "raw")
     return out.select("doc_id", "raw", F.coalesce("best", own).alias("rep")).select(
