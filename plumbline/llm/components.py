@@ -26,16 +26,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
         joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every edge leads to a root: no node has two parents, no parent has one."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where((F.col("up") > 1) | (F.col("up") + F.col("down") > 1)).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (u, v); root is the least node of the component.
+    """(node, root) for every node of the edges (u, v) that is not a root itself; root is the least node of the component.
 
-    Every step writes its edges to the shared folder; the loop ends when a double step changes nothing."""
-    now = staged(edges.where("u <> v").select("u", "v").distinct())
-    mark = None
+    Every double step writes its edges to the shared folder; the loop ends when each node points at its root."""
+    now = edges.where("u <> v").select("u", "v")
     while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not state[0] or state == mark:
-            return staged(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct())
-        mark = state
         now = staged(_small_star(_large_star(now)))
+        if _is_settled(now):
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

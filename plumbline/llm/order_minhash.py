@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.components import components
-from plumbline.llm.text import BASE, WordHashes, Windows, Words, mix, per_text, slices, staged
+from plumbline.llm.text import BASE, WordHashes, Windows, Words, mix, per_text, slices, staged, unused
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ class Sketching:
     length: int = 3
     sketches: int = 20
     threshold: float = 0.8
-    rounds: int = 2
+    rounds: int = 1
 
 
 def shingles(words: Words, k: int) -> list[np.ndarray]:
@@ -235,10 +235,9 @@ def keep_one(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     """The documents without near-duplicates: of each class the representative stays, with all its columns.
 
     Of repeated rows one stays; rows without words all stay."""
-    wanted = classes(docs, how).select("rep.doc_id", "rep.raw").distinct()
-    wanted = wanted.select(F.col("doc_id").alias("__d"), F.col("raw").alias("__r"))
-    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__raw": F.md5(F.col("text").cast("binary"))})
+    own_id, own_raw, d, r = unused(docs, "__id", "__raw", "__d", "__r")
+    wanted = classes(docs, how).select("rep.doc_id", "rep.raw").distinct().toDF(d, r)
+    marked = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_raw: F.md5(F.col("text").cast("binary"))})
     kept = marked.where(F.col("text").isNotNull()).join(
-        wanted, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__raw") == F.col("__r")), "left_semi")
-    kept = kept.dropDuplicates(["__id", "__raw"])
-    return kept.unionByName(marked.where(F.col("text").isNull())).drop("__id", "__raw")
+        wanted, F.col(own_id).eqNullSafe(F.col(d)) & (F.col(own_raw) == F.col(r)), "left_semi")
+    return kept.dropDuplicates([own_id, own_raw]).unionByName(marked.where(F.col("text").isNull())).drop(own_id, own_raw)
