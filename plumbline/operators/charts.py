@@ -18,6 +18,10 @@ from plumbline.operators.quantiles import column_quantiles
 from plumbline.session import small_table
 
 
+#: Bins of a histogram at most; the bin number is an int.
+MOST_BINS = 1 << 30
+
+
 def chart_routes(facts: DataFrame) -> DataFrame:
     """Which chart each column gets: (ordinal, column, chart, place).
 
@@ -40,10 +44,17 @@ def _picked(df: DataFrame, routes: DataFrame, keep: Column) -> list[ColumnInfo]:
     return sorted(cols, key=lambda c: chosen[c.ordinal])
 
 
-def bar_data(df: DataFrame, facts: DataFrame) -> DataFrame:
-    """Value counts of the bar-chart columns with rank and share; columns above 20 values are left out."""
-    keep = (F.col("chart") == "bar") & (F.col("place") <= vocab.MAX_BARS) & (
-        F.col("nunique").between(1, vocab.MAX_BAR_CATEGORIES))
+def bar_data(df: DataFrame, facts: DataFrame, max_columns: int | None = None, max_values: int | None = None) -> DataFrame:
+    """Value counts of the bar-chart columns with rank and share.
+
+    ``max_columns`` and ``max_values`` leave out later columns and columns with
+    more values, for a display that has no room for them.
+    """
+    keep = (F.col("chart") == "bar") & (F.col("nunique") >= 1)
+    if max_columns is not None:
+        keep &= F.col("place") <= max_columns
+    if max_values is not None:
+        keep &= F.col("nunique") <= max_values
     cols = _picked(df, chart_routes(facts), keep)
     freq = value_frequencies(df, cols)
     rank = F.row_number().over(Window.partitionBy("ordinal").orderBy(F.desc("n"), "value"))
@@ -52,8 +63,10 @@ def bar_data(df: DataFrame, facts: DataFrame) -> DataFrame:
         "ordinal", "column", "value", "n", rank.alias("rk"), F.round(F.col("n") / total * 100, 4).alias("share"))
 
 
-def histogram_columns(df: DataFrame, facts: DataFrame) -> list[ColumnInfo]:
-    keep = (F.col("chart") == "histogram") & (F.col("place") <= vocab.MAX_HISTOGRAMS) & (F.col("n") > 0)
+def histogram_columns(df: DataFrame, facts: DataFrame, max_columns: int | None = None) -> list[ColumnInfo]:
+    keep = (F.col("chart") == "histogram") & (F.col("n") > 0)
+    if max_columns is not None:
+        keep &= F.col("place") <= max_columns
     return _picked(df, chart_routes(facts), keep)
 
 
@@ -62,14 +75,18 @@ def _axis(c: ColumnInfo, log: bool) -> Column:
     return F.when(c.number > 0, F.log10(c.number)) if log else c.number
 
 
-def histogram_specs(df: DataFrame, facts: DataFrame, log_scale: bool | None = None) -> DataFrame:
+def histogram_specs(
+    df: DataFrame, facts: DataFrame, log_scale: bool | None = None, max_columns: int | None = None, max_bins: int = MOST_BINS
+) -> DataFrame:
     """Binning of each histogram column: (ordinal, column, log_scale, n, lo, hi, bins, skew).
 
     A column whose skew proxy exceeds the limit is shown on a log axis
     (``log_scale`` forces the choice). The bin width is the smaller of the
-    Sturges and Freedman-Diaconis widths, on the axis shown.
+    Sturges and Freedman-Diaconis widths, on the axis shown; far outliers make
+    many bins of that width, of which only the filled ones are counted, and
+    beyond ``max_bins`` the bins get wider.
     """
-    cols = histogram_columns(df, facts)
+    cols = histogram_columns(df, facts, max_columns)
     spark = df.sparkSession
     stats = {r["ordinal"]: r for r in facts.select("ordinal", "n", "mean", "median", "std", "min", "max", "q1", "q3").collect()}
     rows, logged = [], []
@@ -98,7 +115,7 @@ def histogram_specs(df: DataFrame, facts: DataFrame, log_scale: bool | None = No
     sturges = reach / (F.log2("n") + 1)
     fd = 2 * (F.col("q3") - F.col("q1")) / F.pow(F.col("n").cast("double"), F.lit(1 / 3))
     width = F.when(fd > 0, F.least(fd, sturges)).otherwise(sturges)
-    bins = F.when(reach > 0, F.ceil(reach / width)).otherwise(1).cast("int")
+    bins = F.when(reach > 0, F.ceil(F.least(reach / width, F.lit(float(max_bins))))).otherwise(1).cast("int")
     return table.select("ordinal", "column", "log_scale", "n", "lo", "hi", bins.alias("bins"), "skew")
 
 

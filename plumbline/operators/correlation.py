@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,17 +25,26 @@ def pair_r(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
 
 
-def correlatable(facts: DataFrame, cap: int = vocab.MAX_CORRELATION_COLUMNS) -> DataFrame:
-    """Numeric columns worth correlating: more than one value; above ``cap``, the largest variances."""
+def correlatable(facts: DataFrame, cap: int | None = None) -> DataFrame:
+    """Numeric columns worth correlating: more than one value; with a ``cap``, the largest variances."""
     usable = facts.where("role = 'numeric' AND nunique > 1")
+    if cap is None:
+        return usable.select("ordinal", "column")
     width = Window.partitionBy(F.lit(1))
     rank = F.row_number().over(width.orderBy(F.desc("std"), "ordinal"))
     return usable.withColumn("rank", rank).where(F.col("rank") <= cap).select("ordinal", "column")
 
 
-def _gram(frames: Sequence[float]):
+def _frame(mean: float | None, low: float | None, high: float | None) -> tuple[float, float]:
+    """Shift and scale that bring a column's values into [-2, 2]; the sums of products then cannot overflow."""
+    reach = max(abs(low or 0.0), abs(high or 0.0))
+    center = mean if mean is not None and math.isfinite(mean) else 0.0
+    return center, reach if 0 < reach < math.inf else 1.0
+
+
+def _gram(frames: Sequence[tuple[float, float]]):
     """Per-task sums for all pairs: one small matrix product per Arrow batch."""
-    center = np.array(frames, dtype="float64")
+    center, scale = np.array(frames, dtype="float64").T
     width = len(center)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,7 +52,7 @@ def _gram(frames: Sequence[float]):
         for batch in batches:
             block = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype("float64")
             known = ~np.isnan(block)
-            x = np.where(known, block - center, 0.0)
+            x = np.where(known, block / scale - center / scale, 0.0)
             m = known.astype("float64")
             sq = x * x
             sums[0] += m.T @ m
@@ -62,14 +72,25 @@ def _gram(frames: Sequence[float]):
     return run
 
 
+def _frames(df: DataFrame, cols: Sequence[ColumnInfo]) -> dict[int, tuple[float, float]]:
+    row = df.agg(*[
+        f(c.number).alias(f"{k}{c.ordinal}") for c in cols for k, f in (("m", F.avg), ("lo", F.min), ("hi", F.max))]).first()
+    return {c.ordinal: _frame(*(row[f"{k}{c.ordinal}"] for k in ("m", "lo", "hi"))) for c in cols}
+
+
+def _framed(v: Column, center: float, scale: float) -> Column:
+    return v / F.lit(scale) - F.lit(center / scale)
+
+
 def _r_from_sums() -> Column:
     n = F.col("n")
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
     vy = F.col("syy") - F.col("sy") * F.col("sy") / n
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
     spread = (vx > F.lit(1e-12) * F.col("sxx")) & (vy > F.lit(1e-12) * F.col("syy"))
-    r = cov / (F.sqrt(vx) * F.sqrt(vy))
-    return F.when((n > 1) & spread, F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
+    r = F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy))
+    finite = ~F.isnan(r) & (F.abs(r) < F.lit(float("inf")))
+    return F.when((n > 1) & spread & finite, F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
 
 
 def corr_pairs(
@@ -79,7 +100,9 @@ def corr_pairs(
 
     Without slices, each task reduces its rows to sums over all pairs (columns²
     numbers, whatever the rows), so one scan serves any number of pairs. Values
-    are shifted by the column mean first to keep the sums well-conditioned.
+    are shifted by the column mean and scaled by the largest magnitude first,
+    which keeps the sums finite and well-conditioned; r is null if a value is
+    infinite.
     """
     cols = list(cols) if cols is not None else numeric_columns(df, by)
     if facts is not None and not by:
@@ -91,14 +114,13 @@ def corr_pairs(
     if by:
         return _sliced_pairs(df, cols, by)
     if facts is not None:
-        means = {r["ordinal"]: r["mean"] for r in facts.select("ordinal", "mean").collect()}
-        center = [means.get(c.ordinal) or 0.0 for c in cols]
+        known = {r["ordinal"]: (r["mean"], r["min"], r["max"]) for r in facts.select("ordinal", "mean", "min", "max").collect()}
+        frames = [_frame(*known.get(c.ordinal, (None, None, None))) for c in cols]
     else:
-        row = df.agg(*[F.avg(c.number).alias(f"m{c.ordinal}") for c in cols]).first()
-        center = [row[f"m{c.ordinal}"] or 0.0 for c in cols]
+        frames = list(_frames(df, cols).values())
     sums = (
         df.select(*[c.number.alias(f"c{i}") for i, c in enumerate(cols)])
-        .mapInArrow(_gram(center), _PARTIAL)
+        .mapInArrow(_gram(frames), _PARTIAL)
         .groupBy("i", "j")
         .agg(*[F.sum(k).alias(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     )
@@ -113,10 +135,9 @@ def corr_pairs(
 
 def _sliced_pairs(df: DataFrame, cols: Sequence[ColumnInfo], by: str) -> DataFrame:
     """Sums per slice and pair; each task combines its rows before the shuffle."""
-    means = df.agg(*[F.avg(c.number).alias(f"m{c.ordinal}") for c in cols]).first()
-    center = {c.ordinal: means[f"m{c.ordinal}"] or 0.0 for c in cols}
+    frames = _frames(df, cols)
     pairs = [(a, b) for k, a in enumerate(cols) for b in cols[k + 1 :]]
-    shifted = df.select(*slice_key(by), *[(c.number - F.lit(center[c.ordinal])).alias(f"c{c.ordinal}") for c in cols])
+    shifted = df.select(*slice_key(by), *[_framed(c.number, *frames[c.ordinal]).alias(f"c{c.ordinal}") for c in cols])
     cells = F.array(*[F.struct(F.col(f"c{a.ordinal}").alias("x"), F.col(f"c{b.ordinal}").alias("y")) for a, b in pairs])
     x, y = F.col("cell.x"), F.col("cell.y")
     sums = (

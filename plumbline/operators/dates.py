@@ -22,43 +22,29 @@ def parse_date(c: Column, fmt: str) -> Column:
     return F.try_to_timestamp(c, F.lit(fmt))
 
 
-def _sample(df: DataFrame, cols: Sequence[ColumnInfo]) -> list[tuple[str, str]]:
-    """Up to the sample size of present values per column; reads only the first partitions it needs."""
-    size = vocab.DATE_SAMPLE_ROWS
-    rows = df.select(*[c.value.alias(f"c{c.ordinal}") for c in cols]).take(size)
-    out: list[tuple[str, str]] = []
-    for c in cols:
-        values = [r[f"c{c.ordinal}"] for r in rows if r[f"c{c.ordinal}"] is not None]
-        if len(values) < size and len(rows) == size:
-            some = df.select(c.value.alias("v")).where(F.col("v").isNotNull()).take(size)
-            values = [r["v"] for r in some]
-        out += [(c.name, v) for v in values]
-    return out
-
-
 def date_formats(df: DataFrame, cols: Sequence[ColumnInfo] | None = None) -> DataFrame:
-    """(column, format) of the text columns whose sample reads as dates.
+    """(column, format) of the text columns that read as dates, judged on all their values.
 
-    A cheap pattern gate, then the first listed format that reads at least 90 %
-    of the sample, then free parsing.
+    One pass applies a cheap pattern gate to every text column. Only for the
+    columns that pass it, a second pass measures the share each listed format
+    reads: the first one with at least 90 % is taken, then free parsing.
     """
     cols = list(cols) if cols is not None else [c for c in columns_of(df) if c.kind == TEXT]
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, "column string, format string"
     if not cols:
-        return small_table(spark, [], "column string, format string")
-    sample = small_table(spark, _sample(df, cols), "column string, value string")
-    value = F.col("value")
-    like = F.trim(value).rlike(vocab.DATE_LIKE_PATTERN)
+        return small_table(spark, [], schema)
+    gates = df.agg(*[
+        F.avg(F.trim(c.value).rlike(vocab.DATE_LIKE_PATTERN).cast("double")).alias(f"g{c.ordinal}") for c in cols]).first()
+    passed = [c for c in cols if (gates[f"g{c.ordinal}"] or 0.0) >= vocab.DATE_GATE_SHARE]
+    if not passed:
+        return small_table(spark, [], schema)
     order = [*vocab.DATE_FORMATS, FREE]
-    shares = sample.groupBy("column").agg(
-        F.avg(like.cast("double")).alias("gate"),
-        *[F.avg(parse_date(value, f).isNotNull().cast("double")).alias(f"f{i}") for i, f in enumerate(order)],
-    )
-    chosen = F.coalesce(*[F.when(F.col(f"f{i}") >= vocab.DATE_PARSE_SHARE, F.lit(f)) for i, f in enumerate(order)])
-    return (
-        shares.where(F.col("gate") >= vocab.DATE_GATE_SHARE)
-        .select("column", chosen.alias("format")).where(F.col("format").isNotNull())
-    )
+    shares = df.agg(*[
+        F.avg(F.when(c.value.isNotNull(), parse_date(c.value, f).isNotNull().cast("double"))).alias(f"s{c.ordinal}_{i}")
+        for c in passed for i, f in enumerate(order)]).first()
+    chosen = [(c.name, next((f for i, f in enumerate(order) if shares[f"s{c.ordinal}_{i}"] >= vocab.DATE_PARSE_SHARE), None))
+              for c in passed]
+    return small_table(spark, [pick for pick in chosen if pick[1] is not None], schema)
 
 
 def datetime_profile(df: DataFrame, cols: Sequence[ColumnInfo] | None = None) -> DataFrame:
@@ -108,11 +94,3 @@ def datetime_profile(df: DataFrame, cols: Sequence[ColumnInfo] | None = None) ->
         .where((F.col("n") > 0) & (F.col("parsed") / F.col("n") >= vocab.DATE_PARSE_SHARE))
         .drop("n", "parsed")
     )
-
-
-def date_view(df: DataFrame, formats: DataFrame) -> DataFrame:
-    """The table with its detected text dates as timestamps."""
-    found = {r["column"]: r["format"] for r in formats.collect()}
-    return df.select(*[
-        (parse_date(c.value, found[c.name]) if c.name in found else c.value).alias(c.name) for c in columns_of(df)
-    ])

@@ -55,8 +55,13 @@ def duplicate_rows(df: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row of each set of equal rows (null equals null)."""
-    return df.dropDuplicates()
+    """One row of each set of equal rows (null equals null; maps are compared by their entries)."""
+    cols = columns_of(df)
+    if not any(isinstance(c.dtype, T.MapType) for c in cols):
+        return df.dropDuplicates()
+    keys = [_groupable(c).alias(f"k{c.ordinal}") for c in cols]
+    rows = df.groupBy(*keys).agg(*[F.first(ref(c.name)).alias(f"v{c.ordinal}") for c in cols])
+    return rows.select(*[F.col(f"v{c.ordinal}").alias(c.name) for c in cols])
 
 
 def dedupe_counts(df: DataFrame) -> DataFrame:

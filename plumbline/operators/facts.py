@@ -67,6 +67,9 @@ def _moments(df: DataFrame, cols: Sequence[ColumnInfo], by: str | None) -> DataF
 def basic_facts(df: DataFrame, by: str | None = None) -> DataFrame:
     """Counts, moments and extremes of every column, in batches of ``BATCH`` columns per aggregate."""
     cols = columns_of(df, by)
+    if not cols:  # no column, no row
+        none = df.select(*[F.col(c) for c in df.columns], F.lit(0).alias("none"))
+        return _moments(none, [c for c in columns_of(none, by)], by).where(F.lit(False))
     parts = [_moments(df, cols[i : i + BATCH], by) for i in range(0, len(cols), BATCH)]
     out = parts[0]
     for part in parts[1:]:

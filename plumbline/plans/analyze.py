@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import vocab
 from plumbline.operators import charts, compare, insights, quality, recommend, roles
 from plumbline.operators.cleaning import clean
 from plumbline.operators.columns import ref
@@ -74,8 +75,9 @@ def analyze(
     cleaned_path: str | None = None,
     mode: str = "exact",
     signals_on: str = "cleaned",
+    max_bar_values: int | None = vocab.MAX_BAR_CATEGORIES,
 ) -> Analysis:
-    """Analyse a table end to end.
+    """Analyse a table end to end. Bar charts leave out columns with more than ``max_bar_values`` values.
 
     Target and identifiers are decided on the original table. Without ``plan``
     one is proposed from the profile. The cleaned table is written once (to
@@ -120,7 +122,7 @@ def analyze(
     score = _held(quality.quality_score(facts, duplicates, target, out.problem_type, identifiers, balance))
     comparison = compare.before_after(before.facts, facts, result.actions)
 
-    bars = charts.bar_data(out.pre_encoding, chart_facts)
+    bars = charts.bar_data(out.pre_encoding, chart_facts, max_values=max_bar_values)
     specs = charts.histogram_specs(out.pre_encoding, chart_facts)
     pairs = _held(charts.continuous_pairs(out.pre_encoding, chart_facts))
     out.tables.update({

@@ -72,6 +72,13 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return "UTF-8" if row["ok"] in (True, None) else "ISO-8859-1"
 
 
+def has_broken_cells(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell goes on over a line break: some line has an odd number of quotes."""
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).agg(F.max(quotes % 2 == 1).alias("odd")).first()["odd"])
+
+
 def detect_layout(spark: SparkSession, path: str, encoding: str | None = None) -> Layout:
     """Decide banner, header and names from the first raw lines."""
     try:
@@ -117,12 +124,18 @@ def _text_rows(spark: SparkSession, path: str, layout: Layout, multiline: bool)
         return spark.read.csv(
             path, schema=schema, header=layout.header_line is not None, encoding=layout.encoding,
             multiLine=multiline, enforceSchema=True, **options)
+    if multiline:
+        raise ScanError(f"{path} has a line before its header and cells with line breaks; remove the line before the header.")
     line = F.col("value")
     if layout.encoding != "UTF-8":
         line = F.decode(line.cast("binary"), layout.encoding)
     skip = [layout.banner] + ([layout.header_line] if layout.header_line is not None else [])
-    rows = spark.read.text(path).select(line.alias("line")).where(
-        ~F.col("line").isin(skip) & (F.trim("line") != ""))
+    lines = spark.read.text(path).select(
+        line.alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"))
+    # the first banner and header line of each file go, by their place; equal lines further down are data
+    first = lines.where((F.col("start") == 0) & F.col("line").isin(skip)).groupBy("file", "line").agg(F.min("at").alias("at"))
+    rows = lines.join(first.select("file", "at"), ["file", "at"], "left_anti").where(F.trim("line") != "")
     return rows.select(F.from_csv("line", F.lit(schema.toDDL()), options).alias("r")).select("r.*")
 
 
@@ -178,15 +191,15 @@ def read_csv(
     spark: SparkSession,
     path: str,
     encoding: str | None = None,
-    multiline: bool = False,
+    multiline: bool | None = None,
     max_rows: int | None = None,
-    max_columns: int | None = vocab.MAX_COLUMNS,
+    max_columns: int | None = None,
     stage_to: str | None = None,
 ) -> DataFrame:
     """Read CSV files with repairs and typed columns.
 
-    ``multiline`` admits line breaks in quoted cells but makes each file one
-    task, so it is off by default. ``max_rows`` and ``max_columns`` are optional
+    Line breaks in quoted cells are found by a pass over the lines; only files
+    that have them are read as one task each (``multiline`` sets this by hand). ``max_rows`` and ``max_columns`` are optional
     guards that raise; nothing is ever cut off. ``stage_to`` writes the typed
     table there as parquet and returns it, so that later passes read columns
     instead of parsing text again.
@@ -194,6 +207,8 @@ def read_csv(
     layout = detect_layout(spark, path, encoding)
     if max_columns and len(layout.names) > max_columns:
         raise ScanError(f"{path} has {len(layout.names):,} columns, above the {max_columns:,}-column limit.")
+    if multiline is None:
+        multiline = has_broken_cells(spark, path)
     rows = _text_rows(spark, path, layout, multiline)
     types, total, surplus = infer_types(rows, layout.names)
     if surplus:

@@ -421,12 +421,12 @@ def statistics_table(spark, sf):
 @query
 def bar_data(spark, sf):
     df = load(spark, sf, "lineitem")
-    return charts.bar_data(df, facts.column_facts(df, quantiles=False))
+    return charts.bar_data(df, facts.column_facts(df, quantiles=False), vocab.MAX_BARS, vocab.MAX_BAR_CATEGORIES)
 
 
 def _histogram(spark, sf, log):
     df = load(spark, sf, "events").drop("props")
-    specs = charts.histogram_specs(df, facts.column_facts(df), log)
+    specs = charts.histogram_specs(df, facts.column_facts(df), log, vocab.MAX_HISTOGRAMS)
     out = charts.histogram_data(df, specs)
     return out.withColumns({c: F.round(c, 4) for c in ("bin_from", "bin_to")})
 
@@ -444,7 +444,7 @@ def hist_log_data(spark, sf):
 @query
 def kde_curve(spark, sf):
     df = load(spark, sf, "events").select("value")
-    curve = charts.density_curves(df, charts.histogram_specs(df, facts.column_facts(df)))
+    curve = charts.density_curves(df, charts.histogram_specs(df, facts.column_facts(df), max_columns=vocab.MAX_HISTOGRAMS))
     return curve.select("point", F.round("x", 4).alias("x"), F.round("density", 8).alias("density"))
 
 
@@ -476,7 +476,8 @@ def chart_manifest(spark, sf):
     df = load(spark, sf, "events").drop("props", "ts")
     found = facts.column_facts(df)
     return charts.chart_manifest(
-        found, charts.bar_data(df, found), charts.histogram_specs(df, found), charts.continuous_pairs(df, found))
+        found, charts.bar_data(df, found, vocab.MAX_BARS, vocab.MAX_BAR_CATEGORIES),
+        charts.histogram_specs(df, found, max_columns=vocab.MAX_HISTOGRAMS), charts.continuous_pairs(df, found))
 
 
 # --- model ranking ------------------------------------------------------------
