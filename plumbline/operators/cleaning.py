@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import vocab
 from plumbline.operators.columns import BOOLEAN, DATETIME, NUMERIC, UNSUPPORTED, ColumnInfo, columns_of, ref
@@ -81,7 +83,10 @@ def keep_in_range(df: DataFrame, name: str, low: float, high: float) -> DataFram
 
 
 def clipped(c: ColumnInfo, low: float, high: float) -> Column:
-    """Value clipped to [low, high]; nulls stay null."""
+    """Value clipped to [low, high]; nulls stay null. Decimals keep their type, so only cells outside change."""
+    if isinstance(c.dtype, T.DecimalType):
+        ends = [F.lit(x).cast(T.DecimalType(38, c.dtype.scale)) for x in (low, high)]
+        return F.least(F.greatest(c.value, ends[0]), ends[1]).cast(c.dtype) if None not in (low, high) else c.value
     out = F.when(c.value.isNotNull(), F.least(F.greatest(c.number, F.lit(low)), F.lit(high)))
     whole = float(low).is_integer() and float(high).is_integer()
     return out.cast(c.dtype) if c.is_integral and whole else out
@@ -124,6 +129,8 @@ def _filled(c: ColumnInfo, fill: object) -> Column:
         return F.coalesce(c.value, F.lit(bool(fill)))
     if c.is_integral and float(fill).is_integer():
         return F.coalesce(c.value, F.lit(int(fill)).cast(c.dtype))
+    if isinstance(c.dtype, T.DecimalType):  # present cells keep every digit; the fill is rounded to the column's scale
+        return F.coalesce(c.value, F.lit(float(fill)).cast(c.dtype))
     if c.kind == NUMERIC:
         return F.coalesce(c.number, F.lit(float(fill)))
     return F.coalesce(c.value, F.lit(fill).cast(c.dtype))
@@ -244,17 +251,30 @@ def _apply_outliers(df: DataFrame, steps: Sequence[Step], target: str | None, lo
     return run(df) if batch else df
 
 
-def one_hot(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[str]]:
+def _shown(c: ColumnInfo, v: object) -> str:
+    """Text of a value in a column name."""
+    if c.kind == BOOLEAN:
+        return "true" if v else "false"
+    if isinstance(c.dtype, T.DateType):
+        return (date(1970, 1, 1) + timedelta(days=v)).isoformat()
+    if c.kind == DATETIME:
+        return str(datetime(1970, 1, 1) + timedelta(microseconds=v))
+    return str(v)
+
+
+def one_hot(
+    df: DataFrame, names: Sequence[str], limit: int = vocab.MAX_CATEGORIES, ratio: float = vocab.MAX_ENCODE_RATIO
+) -> tuple[DataFrame, list[str]]:
     """Replace columns by 0/1 columns ``<column>_<value>``, one per sorted value.
 
-    A null gets 0 everywhere. Columns with more than 50 values, or with more
-    than half as many values as rows, are left alone; only the kept values (at
-    most 50 per column) reach the driver. Returns the columns encoded.
+    A null gets 0 everywhere. Columns with more than ``limit`` values, or in
+    tables of up to twice that many rows with more values than ``ratio`` of the
+    rows, are left alone; only the kept values reach the driver. Returns the
+    columns encoded. Timestamps are named in UTC.
     """
     cols = [c for n in names for c in columns_of(df) if c.name == n and c.kind != UNSUPPORTED]
     if not cols:
         return df, []
-    limit = vocab.MAX_CATEGORIES
     found: dict[int, list] = {}
     for part in value_counts(df, cols):
         order = Window.partitionBy("ordinal").orderBy("v")
@@ -266,14 +286,13 @@ def one_hot(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[str]]:
     keep = [
         c for c in cols
         if len(found.get(c.ordinal, [])) <= limit
-        and not (rows <= 2 * limit and len(found.get(c.ordinal, [])) > rows * vocab.MAX_ENCODE_RATIO)
+        and not (rows <= 2 * limit and len(found.get(c.ordinal, [])) > rows * ratio)
     ]
     chosen = {c.name for c in keep}
     out = [ref(n) for n in df.columns if n not in chosen]
     for c in keep:
         for v in found.get(c.ordinal, []):
-            text = str(v) if c.kind != BOOLEAN else ("true" if v else "false")
-            out.append(c.family_value.eqNullSafe(F.lit(v).cast(c.family)).cast("int").alias(f"{c.name}_{text}"))
+            out.append(c.family_value.eqNullSafe(F.lit(v).cast(c.family)).cast("int").alias(f"{c.name}_{_shown(c, v)}"))
     return df.select(*out), [c.name for c in keep]
 
 

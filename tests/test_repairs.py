@@ -96,3 +96,19 @@ def test_rows_like_the_header_stay(spark, put):
     body = [",".join([str(k)] * 5) for k in range(40)]
     path = put("\n".join(["a banner", head, *body, head]) + "\n")
     assert csv_files.read_csv(spark, path).count() == 41
+
+
+def test_decimals_keep_their_digits(spark):
+    from plumbline.operators.cleaning import clean
+
+    df = spark.sql("SELECT CAST(v AS decimal(20, 2)) d FROM VALUES ('12345678901234567.89'), (NULL), ('1.25'), ('3.50') t(v)")
+    out = clean(df, {"missing_values": {"d": "median"}}).encoded
+    assert out.schema == df.schema or dict(out.dtypes)["d"] == "decimal(20,2)"
+    assert sorted(str(r["d"]) for r in out.collect()) == ["1.25", "12345678901234567.89", "3.50", "3.50"]
+
+
+def test_dated_one_hot_columns(spark):
+    from plumbline.operators.cleaning import one_hot
+
+    df = spark.sql("SELECT DATE'2020-01-01' d, TIMESTAMP'2020-01-01 00:00:00' t UNION ALL SELECT DATE'2020-01-02', NULL")
+    assert one_hot(df, ["d", "t"], ratio=2.0)[0].columns == ["d_2020-01-01", "d_2020-01-02", "t_2020-01-01 00:00:00"]
