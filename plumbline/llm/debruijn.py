@@ -9,7 +9,7 @@ A window is `length` consecutive words; every word covered by a window that occu
    node leave by it and all of its last node arrive by it; nothing branches or stops there.
 3. Joining the counts to the occurrences compacts runs of solid edges into paths. Every occurrence of a path has the same
    words from end to end, so a path of at least `length` words is repeated as a whole.
-4. The windows that hold a repeated node but reach beyond their path are the only open ones. They are hashed at their source
+4. The windows that hold repeated nodes only but reach beyond their path are the open ones. They are hashed at their source
    coordinates (128 bits) and counted; equal windows are open in all their occurrences or in none.
 5. Covered words are cut from the texts that have any.
 
@@ -32,6 +32,10 @@ from pyspark.sql.window import Window
 from plumbline.llm.text import WordHashes, Windows, Words, mix, per_text, staged, unused
 
 
+#: Documents with repeated nodes whose ids are sent to all tasks; with more of them all texts go through the join.
+BROADCAST_ROWS = 1 << 20
+
+
 @dataclass(frozen=True)
 class Passages:
     """length = 2 * k - s - 1, which makes sure that every window has a node."""
@@ -97,14 +101,16 @@ def _nodes(how: Passages):
     return start
 
 
-def _open_windows(how: Passages, paths: list[dict], n_words: int) -> np.ndarray:
-    """Starts of the windows that hold a whole repeated node of a path but do not lie inside the path."""
-    parts = []
+def _open_windows(how: Passages, paths: list[dict], nodes: np.ndarray, n_words: int) -> np.ndarray:
+    """Starts of the windows that hold repeated nodes only but do not lie inside one path; nodes are all of the document's."""
+    parts, once = [], np.ones(len(nodes), bool)
     for p in paths:
         begin, end = p["begin"], p["end"]
+        once &= (nodes < begin) | (nodes > end - how.k)
         starts = np.arange(max(0, begin + how.k - how.length), min(n_words - how.length, end - how.k) + 1)
         parts.append(starts[(starts < begin) | (starts + how.length > end)])
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+    at, once = np.unique(np.concatenate(parts)), nodes[once]
+    return at[np.searchsorted(once, at + how.length - how.k, "right") == np.searchsorted(once, at, "left")]
 
 
 def _emit_open(how: Passages):
@@ -115,12 +121,16 @@ def _emit_open(how: Passages):
             words = Words(texts, memory)
             one, two = Windows(words.hashes), Windows(mix(words.hashes + np.uint64(0x632BE59BD9B4E019)))
             first, second = one.of(how.length), two.of(how.length)
-            rids = rows.column("rid").to_pylist()
-            out = {"rid": [], "at": [], "h1": [], "h2": []}
+            nodes = syncmers(words, one, how)
+            bounds = np.searchsorted(words.doc[nodes], np.arange(len(texts) + 1))
+            rids, copies = rows.column("rid").to_pylist(), rows.column("copies").to_pylist()
+            out = {"rid": [], "at": [], "copies": [], "h1": [], "h2": []}
             for d, paths in enumerate(rows.column("paths").to_pylist()):
-                at = _open_windows(how, paths, int(words.counts[d]))
+                own = nodes[bounds[d] : bounds[d + 1]] - words.starts[d]
+                at = _open_windows(how, paths, own, int(words.counts[d]))
                 out["rid"].append(np.full(len(at), rids[d], np.int64))
                 out["at"].append(at.astype(np.int32))
+                out["copies"].append(np.full(len(at), copies[d], np.int64))
                 out["h1"].append(first[at + words.starts[d]].view(np.int64))
                 out["h2"].append(second[at + words.starts[d]].view(np.int64))
             yield {c: np.concatenate(v) for c, v in out.items()}
@@ -133,7 +143,7 @@ def _emit_open(how: Passages):
 def _cut(how: Passages):
     def start():
         def work(rows, texts):
-            out = {"doc_id": rows.column("doc_id"), "rid": rows.column("rid"), "n_removed": [], "sha": [], "kept": []}
+            out = {"rid": rows.column("rid"), "n_removed": [], "sha": [], "kept": []}
             windows = rows.column("windows").to_pylist()
             for text, paths, starts in zip(texts, rows.column("paths").to_pylist(), windows):
                 words = text.split()
@@ -181,17 +191,19 @@ def repeats(docs: DataFrame, how: Passages = Passages()) -> tuple[DataFrame, Dat
     steps = found.withColumn("fresh", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
     runs = steps.withColumn("path", F.sum("fresh").over(walk.rowsBetween(Window.unboundedPreceding, 0)))
     paths = runs.groupBy("rid", "path").agg(F.min("at").alias("begin"), (F.max("at") + how.k).alias("end"))
-    paths = paths.groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("paths"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id().alias("rid"), F.col("text").cast("binary").alias("text"))
-    touched = staged(texts.join(paths, "rid").select("doc_id", "rid", "text", "paths"))
-    carry = {c: F.col(c) for c in ("doc_id", "rid", "paths")}
-    windows = staged(per_text(touched, "text", {c: F.col(c) for c in ("rid", "paths")}, _emit_open(how),
-                              "rid long, at int, h1 long, h2 long"))
-    again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    starts = windows.join(again, ["h1", "h2"]).groupBy("rid").agg(F.collect_set("at").alias("windows"))
-    once = touched.dropDuplicates(["rid"]).join(starts, "rid", "left")
-    cuts = per_text(once, "text", {**carry, "windows": F.col("windows")}, _cut(how),
-                    "doc_id long, rid long, n_removed long, sha string, kept binary")
+    paths = staged(paths.groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("paths")))
+    texts = docs.select(row_id().alias("rid"), F.col("text").cast("binary").alias("text"))
+    if paths.count() <= BROADCAST_ROWS:  # texts without repeated nodes then stay where they are
+        texts = texts.join(F.broadcast(paths.select("rid")), "rid", "left_semi")
+    touched = staged(texts.join(paths, "rid").groupBy("rid").agg(
+        F.first("text").alias("text"), F.first("paths").alias("paths"), F.count("*").alias("copies")))
+    windows = staged(per_text(touched, "text", {c: F.col(c) for c in ("rid", "paths", "copies")}, _emit_open(how),
+                              "rid long, at int, copies long, h1 long, h2 long"))
+    again = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select("h1", "h2")
+    starts = windows.join(again, ["h1", "h2"]).groupBy("rid").agg(F.collect_list("at").alias("windows"))
+    once = touched.join(starts, "rid", "left")
+    carry = {c: F.col(c) for c in ("rid", "paths", "windows")}
+    cuts = per_text(once, "text", carry, _cut(how), "rid long, n_removed long, sha string, kept binary")
     return table.select("doc_id", "rid", "n_words", "sha"), cuts.where("n_removed > 0")
 
 
