@@ -22,11 +22,9 @@ import ahocorasick
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.text import per_text
+from plumbline.llm.text import Remembering, per_text
 
 SPACE = "▁"
-#: Remembered parts and token pairs of a worker; either starts afresh when full.
-REMEMBERED = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -86,22 +84,15 @@ class Encoder:
         for piece in vocabulary.whole:
             self.automaton.add_word(piece, (len(piece), piece))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs = Remembering(lambda pair: merge("".join(pair), vocabulary.pieces) == [*pair])
         spans = any(re.search(f"[^{SPACE}]{SPACE}", p) or "\n" in p for p in vocabulary.pieces)
         self.cuts = None if spans else re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
-    def fit(self, left: str, right: str) -> bool:
-        """Whether merging leaves the two tokens as they are."""
-        if len(self.pairs) >= REMEMBERED:
-            self.pairs.clear()
-        known = self.pairs[left, right] = merge(left + right, self.v.pieces) == [left, right]
-        return known
-
     def tokens(self, text: str) -> list[str]:
         """The encoding as pieces (or single characters outside the vocabulary)."""
         n = len(text)
         last: list[str | None] = [None] * (n + 1)
-        known = self.pairs.get
+        fits = self.pairs  # (left, right): whether merging leaves the two tokens as they are
         for end, (size, token) in self.automaton.iter(text):  # ends ascend; at an end any order, one token fits
             end += 1
             if last[end] is None:
@@ -110,8 +101,7 @@ class Encoder:
                     left = last[start]
                     if left is None:
                         left = last[start] = text[start - 1]
-                    fits = known((left, token))
-                    if not (self.fit(left, token) if fits is None else fits):
+                    if not fits[left, token]:
                         continue
                 last[end] = token
         out, at = [], n
@@ -177,28 +167,6 @@ def _utf8(raw: bytes) -> str:
         return "".join(out)
 
 
-class _Remembered(dict):
-    """Part -> its ids as decimal text. `odd` has the decoded text of the parts that do not decode to themselves."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-        self.odd: dict[str, str] = {}
-
-    def __missing__(self, part: str) -> str:
-        ids = self.encoder.ids(part)
-        text = self.encoder.pieces_text(ids)
-        if text != part.replace(SPACE, " "):
-            self.odd[part] = text
-        value = ",".join(map(str, ids))
-        if len(part) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            if part not in self.odd:
-                self[part] = value
-        return value
-
-
 def encoded(docs: DataFrame, vocabulary: Vocabulary, keep: dict[str, Column] | None = None, kinds: str = "doc_id long",
             with_ids: bool = False) -> DataFrame:
     """Per row: number of ids, digests of the ids and of the decoded text; with_ids adds `ids` and `decoded`.
@@ -210,7 +178,16 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, keep: dict[str, Column] | N
 
     def start():
         encoder = Encoder(vocabulary)
-        memory = _Remembered(encoder)
+        odd: dict[str, str] = {}  # decoded text of the parts of one text that do not decode to themselves
+
+        def encode(part: str) -> str:
+            ids = encoder.ids(part)
+            text = encoder.pieces_text(ids)
+            if text != part.replace(SPACE, " "):
+                odd[part] = text
+            return ",".join(map(str, ids))
+
+        memory = Remembering(encode)
 
         def work(rows, texts):
             out = {c: rows.column(c) for c in carried}
@@ -220,9 +197,8 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, keep: dict[str, Column] | N
                 parts = encoder.parts(prepared)
                 ids = ",".join(map(memory.__getitem__, parts))
                 text = prepared.replace(SPACE, " ")
-                if memory.odd:
-                    text = "".join([memory.odd.get(p) or p.replace(SPACE, " ") for p in parts])
-                    memory.odd.clear()
+                if odd:
+                    text = "".join([odd[p] if p in odd else p.replace(SPACE, " ") for p in parts])
                 text = text[1:] if vocabulary.prefix and text.startswith(" ") else text
                 counts.append(ids.count(",") + 1 if ids else 0)
                 id_hashes.append(hashlib.sha256(ids.encode()).hexdigest())

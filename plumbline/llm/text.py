@@ -17,25 +17,40 @@ from plumbline.session import shared_dir
 
 #: Bytes of text that a task holds as arrays at once; one text may be longer and then stands alone.
 SLICE_BYTES = 4 << 20
-#: Entries of a worker's memory of word hashes, which starts afresh when full.
-MEMORY = 1 << 19
+#: Entries of either generation of a worker's memory.
+MEMORY = 1 << 17
 #: Odd multiplier of the rolling hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-class WordHashes(dict):
-    """64-bit hash of each word (bytes), computed once while it is remembered."""
+class Remembering(dict):
+    """Values computed once while they are remembered. Two bounded generations: what the older one still serves moves on,
+    the rest is forgotten when the newer one is full. Long keys are not kept."""
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= MEMORY:
+    def __init__(self, make: Callable, most: int = MEMORY):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.older = self.copy()
                 self.clear()
-            self[word] = value
+            self[key] = value
         return value
 
 
+class WordHashes(Remembering):
+    """64-bit hash of each word (bytes)."""
+
+    def __init__(self):
+        super().__init__(xxhash.xxh3_64_intdigest)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit values."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)

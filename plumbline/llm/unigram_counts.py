@@ -21,12 +21,11 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.text import per_text
+from plumbline.llm.text import Remembering, per_text
 
 SPACE = "▁"
 #: Score of an unknown character below the lowest score of the vocabulary (fixed by the tokenizer).
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -109,26 +108,12 @@ class Counter:
         return self.cuts.findall(prepared) if self.cuts else [prepared]
 
 
-class _Remembered(dict):
-    def __init__(self, counter: Counter):
-        super().__init__()
-        self.counter = counter
-
-    def __missing__(self, part: str) -> tuple[int, float]:
-        value = self.counter.best(part)
-        if len(part) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[part] = value
-        return value
-
-
 def token_counts(docs: DataFrame, vocabulary: Unigram) -> DataFrame:
     """Per document: number of tokens and the score of the best segmentation of the whole text."""
 
     def start():
         counter = Counter(vocabulary)
-        memory = _Remembered(counter)
+        memory = Remembering(counter.best)
 
         def work(rows, texts):
             counts, scores = [], []
