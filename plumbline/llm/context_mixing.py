@@ -20,6 +20,8 @@ scored each and count each in training; without training documents all counts ar
 from __future__ import annotations
 
 import math
+import pickle
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -257,8 +259,32 @@ class Mixer:
         return out
 
 
-def _over_tasks(windows: DataFrame, mixer, fn) -> tuple[np.ndarray, float]:
+#: The tables that a worker unpacked last, by the digest of their packed form.
+_UNPACKED: dict[tuple[int, int], list[np.ndarray]] = {}
+
+
+def packed(counts: list[np.ndarray]) -> bytes:
+    """Tables for sending: compressed, as most slots of a small corpus are empty."""
+    return zlib.compress(pickle.dumps(counts, protocol=5), 1)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    key = len(data), zlib.crc32(data)
+    if key not in _UNPACKED:
+        _UNPACKED.clear()
+        _UNPACKED[key] = pickle.loads(zlib.decompress(data))
+    return _UNPACKED[key]
+
+
+def _on_task(how: Mixing, data: bytes, weights: np.ndarray, final: np.ndarray) -> Mixer:
+    mixer = Mixer(how, unpacked(data))
+    mixer.weights, mixer.map = weights.copy(), final
+    return mixer
+
+
+def _over_tasks(windows: DataFrame, sent, mixer: Mixer, fn) -> tuple[np.ndarray, float]:
     """Sum of fn(mixer, windows, counts) over tasks, weighted by the tasks' counts, and the total count."""
+    how, weights, final = mixer.how, mixer.weights, mixer.map
     struct = T.StructType.fromDDL("result binary, n double")
     schema = to_arrow_schema(struct)
 
@@ -270,7 +296,7 @@ def _over_tasks(windows: DataFrame, mixer, fn) -> tuple[np.ndarray, float]:
         if values:
             values, n = np.concatenate(values), np.concatenate(n)
             yield pa.RecordBatch.from_pylist(
-                [{"result": fn(mixer.value, values, n).astype(np.float64).tobytes(), "n": float(n.sum())}], schema)
+                [{"result": fn(_on_task(how, sent.value, weights, final), values, n).astype(np.float64).tobytes(), "n": float(n.sum())}], schema)
 
     rows = windows.select("w", "n").mapInArrow(run, struct).collect()
     total = sum(r["n"] for r in rows)
@@ -278,30 +304,24 @@ def _over_tasks(windows: DataFrame, mixer, fn) -> tuple[np.ndarray, float]:
 
 
 def _learned(mixer: Mixer, values: np.ndarray, n: np.ndarray) -> np.ndarray:
-    own = Mixer.__new__(Mixer)
-    own.__dict__.update(mixer.__dict__, weights=mixer.weights.copy())
     order = np.argsort((values * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(20), kind="stable")
-    own.learn(values[order], n[order])
-    return own.weights * float(n.sum())
+    mixer.learn(values[order], n[order])
+    return mixer.weights * float(n.sum())
 
 
-def train(docs: DataFrame, how: Mixing = Mixing()) -> Mixer:
-    """The model of all the documents' texts."""
-    spark = docs.sparkSession
+def train(docs: DataFrame, how: Mixing = Mixing()):
+    """The model of all the documents' texts, and its tables as they were sent to the tasks."""
     windows = staged(window_counts(docs, how))
     mixer = Mixer(how, tables(windows, how))
+    sent = docs.sparkSession.sparkContext.broadcast(packed(mixer.counts))
     for _ in range(how.rounds):
-        sent = spark.sparkContext.broadcast(mixer)
-        sums, total = _over_tasks(windows, sent, _learned)
+        sums, total = _over_tasks(windows, sent, mixer, _learned)
         if total:
             mixer.weights = (sums / total).reshape(mixer.weights.shape)
-        sent.unpersist()
-    sent = spark.sparkContext.broadcast(mixer)
-    met, total = _over_tasks(windows, sent, lambda m, values, n: m.met(values, n).ravel())
+    met, total = _over_tasks(windows, sent, mixer, lambda m, values, n: m.met(values, n).ravel())
     if total:
         mixer.map = mixer.map + met.reshape(mixer.map.shape)
-    sent.unpersist()
-    return mixer
+    return mixer, sent
 
 
 class _Memory:
@@ -364,15 +384,16 @@ def scores(docs: DataFrame, how: Mixing = Mixing(), held_out=is_held_out) -> Dat
     total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, kinds = total + ends, kinds + (ends > 0)
     often = {bytes(r["word"]): r["c"] for r in words.orderBy(F.desc("c"), "word").limit(how.frequent_words).collect()}
-    mixer = train(training, how)
-    sent = spark.sparkContext.broadcast((mixer, {w: math.log10(c + 1) for w, c in often.items()}))
+    mixer, sent = train(training, how)
+    weights, final = mixer.weights, mixer.map
+    del mixer
+    words_sent = spark.sparkContext.broadcast({w: math.log10(c + 1) for w, c in often.items()})
     end = math.log10(ends + 1)
     lost = math.log10(total + kinds + 1)
     width = max(how.orders)
 
     def start():
-        mixer, known = sent.value
-        memory = _Memory(mixer)
+        known, memory = words_sent.value, _Memory(_on_task(how, sent.value, weights, final))
 
         def work(rows, texts):
             events, lengths = stream(texts, width)

@@ -349,7 +349,7 @@ def test_probabilities_sum_to_one_and_learn(spark):
     texts = [" ".join(rng.choice(("alpha", "beta", "gamma delta")) for _ in range(60)) for _ in range(200)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     how = context_mixing.Mixing(bits=(16, 18, 18, 18, 18))
-    mixer = context_mixing.train(docs, how)
+    mixer, _ = context_mixing.train(docs, how)
     context = int.from_bytes(b"gamma", "big") << 8
     total = (10 ** mixer.log10(np.arange(256, dtype=np.uint64) + np.uint64(context))).sum()
     assert abs(total - 1) < 1e-9
