@@ -5,10 +5,14 @@ its occurrence number, takes the l labelled shingles with the least hash and kee
 equal sketches need common shingles in a common order. Texts that share one of m sketches are candidates.
 
 Texts with the same words are collapsed first. In every bucket each text is compared with the bucket's least and greatest
-text (all pairs for buckets of up to three), so work is linear in bucket sizes; as near copies share most of their m
-buckets, and every bucket has other ends, links that one bucket leaves out are found in others. In buckets that still hold
-several components after that, members are compared again with the ends of the members outside the component of the first
-end (`rounds` times). A candidate pair is linked if its alignment matches M shingles with M / (A + B - M) >= threshold, A
+text, which is all pairs for buckets of up to three. Buckets of more that still hold several components are then finished
+exactly: their members are dealt to blocks of bounded size, and every block meets every block of its bucket. There all pairs
+of different components whose sizes allow the threshold are looked at (a pair in its first common bucket only), and those
+whose profiles allow it become candidates. A profile counts the shingles by hash in BINS bins; the sum of the lesser counts
+is never below the number of common shingles, so no link is lost. The first pass takes of each two blocks only a forest of
+candidates, so that groups of near copies join with few comparisons; the second takes all candidates that are left.
+
+A candidate pair is linked if its alignment matches M shingles with M / (A + B - M) >= threshold, A
 and B being the numbers of shingles; an alignment with that many matches stays within a band of A + B - 2M places, so
 nothing outside the band is looked at and the test is exact.
 
@@ -40,7 +44,11 @@ class Sketching:
     length: int = 3
     sketches: int = 20
     threshold: float = 0.8
-    rounds: int = 1
+
+
+#: Bins of a profile and members of a block.
+BINS = 512
+BLOCK = 512
 
 
 def shingles(words: Words, k: int) -> list[np.ndarray]:
@@ -114,10 +122,15 @@ def sketched(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
                     "doc_id long, raw string, key binary, size int, sketches array<long>")
 
 
+def needed(total, threshold: float):
+    """Least M with M / (total - M) >= threshold."""
+    return np.ceil(threshold * total / (1 + threshold) - 1e-9)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     """Whether the best alignment matches enough shingles; only matches inside the band are looked at."""
     total = len(a) + len(b)
-    need = int(np.ceil(threshold * total / (1 + threshold) - 1e-9))
+    need = int(needed(total, threshold))
     if min(len(a), len(b)) < need:
         return False
     _, at_a, at_b = np.intersect1d(labelled(a), labelled(b), assume_unique=True, return_indices=True)
@@ -196,6 +209,106 @@ def _ends(members: DataFrame) -> DataFrame:
     return members.groupBy("bucket").agg(F.min(node).alias("low"), F.max(node).alias("high"))
 
 
+def _profiles(how: Sketching):
+    def start():
+        memory = WordHashes()
+
+        def work(rows, texts):
+            out = []
+            for hashes in shingles(Words([t.lower() for t in texts], memory), how.k):
+                counts = np.bincount((hashes % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+                out.append(counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32).tobytes())
+            yield {"key": rows.column("key"), "profile": out}
+
+        return work
+
+    return start
+
+
+def _compared(group: dict[str, list], full: bool, threshold: float):
+    """Candidates (a, b) of the members of two blocks of a bucket (or of one): all, or a forest over their components."""
+    numbers: dict[bytes, int] = {}
+    root = np.asarray([numbers.setdefault(r, len(numbers)) for r in group["root"]])
+    if len(numbers) < 2:
+        return
+    above = list(range(len(numbers)))
+
+    def find(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    keys, size, block = group["key"], np.asarray(group["size"], np.int64), np.asarray(group["block"])
+    sketches, bucket, two = np.asarray(group["sketches"], np.int64), group["bucket"][0], group["i"][0] != group["j"][0]
+    profiles = np.stack([np.frombuffer(p, np.uint16 if len(p) == 2 * BINS else np.uint32) for p in group["profile"]])
+    for x in range(len(keys) - 1):
+        may = (root[x + 1 :] != root[x]) & (
+            np.minimum(size[x + 1 :], size[x]) >= threshold * np.maximum(size[x + 1 :], size[x]) - 1e-9)
+        if two:
+            may &= block[x + 1 :] != block[x]
+        at = np.flatnonzero(may) + x + 1
+        if len(at):
+            at = at[sketches[x][np.argmax(sketches[at] == sketches[x], axis=1)] == bucket]
+        if len(at):
+            common = np.minimum(profiles[at], profiles[x]).sum(axis=1, dtype=np.int64)
+            at = at[common >= needed(size[at] + size[x], threshold)]
+        for y in at.tolist():
+            one, other = find(root[x]), find(root[y])
+            if full or one != other:
+                above[one] = other
+                yield min(keys[x], keys[y]), max(keys[x], keys[y])
+
+
+def _compare(full: bool, threshold: float):
+    """Rows sorted by (bucket, i, j) -> candidates."""
+    def run(batches):
+        group, last = None, None
+
+        def emit(found):
+            return pa.RecordBatch.from_arrays([pa.array([p[n] for p in found], pa.binary()) for n in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            marks = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j"))))
+            at, found = 0, []
+            while at < len(marks):
+                to = at + 1
+                while to < len(marks) and marks[to] == marks[at]:
+                    to += 1
+                part = batch.slice(at, to - at).to_pydict()
+                if group is not None and marks[at] == last:
+                    for c in part:
+                        group[c] += part[c]
+                else:
+                    if group is not None:
+                        found += _compared(group, full, threshold)
+                    group, last = part, marks[at]
+                at = to
+            yield emit(found)
+        if group is not None:
+            yield emit(list(_compared(group, full, threshold)))
+
+    return run
+
+
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, key, root, n) of the buckets of n > 3 members that hold several components."""
+    placed = members.join(found, members["key"] == found["node"], "left").select(
+        "bucket", "key", F.coalesce("root", "key").alias("root"))
+    mixed = placed.groupBy("bucket").agg(
+        F.min("root").alias("one"), F.max("root").alias("other"), F.count("*").alias("n")).where("one <> other and n > 3")
+    return placed.join(mixed.select("bucket", "n"), "bucket")
+
+
+def _block_pairs(members: DataFrame, details: DataFrame, full: bool, how: Sketching) -> DataFrame:
+    """The candidates among the open members, block against block."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).select(
+        "bucket", "key", "root", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("x"))
+    rows = dealt.select("bucket", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "key", "root", "block")
+    sorted_rows = rows.join(details, "key").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return sorted_rows.mapInArrow(_compare(full, how.threshold), T.StructType.fromDDL("a binary, b binary")).distinct()
+
+
 def classes(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     """(doc_id, raw, class_id, rep): one row per input row; rep is the representative (doc_id, raw digest) of its class."""
     rows = staged(sketched(docs, how))
@@ -208,20 +321,26 @@ def classes(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     seen = staged(_candidates(shared, how))
     edges = links(seen, texts, how)
     found = components(edges)
-    members = shared.select("bucket", "key", "size")
-    for _ in range(how.rounds):
-        placed = members.join(found, members["key"] == found["node"], "left").select(
-            "bucket", "key", "size", F.coalesce("root", "key").alias("root"))
-        mixed = placed.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other")
-        rest = placed.join(mixed, "bucket").where("root <> one")
-        more = staged(_candidates(members.join(_ends(rest), "bucket"), how).join(seen, ["a", "b"], "left_anti"))
-        if more.isEmpty():
+    members, details = shared.select("bucket", "key"), None
+    for full in (False, True):
+        rest = staged(_open(members, found))
+        if rest.isEmpty():
             break
-        new = links(more, texts, how)
-        if new.isEmpty():
+        if details is None:
+            keys = rest.select("key").distinct()
+            profiles = per_text(texts.join(keys, "key", "left_semi"), "text", {"key": F.col("key")}, _profiles(how),
+                                "key binary, profile binary")
+            details = staged(profiles.join(nodes.select("key", "size", "sketches"), "key"))
+        wanted = staged(_block_pairs(rest, details, full, how))
+        if wanted.isEmpty():
             break
+        more = staged(wanted.join(seen, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
+        new = links(more, texts, how)
         seen, edges = seen.unionByName(more), edges.unionByName(new)
-        found = components(edges)
+        if not new.isEmpty():
+            found = components(edges)
     roots = nodes.join(found, nodes["key"] == found["node"], "left").select(
         "key", "rep", F.coalesce("root", "key").alias("root"))
     named = roots.join(roots.groupBy("root").agg(F.min("rep").alias("best")), "root").select("key", "best")

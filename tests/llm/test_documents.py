@@ -153,6 +153,22 @@ def test_large_groups_of_near_copies(spark):
     assert all(got[1000 + i] == 1000 + i for i in range(100))
 
 
+@pytest.mark.parametrize("block", [512, 40])
+def test_star_of_near_copies(spark, monkeypatch, block):
+    """Copies like their base only, not like each other."""
+    monkeypatch.setattr(order_minhash, "BLOCK", block, raising=False)
+    rng = random.Random(8)
+    base = [f"v{rng.randrange(5000)}" for _ in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 301):
+        w = base[:]
+        for at in rng.sample(range(200), 4):
+            w[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(w)))
+    got = order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["class_id"] for r in got} == {0}
+
+
 # --- repeated passages ----------------------------------------------------------
 
 
