@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -386,3 +387,34 @@ def test_licences(spark, messy, none):
     rows = [(1, wrapped), (1, wrapped), (2, "x " + licences.TEMPLATES["mit-line"].upper()), (3, "License")]
     got = rows_of(licences.scan(spark.createDataFrame(rows, "doc_id long, text string")))
     assert [(r[0], r[1], r[3]) for r in got] == [(1, "mit", 2), (2, "mit-line", 1)]
+
+
+LAYOUTS = {
+    "mit": ("following conditions:", "portions of the Software."),
+    "apache-2.0-notice": ("with the License.", "at", "LICENSE-2.0"),
+    "gpl-3.0-notice": ("any later version.", "PARTICULAR PURPOSE."),
+    "isc": ("appear in all copies.",),
+}
+ISC_END = ("FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+           "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR "
+           "OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.")
+
+
+def test_licences_of_several_paragraphs(spark):
+    rows, want = [], []
+    for i, (name, ends) in enumerate(LAYOUTS.items()):
+        body = licences.TEMPLATES[name]
+        if name == "isc":
+            body = body[: body.index("FITNESS.")] + ISC_END
+        for end in ends:
+            body = body.replace(f" {end} ", f" {end}\n\n")
+        lines = "\n\n".join("\n".join(textwrap.wrap(p, 70)) for p in body.split("\n\n"))
+        rows.append((i, "My program does things\n\nCopyright 2020 Somebody\n\n" + lines + "\n\nThe end of this file"))
+        want.append((i, name, 1))
+    twice = rows[0][1] + "\n\nMore prose stands here in between.\n\n" + rows[0][1]
+    inside = "We wrote some prose on this line first. " + licences.TEMPLATES["gpl-3.0-line"] + " And some more prose follows it."
+    rows += [(10, twice), (11, inside), (11, inside), (12, "The software is free. In no event shall it be sold.")]
+    want += [(10, "mit", 2), (11, "gpl-3.0-line", 2)]
+    got = [(r[0], r[1], r[3]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert set(want) <= set(got)
+    assert {r[1] for r in got if r[0] not in (1,)} == {"mit", "gpl-3.0-notice", "isc", "gpl-3.0-line"}
