@@ -43,6 +43,10 @@ def value_frequencies(df: DataFrame, cols: Sequence[ColumnInfo] | None = None, b
     return out
 
 
+def categorical(df: DataFrame, by: str | None = None) -> list[ColumnInfo]:
+    return [c for c in columns_of(df, by) if c.kind in ("text", "boolean")]
+
+
 def ranked_values(freq: DataFrame, top: int) -> DataFrame:
     """The ``top`` most frequent values of each column; ties in ascending text order.
 
@@ -59,7 +63,7 @@ def top_values(
 ) -> DataFrame:
     """Frequency table of categorical columns: the top values, the distinct count, whether it was cut."""
     if cols is None:
-        cols = [c for c in columns_of(df, by) if c.kind in ("text", "boolean")]
+        cols = categorical(df, by)
     keys = ["slice"] if by else []
     freq = value_frequencies(df, cols, by)
     sizes = freq.groupBy(*keys, "ordinal").agg(F.count(F.lit(1)).alias("nunique"))

@@ -41,7 +41,7 @@ def insight_cards(
 ) -> DataFrame:
     """All cards with a signal, in fixed order: (ordinal, title, value, detail).
 
-    ``pairs`` comes from ``corr_pairs``, ``frequencies`` from ``top_values``.
+    ``pairs`` comes from ``corr_pairs``, ``frequencies`` from ``value_frequencies``: the rarest value counts, so all are needed.
     """
     ids = list(identifiers)
     kept = without(facts, ids)

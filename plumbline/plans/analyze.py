@@ -13,7 +13,7 @@ from plumbline.operators import charts, compare, insights, quality, recommend, r
 from plumbline.operators.cleaning import clean
 from plumbline.operators.columns import ref
 from plumbline.operators.facts import column_facts, missing_profile, numeric_summary, outlier_summary
-from plumbline.operators.frequency import class_balance
+from plumbline.operators.frequency import categorical, class_balance, value_frequencies
 from plumbline.plans.cleaning_plan import plan_table, propose_plan
 from plumbline.plans.profile import Profile, _held, profile
 from plumbline.session import shared_dir, small_table
@@ -124,6 +124,7 @@ def analyze(
 
     bars = charts.bar_data(out.pre_encoding, chart_facts, max_values=max_bar_values)
     specs = charts.histogram_specs(out.pre_encoding, chart_facts)
+    values = value_frequencies(df, categorical(df))
     pairs = _held(charts.continuous_pairs(out.pre_encoding, chart_facts))
     out.tables.update({
         "plan": steps, "actions": result.actions, "cleaned_facts": facts, "before_after": comparison,
@@ -138,7 +139,7 @@ def analyze(
         "quality_bands": quality.quality_bands(score), "quality_issues": quality.issue_cards(score),
         "overview": insights.dataset_overview(
             before.facts, name, score.first()["quality_score"], target, out.problem_type),
-        "insights": insights.insight_cards(before.facts, before.pairs, before.top_values, target, identifiers),
+        "insights": insights.insight_cards(before.facts, before.pairs, values, target, identifiers),
         "statistics": insights.statistics_table(before.facts, identifiers),
         "bars": bars, "histogram_specs": specs, "histograms": charts.histogram_data(out.pre_encoding, specs),
         "scatter_pairs": charts.scatter_pairs(pairs), "heatmap": charts.heatmap_data(out.pre_encoding, chart_facts, pairs),

@@ -403,7 +403,8 @@ def insight_cards(spark, sf):
     df = dirty_events(spark, sf).drop("ts")
     found = facts.column_facts(df)
     pairs = correlation.corr_pairs(df, facts=found)
-    return insights.insight_cards(found, pairs, frequency.top_values(df), "value", ["user_id"])
+    values = frequency.value_frequencies(df, frequency.categorical(df))
+    return insights.insight_cards(found, pairs, values, "value", ["user_id"])
 
 
 @query

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import plumbline as pb
 from plumbline.functions.scalars import small_percent
-from plumbline.operators import correlation, duplicates, facts, frequency
+from plumbline.operators import correlation, duplicates, facts, frequency, insights
 from plumbline.operators.columns import columns_of
 from plumbline.operators.dates import date_formats, datetime_profile
 from plumbline.operators.quantiles import column_quantiles, sliced_quantiles
@@ -113,6 +113,20 @@ def test_top_values_are_cut_and_counted(spark):
     assert len(table["frequency_table"]) == 50 and table["frequency_table"]["v007"] == 2
 
 
+def test_most_imbalanced_column_counts_all_values(spark):
+    """wide: 59 values of 10 rows and one of a single row; narrow: 2 values, ratio about a fifth."""
+    wide = [f"v{i:02d}" for i in range(59) for _ in range(10)] + ["rare"]
+    df = spark.createDataFrame([(w, "a" if i % 6 else "b") for i, w in enumerate(wide)], "wide string, narrow string")
+    result = pb.analyze(df, "t")
+    cards = {r["title"]: r for r in result.tables["insights"].collect()}
+    found = pb.column_facts(df)
+    values = frequency.value_frequencies(df, frequency.categorical(df))
+    own = {r["title"]: r for r in insights.insight_cards(found, correlation.corr_pairs(df, facts=found), values, None).collect()}
+    for got in (cards, own):
+        assert got["Most Imbalanced Feature"]["value"] == "wide"
+        assert got["Most Imbalanced Feature"]["detail"] == "Minority/majority ratio of 0.10."
+
+
 def test_mode_takes_the_smallest_on_ties(spark):
     df = spark.createDataFrame([("b", 2, True), ("a", 1, False), ("b", 1, True), ("a", 2, True)], "s string, n int, t boolean")
     assert {r["column"]: r["value"] for r in frequency.mode_values(df).collect()} == {"s": "a", "n": "1", "t": "true"}
