@@ -567,12 +567,12 @@ def csv_na_tokens(spark, sf):
 
 
 def _lines(df: DataFrame, path: str, head: list[str], encoding: str = "UTF-8") -> None:
-    """One text file: some head lines, then the table as CSV lines."""
+    """The table as CSV lines: after some head lines in one text file, or without them in one file per task."""
     body = df.select(F.to_csv(F.struct(*df.columns), {"escape": '"'}).alias("value"))
     first = df.sparkSession.range(len(head)).select(
         F.get(F.array(*[F.lit(h) for h in head]), F.col("id").cast("int")).alias("value")).coalesce(1) if head else None
-    rows = first.union(body) if first is not None else body
-    rows.coalesce(1).select(F.encode("value", encoding).cast("string").alias("value")).write.text(path)
+    rows = first.union(body).coalesce(1) if first is not None else body
+    rows.select(F.encode("value", encoding).cast("string").alias("value")).write.text(path)
 
 
 @query

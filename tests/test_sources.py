@@ -65,3 +65,13 @@ def test_written_table_reads_back(spark, churners, tmp_path):
         path = str(tmp_path / fmt)
         sinks.write_table(churners, path, fmt)
         assert sinks.round_trip_check(churners, path, fmt).first()["same"]
+
+
+def test_headerless_lines_in_parallel_files(spark, tmp_path):
+    from suite.queries import _lines
+
+    path = str(tmp_path / "out")
+    df = spark.range(60).selectExpr("id + 100 AS a", "id * 2 AS b", "id / 4 AS c").repartition(3)
+    _lines(df, path, [])
+    assert len(list((tmp_path / "out").glob("part-*"))) == 3
+    assert sorted(tuple(r) for r in pb.read_csv(spark, path).collect()) == sorted(tuple(r) for r in df.collect())
