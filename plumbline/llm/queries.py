@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    archives, context_mixing, debruijn, licences, order_minhash, quality_rules, sentencepiece_bpe, string_tiling, unigram_counts, url_rules,
+    archives, byte_bpe, context_mixing, debruijn, importance, licences, order_minhash, quality_rules, sentencepiece_bpe, string_tiling,
+    unigram_counts, url_rules,
 )
 from plumbline.llm.sql import SQL  # noqa: F401
 from plumbline.session import shared_dir
@@ -93,3 +94,17 @@ def op8_debruijn(spark, sf):
 @query
 def op4_context_mixing(spark, sf):
     return context_mixing.scores(table(spark, sf, "documents"))
+
+
+@query
+def op11_byte_bpe(spark, sf):
+    import public_tokenizers
+
+    vocabulary = byte_bpe.Vocabulary.load(tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.encoded(table(spark, sf, "documents"), vocabulary)
+
+
+@query
+def op12_importance(spark, sf):
+    drawn = importance.draw(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")

@@ -119,5 +119,31 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN f.first IS DISTINCT FROM page_id THEN f.first END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)"""
 
+def _importance() -> str:
+    """Words by pattern; the CRC-32 of each distinct word byte by byte over a table that a rule gives."""
+    return f"""
+WITH bits AS (SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v FROM range(256) r(i)),
+tab AS (SELECT list(v ORDER BY i) AS t FROM bits),
+texts AS (SELECT true AS source, row_number() OVER () AS row, doc_id, text FROM documents
+          UNION ALL SELECT false, 0, null, text FROM benchmark),
+w AS (SELECT source, row, doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'),
+             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM texts),
+one AS (SELECT source, row, unnest(w) AS word FROM w),
+kinds AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM one)),
+hashed AS (SELECT word, xor(list_reduce([4294967295::UBIGINT] || [('0x' || h[2 * i + 1:2 * i + 2])::UBIGINT for i in range(len(h) // 2)],
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) % 10000 AS bucket FROM kinds, tab),
+c AS (SELECT bucket, count(*) FILTER (source) AS s, count(*) FILTER (NOT source) AS t FROM one JOIN hashed USING (word) GROUP BY bucket),
+total AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM c),
+g AS (SELECT bucket, floor(1000 * ln((c.t + 1)::DOUBLE * (total.s + 10000) / ((c.s + 1)::DOUBLE * (total.t + 10000)))) AS gain FROM c, total),
+f AS (SELECT row, count(*) AS n, sum(gain) AS gain FROM one JOIN hashed USING (word) JOIN g USING (bucket) WHERE source GROUP BY row),
+d AS (SELECT doc_id, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN floor(gain / n) ELSE 0 END::BIGINT AS weight,
+             ('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS h
+      FROM w LEFT JOIN f USING (row) WHERE source),
+s AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place,
+             10 * count(*) FILTER (n_features >= 20) OVER () // 100 AS most FROM s)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= most THEN place END AS rank FROM r"""
+
 
-SQL = {"op6_archives": _archives(), "op1_url_rules": _urls(), "op7_repetition": _repetition(), "op10_licences": _licences()}
+SQL = {"op12_importance": _importance(), "op6_archives": _archives(), "op1_url_rules": _urls(), "op7_repetition": _repetition(), "op10_licences": _licences()}
