@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    archives, byte_bpe, context_mixing, debruijn, importance, licences, order_minhash, quality_rules, sentencepiece_bpe, string_tiling,
-    unigram_counts, url_rules,
+    alignment, archives, byte_bpe, context_mixing, debruijn, importance, licences, order_minhash, quality_rules, sentencepiece_bpe,
+    string_tiling, unigram_counts, url_rules,
 )
 from plumbline.llm.sql import SQL  # noqa: F401
 from plumbline.session import shared_dir
@@ -108,3 +108,12 @@ def op11_byte_bpe(spark, sf):
 def op12_importance(spark, sf):
     drawn = importance.draw(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_alignment(spark, sf):
+    import public_tokenizers
+
+    tokenizers = alignment.Tokenizers.load(
+        tokenizer_path("byte_bpe_50k.json"), public_tokenizers.PATTERN, tokenizer_path())
+    return alignment.alignment(table(spark, sf, "documents"), tokenizers)
