@@ -45,8 +45,8 @@ FALSE_WORDS = ("False", "FALSE", "false")
 
 # --- fixed values: dates ----------------------------------------------------
 
-# Tried in this order; the first that fits the sample wins, so 01/02/2020 is
-# read month first.
+# Tried in this order; the first that reads enough of a column wins, so
+# 01/02/2020 is read month first.
 DATE_FORMATS = (
     "yyyy-M-d",
     "yyyy/M/d",
@@ -73,7 +73,6 @@ DATE_LIKE_PATTERN = (
     r"|\d{1,2}-[A-Za-z]{3}-\d{4})"
 )
 
-DATE_SAMPLE_ROWS = 200
 DATE_GATE_SHARE = 0.3
 DATE_PARSE_SHARE = 0.9
 

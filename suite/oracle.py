@@ -220,6 +220,35 @@ FROM (SELECT {expr} AS t FROM orders)"""
     + [("o_orderdate", "native", "o_orderdate")])
 
 
+# Each listed format as DuckDB writes it, in the order in which they are tried.
+_WRITTEN = (
+    ("yyyy-M-d", "%Y-%-m-%-d"), ("yyyy/M/d", "%Y/%-m/%-d"), ("yyyy-M-d H:m:s", "%Y-%-m-%-d %-H:%-M:%-S"),
+    ("yyyy/M/d H:m:s", "%Y/%-m/%-d %-H:%-M:%-S"), ("M/d/yyyy", "%-m/%-d/%Y"), ("d/M/yyyy", "%-d/%-m/%Y"),
+    ("M-d-yyyy", "%-m-%-d-%Y"), ("d-M-yyyy", "%-d-%-m-%Y"), ("M/d/yyyy H:m:s", "%-m/%-d/%Y %-H:%-M:%-S"),
+    ("d/M/yyyy H:m:s", "%-d/%-m/%Y %-H:%-M:%-S"), ("d-MMM-yyyy", "%-d-%b-%Y"), ("MMM d, yyyy", "%b %-d, %Y"), ("yyyyMMdd", "%Y%m%d"),
+)
+_RANGE = ("strftime(min(t), '%Y-%m-%d') AS min_date, strftime(max(t), '%Y-%m-%d') AS max_date, count(DISTINCT year(t)) AS distinct_years, "
+          "count(DISTINCT month(t)) AS distinct_months, count(DISTINCT day(t)) AS distinct_days")
+SQL["datetime_formats"] = "WITH o AS (SELECT *, o_orderdate::TIMESTAMP + to_seconds(o_orderkey % 86400) AS s FROM orders) " + " UNION ALL ".join(
+    f"""SELECT 'd{i:02}' AS "column", '{fmt}' AS format, {_RANGE} FROM (SELECT try_strptime(CASE WHEN o_orderkey % 20 = 0 THEN '?'
+  WHEN o_orderkey % 23 <> 0 THEN strftime(s, '{p}') END, '{p}') AS t FROM o)""" for i, (fmt, p) in enumerate(_WRITTEN)
+) + f""" UNION ALL SELECT 'either', 'free', {_RANGE} FROM (SELECT o_orderdate AS t FROM orders)"""
+
+
+def _shape(c: str) -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return (f"CASE WHEN length(trim({c}, ' ')) <= 100 THEN translate({c}, '0123456789{lower}{upper}', '{'9' * 10}{'a' * 52}') "
+            f"ELSE '(long)' END")
+
+
+SQL["date_shapes"] = each(("orders", "customer", "pages", "events"), lambda t: " UNION ALL ".join(
+    f"""SELECT {i}::INTEGER AS ordinal, '{c}' AS "column", {_shape(c)} AS shape, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 3"""
+    for i, (c, k) in enumerate(COLUMNS[t]) if k == TEXT))
+# The two written dates and what can read them; no other text column of orders has a date's shape.
+SQL["date_format_bounds"] = """SELECT 'european' AS "column", unnest(['M/d/yyyy', 'd/M/yyyy']) AS format, 1.0::DOUBLE AS most
+UNION ALL SELECT 'packed', 'yyyyMMdd', 1.0"""
+
+
 def mode_sql(t: str) -> str:
     def one(c: str, kind: str) -> str:
         text = f"strftime({c}, '%Y-%m-%d %H:%M:%S')" if kind == STAMP else f"{c}::VARCHAR"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars, vocab
@@ -155,6 +155,36 @@ def datetime_profile(spark, sf):
     return dates.datetime_profile(df).drop("ordinal")
 
 
+def _stamp() -> Column:
+    """A time within the order's day, from its key."""
+    return F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 86400)
+
+
+@query
+def datetime_formats(spark, sf):
+    """Whole orders with its date written in each listed format, one value in twenty spoilt, and in two formats at once."""
+    gap = F.when(F.col("o_orderkey") % 20 == 0, "?").when(F.col("o_orderkey") % 23 == 0, F.lit(None))
+    written = [gap.otherwise(F.date_format(_stamp(), f)).alias(f"d{i:02}") for i, f in enumerate(vocab.DATE_FORMATS)]
+    either = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(
+        F.date_format("o_orderdate", "MMM d, yyyy"))
+    df = load(spark, sf, "orders").select(*written, either.alias("either"))
+    return dates.datetime_profile(df).drop("ordinal")
+
+
+@query
+def date_shapes(spark, sf):
+    """The shapes of all text values of four tables."""
+    return _tagged(("orders", "customer", "pages", "events"), lambda n: dates.value_shapes(load(spark, sf, n)))
+
+
+@query
+def date_format_bounds(spark, sf):
+    """What share of each text column of orders, with its date as text, each format could read."""
+    df = load(spark, sf, "orders").select(
+        "*", F.date_format("o_orderdate", "d/M/yyyy").alias("european"), F.date_format("o_orderdate", "yyyyMMdd").alias("packed"))
+    return dates.format_bounds(df).where("most > 0").select("column", "format", F.round("most", 6).alias("most"))
+
+
 @query
 def mode_values(spark, sf):
     return _tagged(("orders", "labels", "lineitem"), lambda n: frequency.mode_values(load(spark, sf, n)))
