@@ -965,7 +965,12 @@ SELECT k AS {key}, event_id, ts, admitted, retry_after FROM r WHERE rn > 0"""
 
 
 SQL["admission_audit_events"] = admission_sql("user_id", 2, 6 * 3600)
-SQL["admission_stream_events"] = SQL["admission_audit_events"]
+SQL["admission_stream_events"] = SQL["admission_typed_stream"] = SQL["admission_audit_events"]
+SQL["admission_live_keys"] = f"""WITH audit AS ({admission_sql("user_id", 2, 6 * 3600)}),
+m AS (SELECT epoch_us(max(ts)) // 1000 * 1000 - 10800000000 AS mark FROM events),
+held AS (SELECT user_id, count(*) FILTER (admitted AND epoch_us(ts) < mark AND epoch_us(ts) > mark - 21600000000) AS admitted_times,
+  count(*) FILTER (epoch_us(ts) >= mark) AS waiting_rows FROM audit, m GROUP BY user_id UNION ALL SELECT -1, 0, 1)
+SELECT user_id, admitted_times + waiting_rows > 0 AS live, admitted_times, waiting_rows FROM held"""
 SQL["admission_audit_chunked"] = admission_sql("event_type", 3, 3600)
 
 

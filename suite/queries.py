@@ -17,6 +17,7 @@ from plumbline.plans.cleaning_plan import propose_plan
 from plumbline.session import shared_dir
 from plumbline.sources import csv_files, sinks
 from plumbline.streaming.admission import admission_audit, admission_stream
+from plumbline.streaming.typed_state import admission_state, admission_state_stream, typed_state
 from suite.tables import (
     NAMES, dirty_events, dirty_lineitem, labelled_documents, load, priced_lineitem, repeated_orders,
 )
@@ -680,6 +681,46 @@ def admission_stream_events(spark, sf):
     return spark.read.parquet(f"{path}/out")
 
 
+def _typed_stream(spark: SparkSession, sf: str, last_after: str) -> str:
+    """Run the typed-state stream over the whole events table and one later row; returns the folder of its results."""
+    path = _scratch(spark)
+    events = load(spark, sf, "events").select("user_id", "event_id", "ts")
+    events.write.parquet(f"{path}/in")
+    events.agg(F.max("ts").alias("last")).select(
+        F.lit(-1).cast("bigint").alias("user_id"), F.lit(-1).cast("bigint").alias("event_id"),
+        (F.col("last") + F.expr(last_after)).alias("ts"),
+    ).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+    with typed_state(spark):
+        sink = (
+            admission_state_stream(stream, "user_id", "ts", "event_id", 2, 6 * 3600, "1 day")
+            .writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        sink.awaitTermination()
+    return path
+
+
+@query
+def admission_typed_stream(spark, sf):
+    """Decisions of the stream on typed state, once the watermark has passed the whole table."""
+    return spark.read.parquet(f"{_typed_stream(spark, sf, 'INTERVAL 2 YEARS')}/out")
+
+
+@query
+def admission_live_keys(spark, sf):
+    """Which users still hold state when the watermark stands three hours before the last event, read back from the state
+    store: idle ones have none."""
+    path = _typed_stream(spark, sf, "INTERVAL 21 HOURS")
+    held = admission_state(spark, f"{path}/state", "user_id").groupBy("user_id").agg(
+        F.count(F.when(F.col("kind") == "admitted", 1)).alias("admitted_times"),
+        F.count(F.when(F.col("kind") == "waiting", 1)).alias("waiting_rows"))
+    users = spark.read.parquet(f"{path}/in").select("user_id").distinct()
+    return users.join(held, "user_id", "left").select(
+        "user_id", F.col("admitted_times").isNotNull().alias("live"),
+        F.coalesce("admitted_times", F.lit(0)).alias("admitted_times"), F.coalesce("waiting_rows", F.lit(0)).alias("waiting_rows"))
+
+
 @query
 def analyze_report(spark, sf):
     return analyze(load(spark, sf, "events"), "events").report()

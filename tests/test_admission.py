@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import plumbline as pb
 from plumbline.streaming.admission import MICROS, admit
+from plumbline.streaming.typed_state import admission_state, admission_state_stream, typed_state
 
 
 def brute_force(times, limit, window):
@@ -76,3 +77,30 @@ def test_stream_equals_batch(spark, clicks, tmp_path):
     query.stop()
     got = {r["id"]: (r["admitted"], r["retry_after"]) for r in spark.table("admitted").collect()}
     assert got == expected(clicks, 2, 60)
+
+
+def test_typed_state(spark, clicks, tmp_path):
+    """Rows in any order over several triggers, a null key and a null time; idle keys leave no state."""
+    path, places = str(tmp_path / "in"), [str(tmp_path / name) for name in ("out", "state")]
+    more = spark.createDataFrame([(5000, None, 1_700_000_100), (5001, None, 1_700_000_110), (5002, "k1", None)], "id long, who string, s long")
+    rows = clicks.unionByName(more.select("id", "who", F.timestamp_seconds("s").alias("ts")))
+    rows.repartition(5).write.parquet(path)
+
+    def run(later=None):
+        if later is not None:
+            spark.range(1).select(F.lit(10**6).cast("long").alias("id"), F.lit("later").alias("who"),
+                                  F.timestamp_seconds(F.lit(later)).alias("ts")).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(clicks.schema).option("maxFilesPerTrigger", 2).parquet(path)
+        with typed_state(spark):
+            admission_state_stream(stream, "who", "ts", "id", 2, 60, "2 hours").writeStream.format("parquet").option(
+                "path", places[0]).option("checkpointLocation", places[1]).outputMode("append").trigger(
+                availableNow=True).start().awaitTermination()
+        return admission_state(spark, places[1], "who")
+
+    waiting = run()
+    assert waiting.where("kind = 'waiting'").count() == 1502 and waiting.where("kind = 'admitted'").count() == 0
+    left = run(1_800_000_000).collect()
+    assert [(r["who"], r["kind"]) for r in left] == [("later", "waiting")]
+    got = {r["id"]: (r["admitted"], r["retry_after"]) for r in spark.read.parquet(places[0]).collect()}
+    want = expected(rows.where("ts is not null"), 2, 60)
+    assert got == want and got[5000] == got[5001] == (True, 0)
