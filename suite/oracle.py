@@ -971,7 +971,8 @@ m AS (SELECT epoch_us(max(ts)) // 1000 * 1000 - 10800000000 AS mark FROM events)
 held AS (SELECT user_id, count(*) FILTER (admitted AND epoch_us(ts) < mark AND epoch_us(ts) > mark - 21600000000) AS admitted_times,
   count(*) FILTER (epoch_us(ts) >= mark) AS waiting_rows FROM audit, m GROUP BY user_id UNION ALL SELECT -1, 0, 1)
 SELECT user_id, admitted_times + waiting_rows > 0 AS live, admitted_times, waiting_rows FROM held"""
-SQL["admission_audit_chunked"] = admission_sql("event_type", 3, 3600)
+SQL["admission_prefix_events"] = SQL["admission_audit_events"]
+SQL["admission_audit_chunked"] = SQL["admission_prefix_types"] = admission_sql("event_type", 3, 3600)
 
 
 def report_sql(name: str, columns, target: str, ids, before: str, ctes: str, cleaned_columns, removed: str) -> str:

@@ -17,6 +17,7 @@ from plumbline.plans.cleaning_plan import propose_plan
 from plumbline.session import shared_dir
 from plumbline.sources import csv_files, sinks
 from plumbline.streaming.admission import admission_audit, admission_stream
+from plumbline.streaming.prefix import admission_by_prefix
 from plumbline.streaming.typed_state import admission_state, admission_state_stream, typed_state
 from suite.tables import (
     NAMES, dirty_events, dirty_lineitem, labelled_documents, load, priced_lineitem, repeated_orders,
@@ -660,6 +661,18 @@ def admission_audit_chunked(spark, sf):
         load(spark, sf, "events"), "event_type", "ts", "event_id", 3, 3600, chunk_windows=48, busy_rows=0)
 
 
+@query
+def admission_prefix_events(spark, sf):
+    """The same audit by composed functions of chunks, in a bounded number of rounds."""
+    return admission_by_prefix(load(spark, sf, "events"), "user_id", "ts", "event_id", 2, 6 * 3600)
+
+
+@query
+def admission_prefix_types(spark, sf):
+    """A few saturated keys, cut into chunks of 300 events, so that every key spans many of them."""
+    return admission_by_prefix(load(spark, sf, "events"), "event_type", "ts", "event_id", 3, 3600, chunk_rows=300, fan_in=8)
+
+
 @query
 def admission_stream_events(spark, sf):
     """The streaming form over the whole events table, read as a file stream and written to a file sink."""
