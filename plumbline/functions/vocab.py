@@ -81,7 +81,6 @@ DATE_PARSE_SHARE = 0.9
 TOP_VALUES = 50
 MAX_CORRELATION_COLUMNS = 50
 MAX_COLUMNS = 1000
-RAW_SAMPLE_ROWS = 20
 
 # --- fixed values: roles -----------------------------------------------------
 

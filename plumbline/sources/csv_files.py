@@ -1,7 +1,7 @@
 """Reading messy CSV files: encoding, banner line, missing header, missing tokens, column types.
 
-The repairs are decided on a sample of at most 21 raw lines; the data itself is
-read by the distributed CSV reader, as text, and typed from one aggregate.
+The repairs are decided on the field counts of all records of all files; the data itself is read by the distributed CSV
+reader, or cut into records in parallel where cells go on over line breaks, as text, and typed from one aggregate.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import vocab
 from plumbline.operators.columns import ref
+from plumbline.sources import csv_records
 from plumbline.session import small_table
 
 _EXTRA = "_extra"
@@ -38,19 +39,6 @@ class Layout:
     names: tuple[str, ...]
 
 
-def field_counts(lines: Sequence[str]) -> list[int]:
-    """Fields per non-empty raw line, quotes respected."""
-    return [len(row) for row in csv.reader(lines) if row]
-
-
-def _number(text: str) -> bool:
-    try:
-        float(text)
-        return True
-    except ValueError:
-        return False
-
-
 def _unique(names: Sequence[str]) -> tuple[str, ...]:
     """Column names without blanks or repeats: a, a.1, a.2."""
     seen: Counter[str] = Counter()
@@ -68,74 +56,93 @@ def _unique(names: Sequence[str]) -> tuple[str, ...]:
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 when every line is valid UTF-8, else Latin-1."""
-    row = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value")).alias("ok")).first()
-    return "UTF-8" if row["ok"] in (True, None) else "ISO-8859-1"
+    return "UTF-8" if csv_records.line_facts(spark, path)[1] else "ISO-8859-1"
 
 
 def has_broken_cells(spark: SparkSession, path: str) -> bool:
-    """Whether a quoted cell goes on over a line break: some line has an odd number of quotes."""
-    line = F.col("value")
-    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-    return bool(spark.read.text(path).agg(F.max(quotes % 2 == 1).alias("odd")).first()["odd"])
+    """Whether a quoted cell may go on over a line break: some line has an odd number of quotes."""
+    return csv_records.line_facts(spark, path)[2]
 
 
-def detect_layout(spark: SparkSession, path: str, encoding: str | None = None) -> Layout:
-    """Decide banner, header and names from the first raw lines."""
+def _decoded(record: Column, encoding: str) -> Column:
+    return record.cast("string") if encoding == "UTF-8" else F.decode(record, encoding)
+
+
+def _cells_are_numbers(line: Column) -> Column:
+    """Whether every cell of a line reads as a number."""
+    def number(cell: Column) -> Column:
+        bare = F.lower(F.trim(F.regexp_replace(cell, '^"|"$', "")))
+        return bare.try_cast("double").isNotNull() & ~bare.rlike("[df]$")
+
+    return F.forall(F.split(line, ","), number)
+
+
+def scan_records(spark: SparkSession, path: str, encoding: str | None = None, multiline: bool | None = None) -> tuple[str, DataFrame, bool]:
+    """(encoding, records, whether cells go on over line breaks) of CSV files."""
     try:
-        raw = spark.read.text(path)
-        lines = [r["value"] for r in raw.take(vocab.RAW_SAMPLE_ROWS + 2)]
+        some, utf8, odd = csv_records.line_facts(spark, path)
     except AnalysisException as error:
         raise ScanError(f"File not found: {path}") from error
-    if not lines:
+    if not some:
         raise ScanError(f"CSV file is empty: {path}")
-    if encoding is None:
-        encoding = detect_encoding(spark, path)
-    if encoding != "UTF-8":
-        decoded = F.decode(F.col("value").cast("binary"), encoding)
-        lines = [r["v"] for r in raw.select(decoded.alias("v")).take(vocab.RAW_SAMPLE_ROWS + 2)]
-    present = [line for line in lines if line.strip() != ""]
-    if not present:
+    broken = odd if multiline is None else multiline
+    rows = csv_records.records(spark, path) if broken else csv_records.line_records(spark, path)
+    return encoding or ("UTF-8" if utf8 else "ISO-8859-1"), rows, broken
+
+
+def decide_layout(path: str, encoding: str, rows: DataFrame) -> Layout:
+    """Banner, header and names from the field counts of all records of all files; files that disagree raise."""
+    files = csv_records.file_layouts(rows).withColumn("banner", csv_records.is_banner()).withColumn(
+        "header", _decoded(F.when(F.col("banner"), F.col("second")).otherwise(F.col("first")), encoding))
+    files = files.withColumn("bare", _cells_are_numbers(F.col("header"))).withColumn(
+        "header_fields", F.when(F.col("banner"), F.col("second_fields")).otherwise(F.col("first_fields")))
+    bad = csv_records.narrow_first() & ~F.col("banner")
+    kinds = files.groupBy("banner", "bare", F.when(~F.col("bare"), F.col("header")).alias("header_line"), "header_fields").agg(
+        F.min("file").alias("file"), F.max(F.when(bad, F.struct("first_fields", "width", "file"))).alias("bad"),
+        F.max_by("width", "at_width").alias("width"), F.min("header").alias("header"),
+        F.min(_decoded(F.col("first"), encoding)).alias("banner_line"), F.max("at_width").alias("most"),
+    ).orderBy(F.desc("most"), "file").limit(2).collect()
+    if not kinds:
         raise ScanError(f"CSV file has no columns to parse: {path}")
-    rows = [row for row in csv.reader(present) if row]
-    width, data = len(rows[0]), [len(r) for r in rows[1 : vocab.RAW_SAMPLE_ROWS + 1]]
-    usual = Counter(data).most_common(1)[0][0] if data else width
-    banner, header = None, rows[0]
-    if usual > 2 * width and usual - width >= 2:
-        below = data[1:]
-        if width == 1 and data[0] == usual and below and all(n == usual for n in below):
-            banner, header = present[0], rows[1]
-        else:
+    for kind in kinds:
+        if kind["bad"] is not None:
             raise ScanError(
-                f"{path} looks malformed: the header implies {width} column(s), but data rows consistently have "
-                f"{usual} comma-separated fields. Remove any non-data lines before the header.")
-    if all(_number(name) for name in header):
+                f"{kind['bad']['file']} looks malformed: the header implies {kind['bad']['first_fields']} column(s), but data rows "
+                f"consistently have {kind['bad']['width']} comma-separated fields. Remove any non-data lines before the header.")
+    if len(kinds) > 1:
+        raise ScanError(f"{kinds[0]['file']} and {kinds[1]['file']} do not have the same head lines.")
+    kind = kinds[0]
+    header = next(csv.reader([kind["header"]]))
+    banner = kind["banner_line"] if kind["banner"] else None
+    if kind["bare"]:
         return Layout(encoding, banner, None, tuple(f"column_{i}" for i in range(len(header))))
     # Rows wider than the header carry unnamed leading index fields.
-    spare = max(usual - len(header), 0)
+    spare = max(kind["width"] - len(header), 0)
     index = [f"_index_{i}" if i else "_index" for i in range(spare)]
-    return Layout(encoding, banner, present[1 if banner is not None else 0], _unique([*index, *header]))
+    return Layout(encoding, banner, kind["header"], _unique([*index, *header]))
+
+
+def detect_layout(spark: SparkSession, path: str, encoding: str | None = None) -> Layout:
+    """How to read the files, from all their records."""
+    encoding, rows, _ = scan_records(spark, path, encoding)
+    return decide_layout(path, encoding, rows)
 
 
-def _text_rows(spark: SparkSession, path: str, layout: Layout, multiline: bool) -> DataFrame:
+def _text_rows(spark: SparkSession, path: str, layout: Layout, rows: DataFrame, broken: bool) -> DataFrame:
     """All cells as text, one column per name and one for fields beyond the width."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in (*layout.names, _EXTRA)])
     options = {"escape": '"', "mode": "PERMISSIVE"}
-    if layout.banner is None:
+    if layout.banner is None and not broken:
         return spark.read.csv(
-            path, schema=schema, header=layout.header_line is not None, encoding=layout.encoding,
-            multiLine=multiline, enforceSchema=True, **options)
-    if multiline:
-        raise ScanError(f"{path} has a line before its header and cells with line breaks; remove the line before the header.")
-    line = F.col("value")
-    if layout.encoding != "UTF-8":
-        line = F.decode(line.cast("binary"), layout.encoding)
-    skip = [layout.banner] + ([layout.header_line] if layout.header_line is not None else [])
-    lines = spark.read.text(path).select(
-        line.alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("at"))
+            path, schema=schema, header=layout.header_line is not None, encoding=layout.encoding, enforceSchema=True, **options)
+    rows = rows.where(csv_records.present(F.col("record"))).select(
+        "file", "start", "place", _decoded(F.col("record"), layout.encoding).alias("line"))
     # the first banner and header line of each file go, by their place; equal lines further down are data
-    first = lines.where((F.col("start") == 0) & F.col("line").isin(skip)).groupBy("file", "line").agg(F.min("at").alias("at"))
-    rows = lines.join(first.select("file", "at"), ["file", "at"], "left_anti").where(F.trim("line") != "")
+    heads = [rows] if layout.banner is not None else []
+    heads += [rows.where(F.col("line") == layout.header_line)] if layout.header_line is not None else []
+    for head in heads:
+        first = head.groupBy("file").agg(F.min(F.struct("start", "place")).alias("top")).select("file", "top.start", "top.place")
+        rows = rows.join(first, ["file", "start", "place"], "left_anti")
     return rows.select(F.from_csv("line", F.lit(schema.toDDL()), options).alias("r")).select("r.*")
 
 
@@ -198,18 +205,17 @@ def read_csv(
 ) -> DataFrame:
     """Read CSV files with repairs and typed columns.
 
-    Line breaks in quoted cells are found by a pass over the lines; only files
-    that have them are read as one task each (``multiline`` sets this by hand). ``max_rows`` and ``max_columns`` are optional
+    Line breaks in quoted cells are found by a pass over the lines and cut in parallel (``multiline`` sets by hand whether
+    there are any). The layout is decided from all records of all files. ``max_rows`` and ``max_columns`` are optional
     guards that raise; nothing is ever cut off. ``stage_to`` writes the typed
     table there as parquet and returns it, so that later passes read columns
     instead of parsing text again.
     """
-    layout = detect_layout(spark, path, encoding)
+    encoding, records, broken = scan_records(spark, path, encoding, multiline)
+    layout = decide_layout(path, encoding, records)
     if max_columns and len(layout.names) > max_columns:
         raise ScanError(f"{path} has {len(layout.names):,} columns, above the {max_columns:,}-column limit.")
-    if multiline is None:
-        multiline = has_broken_cells(spark, path)
-    rows = _text_rows(spark, path, layout, multiline)
+    rows = _text_rows(spark, path, layout, records, broken)
     types, total, surplus = infer_types(rows, layout.names)
     if surplus:
         raise ScanError(f"CSV file is corrupted or malformed: {path} ({surplus} rows have too many fields)")

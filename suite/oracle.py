@@ -937,6 +937,14 @@ SQL["csv_preamble"] = """SELECT c_custkey, c_name || ', Ltd' AS c_name, c_nation
   c_mktsegment FROM customer"""
 SQL["csv_headerless"] = """SELECT l_orderkey AS column_0, l_linenumber::BIGINT AS column_1, l_quantity AS column_2,
   l_extendedprice AS column_3 FROM lineitem"""
+SQL["csv_broken_cells"] = "SELECT * FROM documents"
+SQL["csv_broken_banner"] = """SELECT page_id, url || chr(10) || 'a "quoted" part, and more' AS url, html FROM pages"""
+SQL["csv_folder_layouts"] = """WITH o AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 7 = 0) AS short FROM orders)
+SELECT 'plain' AS finding, 6 AS width, 3 AS files, n + 3 AS records, 0 AS ragged FROM o
+UNION ALL SELECT 'ragged', 6, 2, n + 2, short FROM o
+UNION ALL SELECT 'disagrees', 4, 2, count(*) + 2, 0 FROM part
+UNION ALL SELECT 'banner', 5, 2, count(*) + 4, 0 FROM customer
+UNION ALL SELECT 'malformed', 5, 2, count(*) + 2, 0 FROM customer"""
 SQL["csv_latin1"] = "SELECT p_partkey, 'Café ' || p_name AS p_name FROM part"
 SQL["round_trip_check"] = f"""SELECT "rows" AS rows_table, "rows" AS rows_file, duplicates AS duplicates_table,
   duplicates AS duplicates_file, true AS same FROM ({dup_sql(REPEATED_ORDERS, COLUMNS['orders'])})"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from plumbline.operators import (
 from plumbline.plans.analyze import analyze
 from plumbline.plans.cleaning_plan import propose_plan
 from plumbline.session import shared_dir
-from plumbline.sources import csv_files, sinks
+from plumbline.sources import csv_files, csv_records, sinks
 from plumbline.streaming.admission import admission_audit, admission_stream
 from plumbline.streaming.prefix import admission_by_prefix
 from plumbline.streaming.typed_state import admission_state, admission_state_stream, typed_state
@@ -599,12 +600,17 @@ def csv_na_tokens(spark, sf):
 
 
 def _lines(df: DataFrame, path: str, head: list[str], encoding: str = "UTF-8") -> None:
-    """The table as CSV lines: after some head lines in one text file, or without them in one file per task."""
-    body = df.select(F.to_csv(F.struct(*df.columns), {"escape": '"'}).alias("value"))
-    first = df.sparkSession.range(len(head)).select(
-        F.get(F.array(*[F.lit(h) for h in head]), F.col("id").cast("int")).alias("value")).coalesce(1) if head else None
-    rows = first.union(body).coalesce(1) if first is not None else body
-    rows.select(F.encode("value", encoding).cast("string").alias("value")).write.text(path)
+    """The table as CSV lines, one file per task, each with the head lines."""
+    _text_lines(df.select(F.to_csv(F.struct(*df.columns), {"escape": '"'}).alias("value")), path, head, encoding)
+
+
+def _text_lines(body: DataFrame, path: str, head: list[str], encoding: str = "UTF-8") -> None:
+    def headed(batches):
+        yield pa.RecordBatch.from_pydict({"value": pa.array(head, pa.string())})
+        yield from batches
+
+    lines = body.mapInArrow(headed, "value string") if head else body
+    lines.select(F.encode("value", encoding).cast("string").alias("value")).write.text(path)
 
 
 @query
@@ -622,6 +628,46 @@ def csv_headerless(spark, sf):
     return csv_files.read_csv(spark, path)
 
 
+def _as_csv(df: DataFrame, path: str) -> None:
+    """The table as CSV with quotes doubled and nothing trimmed; line breaks stay inside quoted cells."""
+    df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(path)
+
+
+@query
+def csv_broken_cells(spark, sf):
+    """Whole documents as CSV, whose texts go on over line breaks, read back in parallel."""
+    path = _scratch(spark)
+    _as_csv(load(spark, sf, "documents"), path)
+    return csv_files.read_csv(spark, path)
+
+
+@query
+def csv_broken_banner(spark, sf):
+    """Whole pages with a line break put into every address, below a line that is no header."""
+    path = _scratch(spark)
+    df = load(spark, sf, "pages").select("page_id", F.concat_ws("\n", "url", F.lit('a "quoted" part, and more')).alias("url"), "html")
+    _lines(df, path, ["# exported pages", ",".join(df.columns)])
+    return csv_files.read_csv(spark, path)
+
+
+@query
+def csv_folder_layouts(spark, sf):
+    """What the layout report says about a folder of files that do not agree, summed by finding."""
+    path = _scratch(spark)
+    orders, part, customer = (load(spark, sf, t) for t in ("orders", "part", "customer"))
+    _lines(orders.repartition(3, "o_orderkey"), f"{path}/plain", [",".join(orders.columns)])
+    _lines(part.select(part.columns[:4]).repartition(2, "p_partkey"), f"{path}/narrower", [",".join(part.columns[:4])])
+    _lines(customer.repartition(2, "c_custkey"), f"{path}/banner", ["# exported customers", ",".join(customer.columns)])
+    _lines(customer.repartition(2, "c_custkey"), f"{path}/malformed", ["name,id"])
+    short, full = (F.to_csv(F.struct(*orders.columns[:n])) for n in (5, 6))
+    _text_lines(orders.repartition(2, "o_orderkey").select(F.when(F.col("o_orderkey") % 7 == 0, short).otherwise(full).alias("value")),
+                f"{path}/ragged", [",".join(orders.columns)])
+    report = csv_records.layout_report(csv_records.line_records(spark, f"{path}/*"))
+    return report.groupBy("finding", "width").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("records").alias("records"), F.sum("ragged").alias("ragged"))
+
+
 @query
 def csv_latin1(spark, sf):
     path = _scratch(spark)

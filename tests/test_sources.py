@@ -1,7 +1,11 @@
+import csv
+import io
+import random
+
 import pytest
 
 import plumbline as pb
-from plumbline.sources import sinks
+from plumbline.sources import csv_records, sinks
 from plumbline.sources.csv_files import layout_table
 
 
@@ -75,3 +79,80 @@ def test_headerless_lines_in_parallel_files(spark, tmp_path):
     _lines(df, path, [])
     assert len(list((tmp_path / "out").glob("part-*"))) == 3
     assert sorted(tuple(r) for r in pb.read_csv(spark, path).collect()) == sorted(tuple(r) for r in df.collect())
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Splits of 900 bytes, so that records, cells and quotes cross their borders."""
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        spark.conf.set(f"spark.sql.files.{name}", "900")
+    yield
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        spark.conf.unset(f"spark.sql.files.{name}")
+
+
+def messy_table(seed, n=120):
+    rng = random.Random(seed)
+    cell = lambda: "".join(rng.choice(["a", "b", ",", '"', "\n", "\r\n", " ", "é", "x" * 9]) for _ in range(rng.randrange(7)))
+    return [[str(i), "z" + cell(), "y" + cell(), ("q\n" * 900 + "q") if i % 40 == 7 else "w"] for i in range(n)]
+
+
+@pytest.mark.parametrize("end, banner", [("\n", ""), ("\r\n", "# made by hand")])
+def test_records_over_many_splits(spark, small_splits, put, tmp_path, end, banner):
+    """Two files with line breaks in cells, cells longer than splits, CRLF and a banner: equal to csv.reader."""
+    want = []
+    for k in (1, 2):
+        rows = messy_table(k)
+        text = io.StringIO()
+        csv.writer(text, lineterminator=end).writerows([["id", "a", "b", "c"], *rows])
+        put((banner + end if banner else "") + text.getvalue(), f"f{k}.csv")
+        want += rows
+    path = str(tmp_path / "*.csv")
+    lines = csv_records.raw_lines(spark, path)
+    assert lines.select("file", "start").distinct().count() > 8 and lines.rdd.getNumPartitions() > 8
+    cut = csv_records.records(spark, path)
+    assert cut.count() == len(want) + 2 + 2 * bool(banner)
+    got = pb.read_csv(spark, path)
+    assert sorted([str(r["id"]), r["a"], r["b"], r["c"]] for r in got.collect()) == sorted(want)
+
+
+def test_states_without_broadcast(spark, small_splits, put, monkeypatch):
+    rows = messy_table(3)
+    text = io.StringIO()
+    csv.writer(text, lineterminator="\n").writerows(rows)
+    path = put(text.getvalue())
+    want = sorted(bytes(r["record"]) for r in csv_records.records(spark, path).collect())
+    monkeypatch.setattr(csv_records, "SENT_SPLITS", 0)
+    assert sorted(bytes(r["record"]) for r in csv_records.records(spark, path).collect()) == want and len(want) == len(rows)
+
+
+def test_stray_and_unclosed_quotes(spark, put):
+    got = pb.read_csv(spark, put('a,b\n5" pipe,1\nx,2\n"y\nz",3\n'))
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == [('5" pipe', 1), ("x", 2), ("y\nz", 3)]
+    cut = csv_records.records(spark, put('a,b\n"open,1\nx,2\n', "open.csv"))
+    assert sorted(bytes(r["record"]) for r in cut.collect()) == [b'"open,1\nx,2', b"a,b"]
+
+
+def test_layout_of_every_file(spark, put, tmp_path):
+    put("id,a,b\n" + "1,x,y\n" * 200 + "1,x\n" * 3, "ragged.csv")
+    put("# note\nid,a,b\n1,x,y\n", "banner.csv")
+    put("junk\n1,2,3,4,5\n1,2,3\n1,2,3,4,5\n", "malformed.csv")
+    put("id,a,b\n" + '1,"x,z",y\n' * 30 + "\n  \n", "plain.csv")
+    put("id,a\n1,x\n", "disagrees.csv")
+    put("id,a,b\n", "header_plain.csv")
+    path = str(tmp_path / "*.csv")
+    for rows in (csv_records.line_records(spark, path), csv_records.records(spark, path)):
+        got = {r["file"]: (r["records"], r["width"], r["ragged"], r["finding"]) for r in csv_records.layout_report(rows).collect()}
+        assert got == {"ragged.csv": (204, 3, 3, "ragged"), "banner.csv": (3, 3, 0, "banner"), "malformed.csv": (4, 5, 1, "malformed"),
+                       "plain.csv": (31, 3, 0, "plain"), "disagrees.csv": (2, 2, 0, "disagrees"), "header_plain.csv": (1, 3, 0, "plain")}
+
+
+def test_files_that_disagree_raise(spark, put, tmp_path):
+    put("id,a\n1,x\n", "one.csv")
+    put("id,b\n2,y\n", "two.csv")
+    with pytest.raises(pb.ScanError, match="head lines"):
+        pb.read_csv(spark, str(tmp_path / "*.csv"))
+    put("id,a\n" + "1,x\n" * 50, "late.csv")
+    put("junk\n" + "id,a\n" * 30 + "1,2,3\n" * 40, "late_junk.csv")  # the first lines alone look like two fields
+    assert {r["finding"] for r in csv_records.layout_report(csv_records.line_records(spark, str(tmp_path / "late*.csv"))).collect()} == {
+        "plain", "malformed"}
