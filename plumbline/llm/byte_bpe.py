@@ -122,10 +122,11 @@ class Coder:
 
 
 class Memory:
-    """What make(parts) gives for each part, remembered for `most` parts; long parts are remembered for one slice only."""
+    """What make(parts) gives for each part. Two generations of about `most` parts: what the older one still serves moves on,
+    the rest is forgotten when the newer one is full. Long parts are remembered for one slice only."""
 
     def __init__(self, make, most: int = MEMORY):
-        self.make, self.most, self.known, self.long = make, most, {}, []
+        self.make, self.most, self.known, self.older, self.long = make, most, {}, {}, []
 
     def of(self, parts: Iterable[list[str]]) -> dict:
         """A dictionary that has all the parts of a slice."""
@@ -133,8 +134,10 @@ class Memory:
             del self.known[part]
         wanted = set().union(*parts)
         if len(self.known) > self.most:
-            self.known = {p: self.known[p] for p in wanted & self.known.keys()}
-        new = list(wanted - self.known.keys())
+            self.older, self.known = self.known, {}
+        wanted, older = wanted.difference(self.known), self.older
+        self.known.update({p: older[p] for p in wanted if p in older})
+        new = list(wanted.difference(self.known))
         self.known.update(zip(new, self.make(new)))
         self.long = [p for p in new if len(p) > 64]
         return self.known

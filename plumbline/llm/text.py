@@ -94,8 +94,8 @@ class Words:
         return self.doc[:m] == self.doc[len(self.doc) - m :]
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Runs of rows whose texts together have at most SLICE_BYTES bytes (or one row), with the texts as bytes."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Runs of rows whose texts together have at most so many bytes (or one row), with the texts as bytes."""
     texts = batch.column(batch.schema.get_field_index(column))
     if not len(texts):
         return
@@ -105,12 +105,13 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch,
     at = 0
     while at < len(texts):
         before = sizes[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(sizes, before + most, "right")))
         yield batch.slice(at, to - at), texts.slice(at, to - at).to_pylist()
         at = to
 
 
-def per_text(df: DataFrame, text: str | Column, keep: dict[str, Column], fn: Callable, schema: str) -> DataFrame:
+def per_text(df: DataFrame, text: str | Column, keep: dict[str, Column], fn: Callable, schema: str,
+             slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Apply fn(rows, texts) -> iterable of column dicts to slices of rows in Arrow, without a shuffle.
 
     rows has the columns of keep; texts are the whole texts as bytes (None: null). Other columns never reach Python."""
@@ -122,7 +123,7 @@ def per_text(df: DataFrame, text: str | Column, keep: dict[str, Column], fn: Cal
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = fn()
         for batch in batches:
-            for rows, texts in slices(batch, "__text"):
+            for rows, texts in slices(batch, "__text", slice_bytes):
                 for out in work(rows, texts):
                     yield pa.RecordBatch.from_arrays(
                         [_array(out[f.name], f.type) for f in arrow], schema=arrow)

@@ -96,7 +96,7 @@ def test_memory_is_bounded():
     for at in range(50):
         parts = [[f"p{at}", f"p{at + 1}", "often"], ["y" * 100]]
         known = memory.of(parts)
-        assert all(known[p] == p.upper() for own in parts for p in own) and len(known) <= 12
+        assert all(known[p] == p.upper() for own in parts for p in own) and len(known) <= 12 and len(memory.older) <= 12
     assert collections.Counter(made)["y" * 100] == 50 and collections.Counter(made)["often"] == 1
 
 
@@ -230,6 +230,13 @@ def test_alignment_of_odd_texts(spark, tokenizers):
     assert rows_of(alignment.alignment(df, tokenizers)) == Brute().rows(docs)
 
 
+def test_long_texts_in_stretches(monkeypatch, tokenizers):
+    right = tokenizers.sides()[1].side
+    whole = right.encode([" " + t for t in odd_texts()])
+    monkeypatch.setattr(alignment, "AT_ONCE", 12)
+    assert right.encode([" " + t for t in odd_texts()]) == whole and right.encode(["", " a"])[0] == []
+
+
 def test_groups_by_pointers():
     rng = np.random.default_rng(3)
     for _ in range(300):
