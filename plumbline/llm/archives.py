@@ -135,7 +135,7 @@ def read_arc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]
         yield dict(zip(fields, values)), block
 
 
-def _arc_rows(streams, payloads: bool):
+def _arc_rows(streams, payloads: bool, packed: bool = True):
     for stream in streams:
         for head, block in read_arc(stream):
             http, _, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
@@ -143,7 +143,7 @@ def _arc_rows(streams, payloads: bool):
             row = {"page_id": int(own[1]) if own else None, "n": len(payload), "digest": hashlib.sha1(payload).hexdigest()}
             if payloads:
                 row |= {"uri": head["URL"], "ip": head["IP-address"], "date": head["Archive-date"], "http": http,
-                        "payload": zlib.compress(payload, 1)}
+                        "payload": zlib.compress(payload, 1) if packed else payload}
             yield len(row.get("payload", b"")), row
 
 
@@ -165,15 +165,21 @@ def base32(hexadecimal: str) -> str:
     return base64.b32encode(bytes.fromhex(hexadecimal)).decode()
 
 
-def warc_record(row: dict) -> bytes:
+def iso_date(stamp: str) -> str:
+    """The 14 digits of an archive date as WARC writes them."""
+    if len(stamp) != 14 or not stamp.isdigit():
+        raise ValueError("an archive date does not have 14 digits")
+    return f"{stamp[:4]}-{stamp[4:6]}-{stamp[6:8]}T{stamp[8:10]}:{stamp[10:12]}:{stamp[12:]}Z"
+
+
+def warc_record(row: dict, payload: bytes) -> bytes:
+    """The record of a page; a revisit has no payload."""
     refers = row["refers_to"]
-    payload = b"" if refers is not None else zlib.decompress(row["payload"])
-    block = (row["http"] + b"\r\n\r\n" if row["http"] else b"") + payload
-    when = datetime.strptime(row["date"], "%Y%m%d%H%M%S")
+    block = (row["http"] + b"\r\n\r\n" if row["http"] else b"") + (b"" if refers is not None else payload)
     kind = "revisit" if refers is not None else "response" if row["http"] else "resource"
     head = {
         "WARC-Type": kind, "WARC-Record-ID": record_id(row["page_id"], row["digest"], row["uri"]),
-        "WARC-Date": f"{when:%Y-%m-%dT%H:%M:%SZ}", "WARC-Target-URI": row["uri"], "WARC-IP-Address": row["ip"],
+        "WARC-Date": iso_date(row["date"]), "WARC-Target-URI": row["uri"], "WARC-IP-Address": row["ip"],
         "WARC-Payload-Digest": "sha1:" + base32(row["digest"]),
         "WARC-Block-Digest": "sha1:" + base32(hashlib.sha1(block).hexdigest()),
         "Content-Type": "application/http; msgtype=response" if row["http"] else "application/octet-stream",
@@ -196,28 +202,44 @@ def warcinfo(part: int) -> bytes:
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST_BYTES) -> None:
-    """Write the WARC files for the ARC files below a path."""
+    """Write the WARC files for the ARC files below a path.
+
+    Digests are gathered first. While few payloads are repeated, each ARC file becomes a WARC file in one pass; with more
+    of them, records and digests are joined by a shuffle."""
     slim = arc_records(spark, arc_path, payloads=False).where(F.col("n") >= least)
     first = slim.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("copies"))
-    first = first.where("copies > 1 and first is not null").select("digest", "first").persist()
-    few = first.count() <= BROADCAST_ROWS
-    joined = arc_records(spark, arc_path).join(F.broadcast(first) if few else first, "digest", "left")
+    first = first.where("copies > 1 and first is not null").select("digest", "first")
+    some = first.limit(BROADCAST_ROWS + 1).collect()
+    if len(some) <= BROADCAST_ROWS:
+        sent = spark.sparkContext.broadcast({r["digest"]: r["first"] for r in some})
+
+        def one_pass(batches):
+            known = sent.value
+
+            def rows():
+                yield warcinfo(TaskContext.get().partitionId())
+                for _, row in _arc_rows(_streams(batches), True, packed=False):
+                    refers = known.get(row["digest"]) if row["n"] >= least else None
+                    yield warc_record(row | {"refers_to": refers if refers != row["page_id"] else None}, row["payload"])
+
+            yield from _values(rows())
+
+        return _write(_contents(spark, arc_path).mapInArrow(one_pass, ONE_VALUE), warc_path, "\r\n\r\n")
+    joined = arc_records(spark, arc_path).join(first, "digest", "left")
     refers = F.when((F.col("n") >= least) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     names = [*T.StructType.fromDDL(RECORD).fieldNames(), "refers_to"]
 
     def run(batches):
-        part = TaskContext.get().partitionId()
-
         def rows():
-            yield warcinfo(part)
+            yield warcinfo(TaskContext.get().partitionId())
             for batch in batches:
                 for i in range(batch.num_rows):
-                    yield warc_record({n: batch.column(c)[i].as_py() for c, n in enumerate(names)})
+                    row = {n: batch.column(c)[i].as_py() for c, n in enumerate(names)}
+                    yield warc_record(row, zlib.decompress(row["payload"]))
 
         yield from _values(rows())
 
-    _write(joined.withColumn("refers_to", refers).select(*names).mapInArrow(run, ONE_VALUE), warc_path, "\r\n\r\n")
-    first.unpersist()
+    return _write(joined.withColumn("refers_to", refers).select(*names).mapInArrow(run, ONE_VALUE), warc_path, "\r\n\r\n")
 
 
 def read_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:

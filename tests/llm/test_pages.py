@@ -58,25 +58,35 @@ def test_mined_rules(spark):
     assert got[1]["verdict"] == "allow" and got[1]["mined_rule"] is None
 
 
-def test_archives(spark):
+@pytest.mark.parametrize("sent", [archives.BROADCAST_ROWS, 0])
+def test_archives(spark, monkeypatch, sent):
+    """In one pass and by a join; payloads that recur, a null page, columns with names of the operator's own."""
+    monkeypatch.setattr(archives, "BROADCAST_ROWS", sent)
     big = "x" * 1500
     rows = [(1, "http://a/b c", big), (2, "http://a/2", big), (9, None, big), (3, "http://a/3", "short"), (4, "http://a/4", "short"),
             (5, "http://a/5", None), (6, "http://a/6", "a\r\n\r\nWARC/1.1\r\n\n1 0 x é" * 100), (None, "http://a/7", big), (9, "u", big),
-            (11, "http://a/11", "Z" * 300_000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
-    where = f"{shared_dir(spark)}/test-archives-{id(pages)}"
+            (11, "http://a/11", "Z" * 300_000), (12, "http://a/12", "é" * 900_000), (13, "", "é" * 900_000)]
+    pages = spark.createDataFrame([(*r, "other", "other", None) for r in rows],
+                                  "page_id long, url string, html string, digest string, payload string, refers_to string").repartition(3)
+    where = f"{shared_dir(spark)}/test-archives-{id(pages)}-{sent}"
     archives.write_arc(pages, f"{where}/arc")
     archives.convert(spark, f"{where}/arc", f"{where}/warc")
     got = sorted((tuple(r) for r in archives.warc_pages(spark, f"{where}/warc").collect()), key=str)
-    want = []
+    want, last = [], {big: 9, rows[-1][2]: 13}
     for page_id, _, html in rows:
         payload = (html or "").encode()
-        revisit = html == big and page_id != 9
+        revisit = html in last and page_id != last[html]
         want.append((page_id, len(payload), hashlib.sha1(payload).hexdigest(), "revisit" if revisit else "response",
-                     9 if revisit else None))
+                     last[html] if revisit else None))
     assert got == sorted(want, key=str)
 
 
+def test_dates():
+    assert archives.iso_date("20240131235901") == "2024-01-31T23:59:01Z"
+    with pytest.raises(ValueError):
+        archives.iso_date("2024-01-31")
+
+
 def test_no_pages(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     where = f"{shared_dir(spark)}/test-archives-{id(empty)}"
