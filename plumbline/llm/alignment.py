@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,11 +39,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.llm import byte_bpe, sentencepiece_bpe
-from plumbline.llm.byte_bpe import Memory
 from plumbline.llm.text import per_text, staged
 
 #: Pairs that are expanded at once, and the size from which a group's equal ids are collapsed first.
 BLOCK, LARGE = 1 << 20, 256
+#: Characters of text whose ids are held as lists at once.
+AT_ONCE = 1 << 18
+STRETCH_BORDER = re.compile("[^ ](?= )")
 SPACE = sentencepiece_bpe.SPACE
 
 
@@ -64,72 +68,81 @@ def byte_level(path: str, pattern: str) -> byte_bpe.Vocabulary:
     ranks = {bytes(map(as_byte.__getitem__, token)): i for token, i in model["vocab"].items() if token not in special}
     pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     made = [model["vocab"][a + b] for a, b in pairs]
-    if spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"] or made != sorted(made):
-        raise ValueError("a byte-level BPE without text rewriting and with ids in the order of its merges is needed")
-    return byte_bpe.Vocabulary(ranks, pattern)
+    vocabulary = byte_bpe.Vocabulary(ranks, pattern)
+    coder = byte_bpe.Coder(vocabulary)
+    tokens = sorted(ranks, key=ranks.__getitem__)
+    alone = coder.pieces.encode([byte_bpe.mapped(raw) for raw in tokens], num_threads=1)
+    if (spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"] or made != sorted(made)
+            or any([coder.by_piece[k] for k in ids] != [ranks[raw]] for raw, ids in zip(tokens, alone))):
+        raise ValueError("a byte-level BPE is needed that rewrites no text, numbers tokens by their merges and can reach them all")
+    return vocabulary
 
 
 class ByteSide:
-    """Tokens of a byte-level vocabulary: parts of a text and the ids of parts."""
+    """Ids of a byte-level vocabulary by the tiktoken library."""
 
-    def __init__(self, vocabulary: byte_bpe.Vocabulary, model: bytes):
-        self.coder = byte_bpe.Coder(vocabulary, model)
-        self.raw, self.split, self.encode = self.coder.raw, self.coder.split, self.coder.encode_parts
+    def __init__(self, vocabulary: byte_bpe.Vocabulary):
+        import tiktoken
 
+        self.raw = {rank: raw for raw, rank in vocabulary.ranks.items()}
+        self.library = tiktoken.Encoding("left", pat_str=vocabulary.pattern, mergeable_ranks=vocabulary.ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [self.library.encode_ordinary(t) for t in texts]
 
-class PieceSide:
-    """Tokens of a sentencepiece model, part by part where no piece spans a border; the library encodes the parts.
 
-    A part that begins with a space is given without it, as the library puts one before; other parts follow a line break,
-    whose ids are left out again."""
+class PieceSide:
+    """Ids of a sentencepiece model by its library, which puts a space before what it is given. A long text is given in
+    stretches that begin with a space after another character, where no piece spans the border."""
 
     def __init__(self, vocabulary: sentencepiece_bpe.Vocabulary, model: bytes):
         import sentencepiece
 
-        self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.coder = sentencepiece_bpe.Encoder(vocabulary)
-        if not vocabulary.prefix or self.coder.cuts is None:
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
+        if not vocabulary.prefix or sentencepiece_bpe.Encoder(vocabulary).cuts is None:
             raise ValueError("a model that puts a space before and has no pieces across spaces or line breaks is needed")
         self.raw = {i: t.replace(SPACE, " ").encode() for i, t in enumerate(vocabulary.texts) if t}
         self.raw |= {i: bytes([b]) for b, i in enumerate(vocabulary.bytes_)}
-        self.skip = len(self.pieces.encode("\n"))
 
-    def split(self, text: str) -> list[str]:
-        """Parts of the text, which begins with the space that the library would put."""
-        return self.coder.parts(text.replace(" ", SPACE))
+    @staticmethod
+    def stretches(text: str) -> list[str]:
+        """Parts of a text that begins with a space, without the space that each begins with."""
+        out, begin = [], 0
+        while len(text) - begin > AT_ONCE:
+            border = STRETCH_BORDER.search(text, begin + AT_ONCE // 2)
+            if border is None or border.end() + 1 == len(text):  # the library makes nothing of an empty text
+                break
+            out.append(text[begin + 1 : border.end()])
+            begin = border.end()
+        return [*out, text[begin + 1 :]]
 
-    def encode(self, parts: list[str]) -> list[list[int]]:
-        begins = [p.startswith(SPACE) for p in parts]
-        texts = [p[1:].replace(SPACE, " ") if b else "\n" + p for p, b in zip(parts, begins)]
-        out = self.pieces.encode(texts, num_threads=1) if texts else []
-        alone = self.coder.v.pieces[SPACE][0]
-        return [[alone] if p == SPACE else ids if b else ids[self.skip :] for p, b, ids in zip(parts, begins, out)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        if all(0 < len(t) <= AT_ONCE for t in texts):
+            return self.library.encode([t[1:] for t in texts], num_threads=1)
+        return [[i for part in self.library.encode(self.stretches(t), num_threads=1) for i in part] if t else [] for t in texts]
 
 
 class Tokens:
-    """Ids of whole texts as arrays; the ids of parts are remembered as bytes, None for parts that do not give back their text."""
+    """Ids of whole texts as arrays."""
 
     def __init__(self, side):
         self.side = side
-        self.sizes = np.zeros(max(side.raw) + 1, np.int64)
-        for i, raw in side.raw.items():
-            self.sizes[i] = len(raw)
-        self.memory = Memory(self._make)
-
-    def _make(self, parts: list[str]) -> list[bytes | None]:
-        raw = self.side.raw
-        return [np.array(ids, np.int32).tobytes()
-                if b"".join([raw.get(i, b"") for i in ids]) == part.replace(SPACE, " ").encode() else None
-                for part, ids in zip(parts, self.side.encode(parts))]
+        self.raw = [side.raw.get(i, b"") for i in range(max(side.raw) + 1)]
+        self.sizes = np.array([len(raw) for raw in self.raw], np.int64)
 
     def of(self, texts: list[str]) -> list[bytes | None]:
-        """The ids of each text; None if they do not give back the text."""
-        split = [self.side.split(t) for t in texts]
-        known = self.memory.of(split)
+        """The ids of each text as 32-bit numbers; None if their bytes are not those of the text. Few texts at a time are held
+        as lists."""
         out: list[bytes | None] = []
-        for text, parts in zip(texts, split):
-            found = [known[p] for p in parts]
-            out.append(None if SPACE in text or None in found else b"".join(found))
+        at = 0
+        while at < len(texts):
+            begin, size = at, 0
+            while at < len(texts) and (size == 0 or size + len(texts[at]) <= AT_ONCE):
+                size, at = size + max(1, len(texts[at])), at + 1
+            own = texts[begin:at]
+            for text, ids in zip(own, self.side.encode(own)):
+                same = b"".join(map(self.raw.__getitem__, ids)) == text.encode()
+                out.append(array("i", ids).tobytes() if same else None)
         return out
 
 
@@ -259,7 +272,6 @@ class Tokenizers:
     """A byte-level vocabulary and a sentencepiece model, read on the driver; both have the size of a vocabulary."""
 
     left: byte_bpe.Vocabulary
-    left_model: bytes
     right: sentencepiece_bpe.Vocabulary
     right_model: bytes
 
@@ -267,10 +279,10 @@ class Tokenizers:
     def load(cls, byte_level_path: str, pattern: str, piece_path: str) -> Tokenizers:
         left = byte_level(byte_level_path, pattern)
         with open(piece_path, "rb") as file:
-            return cls(left, left.model(), sentencepiece_bpe.Vocabulary.load(piece_path), file.read())
+            return cls(left, sentencepiece_bpe.Vocabulary.load(piece_path), file.read())
 
     def sides(self) -> tuple[Tokens, Tokens]:
-        return Tokens(ByteSide(self.left, self.left_model)), Tokens(PieceSide(self.right, self.right_model))
+        return Tokens(ByteSide(self.left)), Tokens(PieceSide(self.right, self.right_model))
 
     @property
     def width(self) -> int:
