@@ -24,7 +24,7 @@ from plumbline.operators.facts import value_counts
 from plumbline.operators.frequency import typed_modes
 from plumbline.operators.quantiles import column_quantiles
 from plumbline.plans.cleaning_plan import DUPLICATES, ENCODING, MISSING, OUTLIERS, Step, plan_steps
-from plumbline.session import cut_lineage, small_table
+from plumbline.session import settled, small_table
 
 DROPPED, LEAKAGE = "dropped_columns", "leakage_warnings"
 UNKNOWN_LABEL = "skipped - unknown or dropped column"
@@ -332,8 +332,9 @@ def clean(
 
     The target is never imputed, clipped, filtered on or encoded. ``plan`` is a
     dict, JSON text or plan rows; a malformed plan applies nothing. The rows
-    left by de-duplication are written to the checkpoint folder once, so that
-    later statistics do not repeat its shuffle.
+    left by de-duplication are written to the shared folder once, counted by that
+    write, so that later statistics do not repeat its shuffle and read only the
+    columns they need.
     """
     spark = df.sparkSession
     steps = plan_steps(spark, plan)
@@ -353,8 +354,8 @@ def clean(
     for step in section(DUPLICATES):
         if step.action == "drop":
             before = current.count()
-            current = cut_lineage(drop_duplicate_rows(current))
-            log.add(step, "drop", removed=before - current.count())
+            current, left = settled(drop_duplicate_rows(current))
+            log.add(step, "drop", removed=before - left)
         else:
             log.add(step, "keep" if step.action == "keep" else UNREAD_LABEL)
 

@@ -15,6 +15,8 @@ from plumbline.operators.columns import ColumnInfo, numeric_columns, slice_key
 from plumbline.session import small_table
 
 PAIR_BATCH = 14
+#: Numbers that a task keeps for its slices.
+HELD_CELLS = 1 << 22
 _PARTIAL = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
 
 
@@ -42,32 +44,72 @@ def _frame(mean: float | None, low: float | None, high: float | None) -> tuple[f
     return center, reach if 0 < reach < math.inf else 1.0
 
 
+def _block(columns: Sequence[pa.Array]) -> np.ndarray:
+    """The values of some columns side by side; missing ones are NaN."""
+    return np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns]).astype("float64")
+
+
+def _sums(block: np.ndarray, center: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """For all pairs of columns: complete rows, sum of the first, sum of its squares, sum of products."""
+    known = ~np.isnan(block)
+    x = np.where(known, block / scale - center / scale, 0.0)
+    m = known.astype("float64")
+    return np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+
+
+def _upper(sums: np.ndarray) -> list[np.ndarray]:
+    """The sums of the pairs i < j, by the names of a partial row."""
+    i, j = np.triu_indices(sums.shape[1], 1)
+    return [i.astype("int32"), j.astype("int32"), sums[0][i, j], sums[1][i, j], sums[1][j, i], sums[2][i, j], sums[2][j, i],
+            sums[3][i, j]]
+
+
+_NAMES = ("i", "j", "n", "sx", "sy", "sxx", "syy", "sxy")
+
+
 def _gram(frames: Sequence[tuple[float, float]]):
     """Per-task sums for all pairs: one small matrix product per Arrow batch."""
     center, scale = np.array(frames, dtype="float64").T
-    width = len(center)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((5, width, width))
+        sums = np.zeros((4, len(center), len(center)))
+        for batch in batches:
+            sums += _sums(_block(batch.columns), center, scale)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _upper(sums)], names=list(_NAMES))
+
+    return run
+
+
+def _sliced_gram(frames: Sequence[tuple[float, float]], held: int = HELD_CELLS):
+    """The same sums for each slice, in a dictionary of a task that is sent off whenever it holds so many numbers."""
+    center, scale = np.array(frames, dtype="float64").T
+    most = max(1, held // (4 * len(center) ** 2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str | None, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for slice_, own in sums.items():
+                rows = _upper(own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([slice_] * len(rows[0]), pa.string()), *map(pa.array, rows)], names=["slice", *_NAMES])
+            sums.clear()
+
         for batch in batches:
-            block = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype("float64")
-            known = ~np.isnan(block)
-            x = np.where(known, block / scale - center / scale, 0.0)
-            m = known.astype("float64")
-            sq = x * x
-            sums[0] += m.T @ m
-            sums[1] += x.T @ m
-            sums[2] += sq.T @ m
-            sums[3] += x.T @ x
-        i, j = np.triu_indices(width, 1)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(i.astype("int32")), pa.array(j.astype("int32")), pa.array(sums[0][i, j]),
-                pa.array(sums[1][i, j]), pa.array(sums[1][j, i]), pa.array(sums[2][i, j]), pa.array(sums[2][j, i]),
-                pa.array(sums[3][i, j]),
-            ],
-            names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"],
-        )
+            if not batch.num_rows:
+                continue
+            codes = batch.column(0).dictionary_encode("encode")
+            at, names = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary.to_pylist()
+            order = np.argsort(at, kind="stable")
+            block = _block(batch.columns[1:])[order]
+            first = np.flatnonzero(np.append(True, np.diff(at[order]) != 0))
+            for begin, part in zip(first, np.split(block, first[1:])):
+                slice_ = names[at[order[begin]]]
+                own = _sums(part, center, scale)
+                sums[slice_] = sums[slice_] + own if slice_ in sums else own
+            if len(sums) > most:
+                yield from out()
+        yield from out()
 
     return run
 
@@ -78,10 +120,6 @@ def _frames(df: DataFrame, cols: Sequence[ColumnInfo]) -> dict[int, tuple[float,
     return {c.ordinal: _frame(*(row[f"{k}{c.ordinal}"] for k in ("m", "lo", "hi"))) for c in cols}
 
 
-def _framed(v: Column, center: float, scale: float) -> Column:
-    return v / F.lit(scale) - F.lit(center / scale)
-
-
 def _r_from_sums() -> Column:
     n = F.col("n")
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
@@ -134,27 +172,18 @@ def corr_pairs(
 
 
 def _sliced_pairs(df: DataFrame, cols: Sequence[ColumnInfo], by: str) -> DataFrame:
-    """Sums per slice and pair; each task combines its rows before the shuffle."""
-    frames = _frames(df, cols)
-    pairs = [(a, b) for k, a in enumerate(cols) for b in cols[k + 1 :]]
-    shifted = df.select(*slice_key(by), *[_framed(c.number, *frames[c.ordinal]).alias(f"c{c.ordinal}") for c in cols])
-    cells = F.array(*[F.struct(F.col(f"c{a.ordinal}").alias("x"), F.col(f"c{b.ordinal}").alias("y")) for a, b in pairs])
-    x, y = F.col("cell.x"), F.col("cell.y")
+    """Sums per slice and pair. Each task reduces its rows to one small matrix per slice, so what is shuffled depends on
+    slices and columns, not on rows; pairs without a complete row are left out."""
+    frames = list(_frames(df, cols).values())
     sums = (
-        shifted.select("slice", F.posexplode(cells).alias("pair", "cell"))
-        .where(x.isNotNull() & y.isNotNull())
-        .groupBy("slice", "pair")
-        .agg(
-            F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
-            F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"),
-        )
+        df.select(*slice_key(by), *[c.number.alias(f"c{i}") for i, c in enumerate(cols)])
+        .mapInArrow(_sliced_gram(frames), f"slice string, {_PARTIAL}")
+        .groupBy("slice", "i", "j").agg(*[F.sum(k).alias(k) for k in _NAMES[2:]]).where("n > 0")
     )
-    index = small_table(
-        df.sparkSession,
-        [(k, a.ordinal, b.ordinal, a.name, b.name) for k, (a, b) in enumerate(pairs)],
-        "pair int, i int, j int, a string, b string",
-    )
-    return sums.join(F.broadcast(index), "pair").select("slice", "i", "j", "a", "b", "n", _r_from_sums().alias("r"))
+    ordinal, name = (F.array(*[F.lit(getattr(c, k)) for c in cols]) for k in ("ordinal", "name"))
+    return sums.select(
+        "slice", F.get(ordinal, F.col("i")).alias("i"), F.get(ordinal, F.col("j")).alias("j"), F.get(name, F.col("i")).alias("a"),
+        F.get(name, F.col("j")).alias("b"), F.col("n").cast("bigint").alias("n"), _r_from_sums().alias("r"))
 
 
 def correlation_table(pairs: DataFrame) -> DataFrame:

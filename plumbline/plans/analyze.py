@@ -75,9 +75,9 @@ def analyze(
     cleaned_path: str | None = None,
     mode: str = "exact",
     signals_on: str = "cleaned",
-    max_bar_values: int | None = vocab.MAX_BAR_CATEGORIES,
+    max_bar_values: int | None = None,
 ) -> Analysis:
-    """Analyse a table end to end. Bar charts leave out columns with more than ``max_bar_values`` values.
+    """Analyse a table end to end. With ``max_bar_values``, bar charts leave out columns that have more values.
 
     Target and identifiers are decided on the original table. Without ``plan``
     one is proposed from the profile. The cleaned table is written once (to

@@ -9,7 +9,8 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -52,6 +53,19 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> tuple[DataFrame, int]:
+    """(the rows, written once, how many there are): the write itself counts them. Tables that Parquet cannot hold (names
+    that differ in case only, columns without a type) are checkpointed and counted."""
+    plain = len({c.lower() for c in df.columns}) == len(df.columns) and not any(
+        isinstance(f.dataType, T.NullType) for f in df.schema.fields)
+    if not plain:
+        out = cut_lineage(df)
+        return out, out.count()
+    counted = Observation()
+    out = staged(df.observe(counted, F.count(F.lit(1)).alias("n")))
+    return out, counted.get.get("n") or 0
+
+
 def together(*jobs: Callable) -> list:
     """Results of independent actions submitted at once, so that small stages share the executors."""
     session = SparkSession.getActiveSession()

@@ -581,6 +581,7 @@ done AS (SELECT hour, user_id, value, event_type_missing{extra}, {one_hot_sql('e
 
 
 SQL["clean_full"] = f"WITH {event_clean_sql(False)} SELECT * FROM done"
+SQL["snapshot_before_encoding"] = f"WITH {event_clean_sql(False)} SELECT * FROM kept"
 SQL["target_protected_clean"] = f"WITH {event_clean_sql(True)} SELECT * FROM done"
 
 SQL["leakage_flags"] = f"""WITH src AS ({PRICED}) SELECT "column", round(r, 4) AS r FROM (
@@ -728,6 +729,12 @@ WHERE (SELECT count(DISTINCT {c}) FROM events) > {vocab.CATEGORICAL_MAX_DISTINCT
     return " UNION ALL ".join(rows)
 
 
+_SHIPPED = [c for c, _ in COLUMNS["lineitem"]].index("l_shipdate")
+SQL["bar_data_all"] = SQL["bar_data"].replace(
+    f"({_counts('lineitem', _plain(COLUMNS['lineitem']))})",
+    f"""({_counts('lineitem', _plain(COLUMNS['lineitem']))} UNION ALL SELECT {_SHIPPED}, 'l_shipdate',
+  strftime(l_shipdate, '%Y-%m-%d %H:%M:%S'), count(*) FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 3)""").replace(
+    "SELECT ordinal FROM barred", "SELECT ordinal FROM routes WHERE bar AND nunique > 0")
 SQL["hist_data"] = hist_sql(_without(COLUMNS["events"], "props"), False)
 SQL["hist_log_data"] = hist_sql(_without(COLUMNS["events"], "props"), True)
 
@@ -739,6 +746,16 @@ SELECT point, round(any_value(x), 4) AS x,
   round(sum(exp(-0.5 * pow((x - value) / h, 2))) / any_value(n * h * sqrt(2 * pi())), 8) AS density
 FROM grid, events WHERE value IS NOT NULL GROUP BY point"""
 
+SQL["kde_binned"] = " UNION ALL ".join(f"""SELECT * FROM (WITH s AS (SELECT n, lo, hi, h, (hi - lo) / least(1048576, ceil(400 * (hi - lo) / h)) AS step FROM
+  (SELECT count({c}) AS n, min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi, stddev_samp({c}) * pow(count({c}), -0.2::DOUBLE) AS h FROM lineitem)),
+spots AS (SELECT ({c} - lo) / step AS u FROM lineitem, s WHERE {c} IS NOT NULL),
+knots AS (SELECT knot, sum(w) AS w FROM (SELECT floor(u) AS knot, 1 - (u - floor(u)) AS w FROM spots
+  UNION ALL SELECT floor(u) + 1, u - floor(u) FROM spots) GROUP BY knot),
+grid AS (SELECT g::INTEGER AS point, lo + g * (hi - lo) / {vocab.DENSITY_POINTS - 1} AS x FROM s, range({vocab.DENSITY_POINTS}) t(g))
+SELECT '{c}' AS "column", point, round(any_value(x), 4) AS x,
+  round(sum(w * exp(-0.5 * pow((x - (lo + knot * step)) / h, 2))) / any_value(n * h * sqrt(2 * pi())), 8) AS density
+FROM grid, knots, s GROUP BY point)""" for c in ("l_quantity", "l_extendedprice", "l_partkey"))
+
 _CONTINUOUS = f"""src AS ({PRICED}), {facts('src', PRICED_COLUMNS)},
 cont AS (SELECT * FROM facts WHERE role = 'numeric' AND nunique > {vocab.CATEGORICAL_MAX_DISTINCT}),
 cpairs AS (SELECT * FROM ({pairs_sql('src', PRICED_COLUMNS)})
@@ -908,6 +925,13 @@ _RARE_SIGNALS = signals_sql(
 SQL["model_warnings"] = f"""WITH {_RARE_SIGNALS}, {_WARNINGS}
 SELECT row_number() OVER (ORDER BY o)::INTEGER AS ordinal, warning FROM w WHERE warning IS NOT NULL"""
 
+_NATION_SIGNALS = signals_sql(
+    "SELECT s_acctbal, 'n' || s_nationkey AS nation FROM supplier", [("s_acctbal", NUM), ("nation", TEXT)], "nation",
+    "SELECT min(n) AS minority, max(n) AS majority, sum(n) AS total, count(*) AS classes FROM "
+    "(SELECT count(*) AS n FROM src GROUP BY nation)")
+SQL["cautions_small_classes"] = f"""WITH {_NATION_SIGNALS}, {_WARNINGS}
+SELECT row_number() OVER (ORDER BY o)::INTEGER AS ordinal, warning FROM w WHERE warning IS NOT NULL"""
+
 _FAMILIES = ", ".join(
     "('{}', '{}', '{}', '{}', '{}', '{}')".format(f[0], f[1], f[2], f[4], f[6], "; ".join(f[7])) for f in vocab.MODEL_FAMILIES)
 SQL["model_cards"] = f"""WITH {_LINE_RANKING},
@@ -1007,6 +1031,12 @@ SQL["analyze_report"] = report_sql(
     f"cleaned AS (SELECT value, props, {one_hot_sql('event_type', _TYPES)} FROM events)",
     [("value", NUM), ("props", TEXT)] + [(f"event_type_{t}", INT) for t in _TYPES], "0")
 
+SQL["analyze_stops"] = """SELECT count(DISTINCT c_custkey) < count(*) OR count(DISTINCT c_name) < count(*) AS valid,
+  CASE WHEN count(DISTINCT c_custkey) = count(*) AND count(DISTINCT c_name) = count(*) THEN 'No usable feature columns remain: every '
+    || 'column looks like an identifier (unique IDs, names, or free text) or the target. There is nothing for a model to learn from.'
+    ELSE '' END AS errors, false AS cleaned, false AS ranked FROM customer"""
+SQL["analyze_from_csv"] = SQL["analyze_report"]
+
 _FLAGS, _STATUS = ("A", "N", "R"), ("F", "O")
 _CLEAN_LINES = _without(COLUMNS["lineitem"], "l_returnflag", "l_linestatus", "l_shipdate") + [
     ("l_quantity_missing", INT), ("l_returnflag_missing", INT)] + [(f"l_returnflag_{f}", INT) for f in _FLAGS] + [

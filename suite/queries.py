@@ -388,6 +388,12 @@ def clean_full(spark, sf):
     return cleaning.clean(dirty_events(spark, sf), _EVENT_PLAN, None, ["ts"]).encoded
 
 
+@query
+def snapshot_before_encoding(spark, sf):
+    """The cleaned events as they are before one-hot encoding, which the charts are drawn from."""
+    return cleaning.clean(dirty_events(spark, sf), _EVENT_PLAN, None, ["ts"]).pre_encoding
+
+
 @query
 def target_protected_clean(spark, sf):
     return cleaning.clean(dirty_events(spark, sf), _EVENT_PLAN, "value", ["ts", "value"]).encoded
@@ -482,6 +488,21 @@ def kde_curve(spark, sf):
     return curve.select("point", F.round("x", 4).alias("x"), F.round("density", 8).alias("density"))
 
 
+@query
+def kde_binned(spark, sf):
+    """Density curves of three whole columns from values shared out to a grid of 400 cells to a bandwidth."""
+    df = load(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_partkey")
+    curve = charts.density_curves(df, charts.histogram_specs(df, facts.column_facts(df), log_scale=False), cells_per_width=400)
+    return curve.select("column", "point", F.round("x", 4).alias("x"), F.round("density", 8).alias("density"))
+
+
+@query
+def bar_data_all(spark, sf):
+    """Bars of every value of every bar column of lineitem, without a cap on columns or values."""
+    df = load(spark, sf, "lineitem")
+    return charts.bar_data(df, facts.column_facts(df, quantiles=False))
+
+
 def _priced(spark, sf):
     df = priced_lineitem(spark, sf)
     found = facts.column_facts(df)
@@ -554,6 +575,15 @@ def model_warnings(spark, sf):
     return recommend.model_warnings(row, "classification", "rare", balance)
 
 
+@query
+def cautions_small_classes(spark, sf):
+    """Suppliers with their nation as the class: few rows, one feature and small classes, as far as the table has them."""
+    df = load(spark, sf, "supplier").select("s_acctbal", F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("nation"))
+    balance = frequency.class_balance(df, ["nation"])
+    row = recommend.signals(facts.column_facts(df), "nation", balance)
+    return recommend.model_warnings(row, "classification", "nation", balance)
+
+
 @query
 def model_cards(spark, sf):
     cards = recommend.model_cards(rank_regression(spark, sf))
@@ -785,6 +815,24 @@ def analyze_report(spark, sf):
     return analyze(load(spark, sf, "events"), "events").report()
 
 
+@query
+def analyze_stops(spark, sf):
+    """The analysis of a table of identifiers only: it says why and goes no further."""
+    out = analyze(load(spark, sf, "customer").select("c_custkey", "c_name"), "customer")
+    return out.tables["validity"].select(
+        "valid", F.array_join("errors", " ").alias("errors"), F.lit(out.cleaned is not None).alias("cleaned"),
+        F.lit("ranking" in out.tables).alias("ranked"))
+
+
+@query
+def analyze_from_csv(spark, sf):
+    """From messy files to the report: events as CSV below a line that is no header, read with repairs and analysed."""
+    path = _scratch(spark)
+    events = load(spark, sf, "events").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    _lines(events, path, ["# exported events", ",".join(events.columns)])
+    return analyze(csv_files.read_csv(spark, path, stage_to=_scratch(spark)), "events").report()
+
+
 @query
 def analyze_dirty(spark, sf):
     return analyze(dirty_lineitem(spark, sf).drop("l_shipdate"), "lineitem").report()

@@ -137,3 +137,13 @@ def test_analyze_stops_on_an_invalid_table(spark):
     df = spark.createDataFrame([(i % 7, 1) for i in range(60)], "a int, Target int")
     got = pb.analyze(df)
     assert not got.valid and got.cleaned is None and "ranking" not in got.tables
+
+
+def test_rows_are_counted_while_they_are_written(spark):
+    from plumbline.session import settled
+
+    rows = spark.createDataFrame([(i % 7, None if i % 3 else "x") for i in range(100)], "a int, b string").repartition(4)
+    for df, n in ((rows.dropDuplicates(), 14), (rows.limit(0), 0), (rows.where("a > 99").dropDuplicates(), 0),
+                  (rows.selectExpr("a", "b AS A_", "null AS nothing"), 100)):
+        kept, counted = settled(df)
+        assert kept.count() == counted == n and kept.columns == df.columns

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import plumbline as pb
 from plumbline.functions.scalars import small_percent
-from plumbline.operators import correlation, duplicates, facts, frequency, insights
+from plumbline.operators import charts, correlation, duplicates, facts, frequency, insights
 from plumbline.operators.columns import columns_of
 from plumbline.operators.dates import date_formats, datetime_profile
 from plumbline.operators.quantiles import column_quantiles, sliced_quantiles
@@ -169,3 +169,33 @@ def test_small_percent_never_rounds_to_zero(spark):
     want = ["0.001%", "50%", "10%", "0.5%", "0.0055%", "0.00012%", "0.0001%", "3e-06%"]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(shares)], "i int, x double")
     assert [r["p"] for r in rows.select("i", small_percent(F.col("x")).alias("p")).orderBy("i").collect()] == want
+
+
+def test_correlation_by_slice_from_small_matrices(spark, monkeypatch):
+    """Many slices over several tasks, gaps, a null slice, a slice of one row; with and without early sending."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    slices = [None if k == 37 else f"s{k}" for k in np.minimum(rng.integers(0, 60, n), 37).tolist()]
+    x, y, z = rng.normal(1e6, 3, n), rng.normal(0, 1, n), rng.normal(0, 1, n)
+    y, z = y + x - 1e6, np.where(rng.random(n) < 0.3, np.nan, z)
+    rows = [(s, float(a), float(b), None if np.isnan(c) else float(c)) for s, a, b, c in zip(slices, x, y, z)] + [("lonely", 1.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "k string, x double, y double, z double").repartition(5)
+    for held in (correlation.HELD_CELLS, 40):
+        monkeypatch.setattr(correlation._sliced_gram, "__defaults__", (held,))
+        got = {(r["slice"], r["a"], r["b"]): (r["n"], r["r"]) for r in correlation.corr_pairs(df, by="k").collect()}
+        for key in set(slices):
+            mine = np.array([s == key for s in slices])
+            for a, b, p, q in (("x", "y", x, y), ("x", "z", x, z), ("y", "z", y, z)):
+                both = mine & ~np.isnan(p) & ~np.isnan(q)
+                assert got[key, a, b][0] == both.sum()
+                assert got[key, a, b][1] == pytest.approx(np.corrcoef(p[both], q[both])[0, 1], abs=1e-6)
+        assert got["lonely", "x", "y"] == (1, None) and ("lonely", "x", "z") not in got
+
+
+def test_binned_density_is_close(spark):
+    rng = np.random.default_rng(6)
+    values = np.concatenate((rng.normal(0, 1, 3000), rng.normal(6, 0.5, 1500), [40.0, -3.0, -3.0]))
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(4)
+    specs = charts.histogram_specs(df, facts.column_facts(df), log_scale=False)
+    exact, binned = ({r["point"]: r["density"] for r in charts.density_curves(df, specs, cells_per_width=c).collect()} for c in (None, 400))
+    assert exact.keys() == binned.keys() and max(abs(exact[p] - binned[p]) for p in exact) < 1e-6 * max(exact.values())
