@@ -1,15 +1,19 @@
 """Language-model scores by logistic context mixing over hashed bit predictors.
 
 Texts (A-Z in lower case, UTF-8, closed by one end byte) are predicted bit by bit. For each order k the last k bytes and the
-bits of the current byte so far select a slot of a hashed table; its counts of zeros and ones are one predictor. The
-predictors' log odds are added with weights, and a gate (the longest order whose slot was ever seen, and the bit's place)
-selects the weights. The mix is refined by an adaptive map from (bits so far, mixed log odds) to the frequency met. The
-product of the bit probabilities is the probability of the text, so its log over the bytes gives bits per byte.
-
-Training covers all training documents: distinct windows of (context, byte) are counted by a shuffle, the tables are summed
-in blocks, and the weights are learned online, in small batches within a task, starting each round from the mean of the
-tasks' weights; each occurrence is predicted from the counts without itself. Tables, weights and map have fixed sizes set by
-`Mixing`, so sending them to all tasks is bounded whatever the corpus. A text's score does not depend on other scored texts.
+bits of the current byte so far name a counter; its counts of zeros and ones are one predictor. The predictors' log odds are
+added with weights, and a gate (the longest order met before, the place in the word, the bit's place) selects the weights.
+The mix is refined by an adaptive map from (bits so far, mixed log odds) to the frequency met. The product of the bit
+probabilities is the probability of the text, so its log over the bytes gives bits per byte.
+
+Counters are a distributed table that grows with the corpus; there are as many as the training texts have contexts, without
+collisions. Documents are packed into chunks of bounded size, and each chunk counts its distinct windows (context and byte).
+Windows are dealt by a hash of their last bytes of context to blocks whose number follows from the number of distinct windows,
+so that all counters of the orders above one stand in the block of the window; order one has at most 65,536 counters, which
+every task gets. Counts of a block are merged as a tree with bounded fan-in. The weights are learned online, in small batches
+within a block, from the mean of the blocks' weights of the round before; each occurrence is predicted from the counts without
+itself. Blocks score their distinct windows once, chunks get the scores of their own windows back, and no task holds more than
+one block or one chunk. Blocks depend on the windows alone, so a score depends neither on partitioning nor on other scored texts.
 
 The base model is a word unigram with add-one smoothing over the training tokens; the most frequent words (a fixed number)
 are sent to all tasks, all other words are looked up by a join.
@@ -20,35 +24,44 @@ scored each and count each in training; without training documents all counts ar
 from __future__ import annotations
 
 import math
-import pickle
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from plumbline.llm.text import per_text, slices, staged
+from plumbline.llm.text import mix, slices, staged
 
 END = 0xFF  # no UTF-8 text has this byte
-BLOCK = 1 << 16
+#: Bytes of context whose hash deals a window to its block; every order but the first is at least as long.
+DEALT = 3
+#: Bytes looked at at once; one of so many windows is noted to estimate their number; rows merged by one task.
+PIECE, NOTED, FAN_IN = 1 << 20, 1024, 256
 
 
 @dataclass(frozen=True)
 class Mixing:
-    orders: tuple[int, ...] = (1, 2, 3, 4, 5)
-    bits: tuple[int, ...] = (16, 20, 22, 22, 22)
-    rounds: int = 4
+    orders: tuple[int, ...] = (1, 3, 4, 5, 6)
+    rounds: int = 3
     rate: float = 0.1
     batch: int = 4096
     buckets: int = 33
+    chunk_bytes: int = 16 << 20
+    block_windows: int = 1 << 18
+    least_blocks: int = 16
     frequent_words: int = 1 << 17
 
+    @property
+    def width(self) -> int:
+        return max(self.orders)
+
 
 def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
@@ -57,17 +70,25 @@ def is_held_out(doc_id: Column) -> Column:
 # --- windows ------------------------------------------------------------------
 
 
-def stream(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(windows of `width` context bytes and the byte that follows, as numbers; number of events of each text)."""
+def stream(texts: list[bytes | None], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(windows of `width` context bytes and the byte that follows, as numbers; text of each), piece by piece.
+
+    A text of n bytes has n + 1 events, the last being its end."""
     pad = bytes([END]) * width
     raw = np.frombuffer(pad + b"".join([(t or b"").lower() + pad for t in texts]), np.uint8)
-    packed = np.zeros(max(0, len(raw) - width), np.uint64)
-    for j in range(width + 1):
-        packed = (packed << np.uint64(8)) | raw[j : j + len(packed)]
     lengths = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
-    starts = np.concatenate(([0], np.cumsum(lengths + width - 1)))[:-1]
-    at = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)))[:-1], lengths) + np.arange(lengths.sum())
-    return packed[at], lengths
+    starts = np.cumsum(lengths + width - 1) - (lengths + width - 1)
+    for begin in range(0, len(raw) - width, PIECE):
+        own = raw[begin : begin + PIECE + width]
+        packed = np.zeros(len(own) - width, np.uint64)
+        for j in range(width + 1):
+            packed = (packed << np.uint64(8)) | own[j : j + len(packed)]
+        first = int(np.searchsorted(starts, begin, "right")) - 1
+        last = int(np.searchsorted(starts, begin + len(packed), "left"))
+        text = np.repeat(np.arange(first, last), np.diff(np.append(starts[first:last], len(raw))))
+        text = text[begin - starts[first] :][: len(packed)]
+        event = begin + np.arange(len(packed)) - starts[text] < lengths[text]
+        yield packed[event], text[event]
 
 
 def _counted(values: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -81,142 +102,205 @@ def _counted(values: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarra
     return values[first], counts
 
 
-def window_counts(docs: DataFrame, how: Mixing) -> DataFrame:
-    """(w, n): how often each window occurs in the documents; counted per task before the shuffle."""
-    width = max(how.orders)
-    struct = T.StructType.fromDDL("w long, n long")
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return _counted(*(np.concatenate(x) for x in zip(*parts))) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return zlib.compress(values.tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind=np.uint64) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), kind)
+
+
+def _steps(windows: np.ndarray) -> bytes:
+    """Ascending windows as their differences."""
+    return _packed(np.diff(windows, prepend=np.uint64(0)))
+
+
+def _windows(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data), dtype=np.uint64)
+
+
+CHUNK = ("chunk long, doc_ids array<long>, held array<boolean>, lengths binary, texts binary, windows binary, counts binary, "
+         "noted array<long>")
+
+
+def chunks(docs: DataFrame, held_out, how: Mixing) -> DataFrame:
+    """Documents packed into rows of bounded size (or one document) with the distinct windows and their training counts."""
+    struct = T.StructType.fromDDL(CHUNK)
     schema = to_arrow_schema(struct)
 
+    def packed(number, ids, held, texts):
+        parts, flags = [], np.asarray(held)
+        for windows, text in stream(texts, how.width):
+            own = flags[text]
+            values, n = _counted(windows[~own])
+            other = np.setdiff1d(windows[own], values)
+            parts.append((np.concatenate((values, other)), np.concatenate((n, np.zeros(len(other), np.int64)))))
+            if len(parts) > 4:
+                parts = [_merged(parts)]
+        windows, n = _merged(parts)
+        lengths = np.fromiter((-1 if t is None else len(t) for t in texts), np.int64, len(texts))
+        return pa.RecordBatch.from_pylist([{
+            "chunk": number, "doc_ids": ids, "held": held, "lengths": _packed(lengths),
+            "texts": zlib.compress(b"".join([t.lower() for t in texts if t]), 1), "windows": _steps(windows),
+            "counts": _packed(n), "noted": windows[mix(windows) % np.uint64(NOTED) == 0].astype(np.int64).tolist()}], schema)
+
     def run(batches):
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        number = TaskContext.get().partitionId() << 32
+        ids, held, texts, size = [], [], [], 0
+        for batch in batches:
+            for rows, own in slices(batch, "text"):
+                more = sum(len(t or b"") for t in own)
+                if texts and size + more > how.chunk_bytes:
+                    yield packed(number, ids, held, texts)
+                    number, ids, held, texts, size = number + 1, [], [], [], 0
+                ids += rows.column("doc_id").to_pylist()
+                held += rows.column("held").to_pylist()
+                texts += own
+                size += more
+        if texts:
+            yield packed(number, ids, held, texts)
 
-        def merged():
-            values, n = _counted(*(np.concatenate(x) for x in zip(*parts)))
-            parts.clear()
-            return values, n
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"),
+                       F.col("text").cast("binary").alias("text"))
+    return slim.mapInArrow(run, struct)
+
+
+# --- blocks -------------------------------------------------------------------
+
+
+def block_of(windows: np.ndarray, blocks: int) -> np.ndarray:
+    context = (windows >> np.uint64(8)) & np.uint64((1 << 8 * DEALT) - 1)
+    return (mix(context + np.uint64(1)) % np.uint64(blocks)).astype(np.int64)
 
-        def out(values, n):
-            for i in range(0, len(values), 1 << 18):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[i : i + (1 << 18)].view(np.int64)), pa.array(n[i : i + (1 << 18)], pa.int64())], schema=schema)
 
+def _split(windows: np.ndarray, blocks: int) -> list[np.ndarray]:
+    """Places of the windows of each block, in the order of the windows."""
+    block = block_of(windows, blocks)
+    order = np.argsort(block, kind="stable")
+    return np.split(order, np.searchsorted(block[order], np.arange(1, blocks)))
+
+
+def parts(packed: DataFrame, blocks: int) -> DataFrame:
+    """(block, chunk, windows, counts): what each chunk has of each block."""
+    struct = T.StructType.fromDDL("block int, chunk long, windows binary, counts binary")
+    schema = to_arrow_schema(struct)
+
+    def run(batches):
         for batch in batches:
-            for _, texts in slices(batch, "text"):
-                parts.append(_counted(stream(texts, width)[0]))
-                if sum(len(v) for v, _ in parts) > 1 << 23:
-                    parts[:] = [merged()]
-                    if len(parts[0][0]) > 1 << 22:
-                        yield from out(*parts.pop())
-        if parts:
-            yield from out(*merged())
+            for row in batch.to_pylist():
+                windows, n = _windows(row["windows"]), _unpacked(row["counts"], np.int64)
+                yield pa.RecordBatch.from_pylist([
+                    {"block": b, "chunk": row["chunk"], "windows": _steps(windows[at]), "counts": _packed(n[at])}
+                    for b, at in enumerate(_split(windows, blocks)) if len(at)], schema)
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, struct).groupBy("w").agg(F.sum("n").alias("n"))
+    return packed.select("chunk", "windows", "counts").mapInArrow(run, struct)
 
 
-# --- tables -------------------------------------------------------------------
+def merged(own: DataFrame, salts: int) -> DataFrame:
+    """(block, windows, counts): one row per block, merged as a tree."""
+    struct = T.StructType.fromDDL("block int, chunk long, windows binary, counts binary")
+    schema = to_arrow_schema(struct)
 
+    def add(table: pa.Table) -> pa.Table:
+        sums, waiting = [], 0
+        for w, n in zip(table.column("windows"), table.column("counts")):
+            sums.append((_windows(w.as_py()), _unpacked(n.as_py(), np.int64)))
+            waiting += len(sums[-1][0])
+            if waiting > 1 << 22:
+                sums, waiting = [_merged(sums)], 0
+        windows, n = _merged(sums)
+        return pa.Table.from_pylist([{"block": table.column("block")[0].as_py(), "chunk": table.column("chunk")[0].as_py(),
+                                      "windows": _steps(windows), "counts": _packed(n)}], schema)
 
-def slot(windows: np.ndarray, node: np.ndarray, order: int, bits: int) -> np.ndarray:
-    """Place in the table of an order: exact where context and bits fit, else hashed."""
-    context = (windows >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)
-    key = (context << np.uint64(8)) | node
-    if 8 * order + 8 <= bits:
-        return key
-    key = (key + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)
-    return ((key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)
+    while True:
+        own = own.withColumn("salt", F.pmod(F.xxhash64("chunk", F.lit(salts)), F.lit(salts))).groupBy("block", "salt").applyInArrow(add, struct)
+        if salts == 1:
+            return own.select("block", "windows", "counts")
+        salts = -(-salts // FAN_IN)
 
 
-def _bit(windows: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bits of the byte before bit i with a leading one, bit i), from the highest bit."""
-    byte = windows & np.uint64(0xFF)
-    return (np.uint64(1) << np.uint64(i)) | (byte >> np.uint64(8 - i)), (byte >> np.uint64(7 - i)) & np.uint64(1)
+def _nodes(byte: np.ndarray, i: int) -> np.ndarray:
+    """The first i bits of the byte with a leading one."""
+    return (np.int64(1) << i) | (byte >> (8 - i))
 
 
-def tables(windows: DataFrame, how: Mixing) -> list[np.ndarray]:
-    """Per order the counts [zeros, ones] of every slot, summed in blocks; the result has a fixed size."""
-    struct = T.StructType.fromDDL("ord int, block int, place binary, zeros binary, ones binary")
+def first_counts(blocks: DataFrame) -> np.ndarray:
+    """Counts of (last byte, bits of the next byte so far with a leading one)."""
+    struct = T.StructType.fromDDL("k int, n long")
     schema = to_arrow_schema(struct)
 
     def run(batches):
-        values, n = [], []
         for batch in batches:
-            values.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            n.append(batch.column(1).to_numpy(zero_copy_only=False))
-        if not values:
-            return
-        values, n = np.concatenate(values), np.concatenate(n).astype(np.float64)
-        for order, bits in zip(how.orders, how.bits):
-            own, m = _counted(values & np.uint64((1 << 8 * (order + 1)) - 1), n)
-            sums = np.zeros((2, 1 << bits))
-            for i in range(8):
-                node, bit = _bit(own, i)
-                at = slot(own, node, order, bits).astype(np.int64)
-                for b in (0, 1):
-                    sums[b] += np.bincount(at[bit == b], m[bit == b], 1 << bits)
-            for block in range(max(1, (1 << bits) // BLOCK)):
-                part = sums[:, block * BLOCK : (block + 1) * BLOCK]
-                at = np.flatnonzero(part.any(axis=0))
-                if len(at):
-                    yield pa.RecordBatch.from_pylist([{
-                        "ord": order, "block": block, "place": at.astype(np.uint16).tobytes(),
-                        "zeros": part[0, at].tobytes(), "ones": part[1, at].tobytes()}], schema)
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        sums = np.zeros((2, BLOCK))
-        for place, zeros, ones in zip(rows["place"], rows["zeros"], rows["ones"]):
-            at = np.frombuffer(place, np.uint16)
-            sums[0, at] += np.frombuffer(zeros)
-            sums[1, at] += np.frombuffer(ones)
-        at = np.flatnonzero(sums.any(axis=0))
-        scale = np.minimum(1.0, 65535 / np.maximum(1, sums.max(axis=0)[at]))
-        zeros, ones = (np.ceil(x[at] * scale).astype(np.uint16).tobytes() for x in sums)
-        return pd.DataFrame([{"ord": rows["ord"].iloc[0], "block": rows["block"].iloc[0],
-                              "place": at.astype(np.uint16).tobytes(), "zeros": zeros, "ones": ones}])
-
-    out = [np.zeros((2, 1 << bits), np.uint16) for bits in how.bits]
-    where = {order: i for i, order in enumerate(how.orders)}
-    for row in windows.select("w", "n").mapInArrow(run, struct).groupBy("ord", "block").applyInPandas(add, struct).collect():
-        at = np.frombuffer(row["place"], np.uint16).astype(np.int64) + row["block"] * BLOCK
-        for b, name in enumerate(("zeros", "ones")):
-            out[where[row["ord"]]][b, at] = np.frombuffer(row[name], np.uint16)
+            for row in batch.to_pylist():
+                keys, n = _counted(_windows(row["windows"]) & np.uint64(0xFFFF), _unpacked(row["counts"], np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(n, pa.int64())], schema=schema)
+
+    out = np.zeros((256, 512))
+    rows = blocks.select("windows", "counts").mapInArrow(run, struct).groupBy("k").agg(F.sum("n").alias("n")).collect()
+    for row in rows:  # at most 65,536
+        for i in range(9):
+            out[row["k"] >> 8, (1 << i) | ((row["k"] & 0xFF) >> (8 - i))] += row["n"]
     return out
 
 
+class Block:
+    """Distinct windows with, per order, how often the context was followed by the first 0 to 8 bits of the byte."""
+
+    def __init__(self, how: Mixing, first: np.ndarray, windows: np.ndarray, n: np.ndarray):
+        self.windows, self.n = windows, n.astype(np.float64)
+        self.byte = (windows & np.uint64(0xFF)).astype(np.int64)
+        self.counts = np.empty((len(how.orders), 9, len(windows)), np.float32)
+        for c, order in enumerate(how.orders):
+            if order == 1:
+                last = ((windows >> np.uint64(8)) & np.uint64(0xFF)).astype(np.int64)
+                for i in range(9):
+                    self.counts[c, i] = first[last, _nodes(self.byte, i)]
+                continue
+            key = windows & np.uint64((1 << 8 * (order + 1)) - 1)
+            at = np.argsort(key, kind="stable")
+            key, sums = key[at], np.concatenate(([0], np.cumsum(n[at])))
+            for i in range(9):
+                prefix = key >> np.uint64(8 - i)
+                begin = np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1])))
+                ends = np.append(begin[1:], len(key))
+                self.counts[c, i, at] = np.repeat(sums[ends] - sums[begin], ends - begin)
+        self.place = np.zeros(len(windows), np.int64)
+        inside = np.ones(len(windows), bool)
+        for j in range(1, how.width + 1):
+            b = (windows >> np.uint64(8 * j)) & np.uint64(0xFF)
+            inside &= (b != 0x20) & (b != END) & ((b < 9) | (b > 13))
+            self.place += inside
+
+
 # --- mixing -------------------------------------------------------------------
 
 
 class Mixer:
-    """Tables, weights by gate and the final map; weights start equal, the map starts as the identity."""
+    """Counts of order one, weights by gate and the final map; weights start equal, the map starts as the identity."""
 
-    def __init__(self, how: Mixing, counts: list[np.ndarray]):
-        self.how, self.counts = how, counts
-        self.gates = 8 * (len(how.orders) + 1)
+    def __init__(self, how: Mixing, first: np.ndarray):
+        self.how, self.first = how, first
+        self.gates = (len(how.orders) + 1) * (how.width + 1) * 8
         self.weights = np.full((self.gates, len(how.orders)), 0.4)
-        self.map = self.start_map()
-
-    def start_map(self) -> np.ndarray:
-        centre = 1 / (1 + np.exp(-self.centres()))
-        return np.stack([np.tile(20 * (1 - centre), (256, 1)), np.tile(20 * centre, (256, 1))])
-
-    def centres(self) -> np.ndarray:
-        return np.linspace(-12, 12, self.how.buckets)
-
-    def inputs(self, windows: np.ndarray, i: int, without: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Log odds by order, gate, bits so far and bit i of each window; `without` leaves out one occurrence of the bit."""
-        node, bit = _bit(windows, i)
-        odds = np.empty((len(windows), len(self.how.orders)))
-        seen = np.zeros(len(windows), np.int64)
-        for c, (order, bits) in enumerate(zip(self.how.orders, self.how.bits)):
-            at = slot(windows, node, order, bits).astype(np.int64)
-            zeros, ones = self.counts[c][0][at].astype(np.float64), self.counts[c][1][at].astype(np.float64)
-            if without:
-                ones, zeros = np.maximum(0, ones - bit), np.maximum(0, zeros - (1 - bit.astype(np.float64)))
-            odds[:, c] = np.log((ones + 0.05) / (zeros + 0.05))
-            seen[zeros + ones > 0] = c + 1
-        return odds, 8 * seen + i, node.astype(np.int64), bit.astype(np.float64)
+        centre = 1 / (1 + np.exp(-np.linspace(-12, 12, how.buckets)))
+        self.map = np.stack([np.tile(20 * (1 - centre), (256, 1)), np.tile(20 * centre, (256, 1))])
+
+    def block(self, windows: np.ndarray, n: np.ndarray) -> Block:
+        return Block(self.how, self.first, windows, n)
+
+    def inputs(self, block: Block, at, i: int, without: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds by order that bit i of the windows is what it is, and the gate; `without` leaves out one occurrence."""
+        all_, same = block.counts[:, i, at] - np.float32(without), block.counts[:, i + 1, at] - np.float32(without)
+        odds = np.log((same + np.float32(0.05)) / (all_ - same + np.float32(0.05))).astype(np.float64)
+        longest = ((all_ > 0) * np.arange(1, len(all_) + 1)[:, None]).max(axis=0)
+        return odds, (longest * (self.how.width + 1) + block.place[at]) * 8 + i
 
     def mixed(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ij,ij->i", odds, self.weights[gate]), -12, 12)
+        return np.clip((odds * self.weights[gate].T).sum(axis=0), -12, 12)
 
     def refined(self, mixed: np.ndarray, node: np.ndarray) -> np.ndarray:
         """Probability of a one: the mean of the mix and of its neighbours in the map."""
@@ -227,120 +311,145 @@ class Mixer:
         p = (1 - share) * rate[node, low] + share * rate[node, low + 1]
         return np.clip(0.5 * p + 0.5 / (1 + np.exp(-mixed)), 1e-6, 1 - 1e-6)
 
-    def log10(self, windows: np.ndarray) -> np.ndarray:
+    def log10(self, block: Block) -> np.ndarray:
         """log10 probability of the last byte of each window."""
-        total = np.zeros(len(windows))
-        for i in range(8):
-            odds, gate, node, bit = self.inputs(windows, i, False)
-            p = self.refined(self.mixed(odds, gate), node)
-            total += np.log10(np.where(bit == 1, p, 1 - p))
+        total = np.zeros(len(block.windows))
+        for begin in range(0, len(total), 1 << 16):
+            at = slice(begin, begin + (1 << 16))
+            for i in range(8):
+                one = (block.byte[at] >> (7 - i)) & 1 == 1
+                mixed = self.mixed(*self.inputs(block, at, i, False))
+                p = self.refined(np.where(one, mixed, -mixed), _nodes(block.byte[at], i))
+                total[at] += np.log10(np.where(one, p, 1 - p))
         return total
 
-    def learn(self, windows: np.ndarray, n: np.ndarray) -> None:
-        """One online pass: small batches, each predicted before the weights move."""
-        for begin in range(0, len(windows), self.how.batch):
-            own, weight = windows[begin : begin + self.how.batch], n[begin : begin + self.how.batch].astype(np.float64)
+    def learn(self, block: Block) -> None:
+        """One online pass: small batches in hashed order, each predicted before the weights move."""
+        known = np.flatnonzero(block.n > 0)
+        known = known[np.argsort(mix(block.windows[known]), kind="stable")]
+        for begin in range(0, len(known), self.how.batch):
+            at = known[begin : begin + self.how.batch]
+            n = block.n[at]
             for i in range(8):
-                odds, gate, _, bit = self.inputs(own, i, True)
-                error = (bit - 1 / (1 + np.exp(-self.mixed(odds, gate)))) * weight
-                mass = np.bincount(gate, weight, self.gates)
-                step = np.stack([np.bincount(gate, error * odds[:, c], self.gates) for c in range(odds.shape[1])], axis=1)
+                odds, gate = self.inputs(block, at, i, True)
+                error = (1 - 1 / (1 + np.exp(-self.mixed(odds, gate)))) * n
+                mass = np.bincount(gate, n, self.gates)
+                step = np.stack([np.bincount(gate, error * o, self.gates) for o in odds], axis=1)
                 self.weights += self.how.rate * step / np.maximum(mass, 1e-9)[:, None]
 
-    def met(self, windows: np.ndarray, n: np.ndarray) -> np.ndarray:
+    def met(self, block: Block) -> np.ndarray:
         """Counts for the map."""
         out = np.zeros(self.map.shape)
-        for i in range(8):
-            odds, gate, node, bit = self.inputs(windows, i, True)
-            at = np.rint((self.mixed(odds, gate) + 12) / 24 * (self.how.buckets - 1)).astype(np.int64)
-            flat = node * self.how.buckets + at
-            for b in (0, 1):
-                out[b] += np.bincount(flat, n * (bit == b), 256 * self.how.buckets).reshape(256, -1)
+        known = np.flatnonzero(block.n > 0)
+        for begin in range(0, len(known), 1 << 16):
+            at = known[begin : begin + (1 << 16)]
+            for i in range(8):
+                one = (block.byte[at] >> (7 - i)) & 1 == 1
+                mixed = self.mixed(*self.inputs(block, at, i, True))
+                place = np.rint((np.where(one, mixed, -mixed) + 12) / 24 * (self.how.buckets - 1)).astype(np.int64)
+                flat = _nodes(block.byte[at], i) * self.how.buckets + place
+                for b in (0, 1):
+                    out[b] += np.bincount(flat, block.n[at] * (one == b), 256 * self.how.buckets).reshape(256, -1)
         return out
 
 
-#: The tables that a worker unpacked last, by the digest of their packed form.
-_UNPACKED: dict[tuple[int, int], list[np.ndarray]] = {}
+def _on_blocks(blocks: DataFrame, mixer: Mixer, fn, schema: str) -> DataFrame:
+    """fn(mixer, Block) -> columns of the block's row."""
+    struct = T.StructType.fromDDL(f"block int, {schema}")
+    arrow = to_arrow_schema(struct)
 
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = Mixer(mixer.how, mixer.first)
+                own.weights, own.map = mixer.weights.copy(), mixer.map
+                block = own.block(_windows(row["windows"]), _unpacked(row["counts"], np.int64))
+                yield pa.RecordBatch.from_pylist([{"block": row["block"], **fn(own, block)}], arrow)
 
-def packed(counts: list[np.ndarray]) -> bytes:
-    """Tables for sending: compressed, as most slots of a small corpus are empty."""
-    return zlib.compress(pickle.dumps(counts, protocol=5), 1)
+    return blocks.mapInArrow(run, struct)
 
 
-def unpacked(data: bytes) -> list[np.ndarray]:
-    key = len(data), zlib.crc32(data)
-    if key not in _UNPACKED:
-        _UNPACKED.clear()
-        _UNPACKED[key] = pickle.loads(zlib.decompress(data))
-    return _UNPACKED[key]
+def _gathered(blocks: DataFrame, mixer: Mixer, fn) -> tuple[np.ndarray, float]:
+    """Sum of fn over the blocks in their order, added a group of blocks at a time, and the training events."""
+    def result(own, block):
+        return {"values": fn(own, block).ravel().tolist(), "n": float(block.n.sum())}
 
+    rows = _on_blocks(blocks, mixer, result, "values array<double>, n double")
+    sums, total = np.zeros(1), 0.0
+    for row in rows.orderBy("block").toLocalIterator():
+        sums, total = sums + np.asarray(row["values"]), total + row["n"]
+    return sums, total
 
-def _on_task(how: Mixing, data: bytes, weights: np.ndarray, final: np.ndarray) -> Mixer:
-    mixer = Mixer(how, unpacked(data))
-    mixer.weights, mixer.map = weights.copy(), final
-    return mixer
 
+def _learned(mixer: Mixer, block: Block) -> np.ndarray:
+    mixer.learn(block)
+    return mixer.weights * block.n.sum()
 
-def _over_tasks(windows: DataFrame, sent, mixer: Mixer, fn) -> tuple[np.ndarray, float]:
-    """Sum of fn(mixer, windows, counts) over tasks, weighted by the tasks' counts, and the total count."""
-    how, weights, final = mixer.how, mixer.weights, mixer.map
-    struct = T.StructType.fromDDL("result binary, n double")
-    schema = to_arrow_schema(struct)
 
-    def run(batches):
-        values, n = [], []
-        for batch in batches:
-            values.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            n.append(batch.column(1).to_numpy(zero_copy_only=False))
-        if values:
-            values, n = np.concatenate(values), np.concatenate(n)
-            yield pa.RecordBatch.from_pylist(
-                [{"result": fn(_on_task(how, sent.value, weights, final), values, n).astype(np.float64).tobytes(), "n": float(n.sum())}], schema)
+def counted(packed: DataFrame, how: Mixing) -> tuple[DataFrame, int, int]:
+    """(windows with counts by block, number of blocks, number of salts) of staged chunks."""
+    chunk_count = packed.count()
+    kinds = packed.select(F.explode("noted").alias("w")).distinct().count() * NOTED
+    blocks, salts = max(how.least_blocks, -(-kinds // how.block_windows)), max(1, -(-chunk_count // FAN_IN))
+    return staged(merged(parts(packed, blocks), salts).repartition(blocks, "block")), blocks, salts
 
-    rows = windows.select("w", "n").mapInArrow(run, struct).collect()
-    total = sum(r["n"] for r in rows)
-    return sum((np.frombuffer(r["result"]) for r in rows), np.zeros(1)), total
 
-
-def _learned(mixer: Mixer, values: np.ndarray, n: np.ndarray) -> np.ndarray:
-    order = np.argsort((values * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(20), kind="stable")
-    mixer.learn(values[order], n[order])
-    return mixer.weights * float(n.sum())
-
-
-def train(docs: DataFrame, how: Mixing = Mixing()):
-    """The model of all the documents' texts, and its tables as they were sent to the tasks."""
-    windows = staged(window_counts(docs, how))
-    mixer = Mixer(how, tables(windows, how))
-    sent = docs.sparkSession.sparkContext.broadcast(packed(mixer.counts))
+def train(blocks: DataFrame, how: Mixing = Mixing()) -> Mixer:
+    """The mixer of counted blocks."""
+    mixer = Mixer(how, first_counts(blocks))
     for _ in range(how.rounds):
-        sums, total = _over_tasks(windows, sent, mixer, _learned)
+        sums, total = _gathered(blocks, mixer, _learned)
         if total:
             mixer.weights = (sums / total).reshape(mixer.weights.shape)
-    met, total = _over_tasks(windows, sent, mixer, lambda m, values, n: m.met(values, n).ravel())
+    met, total = _gathered(blocks, mixer, lambda own, block: own.met(block))
     if total:
         mixer.map = mixer.map + met.reshape(mixer.map.shape)
-    return mixer, sent
+    return mixer
 
 
-class _Memory:
-    """Scores of windows met before, by a fixed place for each window."""
+def window_scores(packed: DataFrame, blocks: DataFrame, number: int, salts: int, mixer: Mixer) -> DataFrame:
+    """(chunk, block, scores): log10 probabilities of the chunk's windows of the block, in the order of the windows."""
+    def result(own, block):
+        return {"windows": _steps(block.windows), "scores": _packed(own.log10(block).astype(np.float32))}
 
-    def __init__(self, mixer: Mixer, bits: int = 20):
-        self.mixer, self.shift = mixer, np.uint64(64 - bits)
-        self.keys, self.values = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64), np.zeros(1 << bits)
+    scored = staged(_on_blocks(blocks, mixer, result, "windows binary, scores binary")).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    own = parts(packed, number).select(
+        "block", F.pmod(F.xxhash64("chunk", F.lit(salts)), F.lit(salts)).cast("int").alias("salt"), "chunk", "windows")
+    struct = T.StructType.fromDDL("chunk long, block int, scores binary")
+    schema = to_arrow_schema(struct)
 
-    def log10(self, windows: np.ndarray) -> np.ndarray:
-        at = ((windows * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-        out, missing = self.values[at], np.flatnonzero(self.keys[at] != windows)
-        if len(missing):
-            fresh, back = np.unique(windows[missing], return_inverse=True)
-            scores = np.concatenate([self.mixer.log10(fresh[i : i + (1 << 16)]) for i in range(0, len(fresh), 1 << 16)])
-            out[missing] = scores[back]
-            at = ((fresh * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-            self.keys[at], self.values[at] = fresh, scores
-        return out
+    def look(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if len(left):
+            windows, scores = _windows(right.column("windows")[0].as_py()), _unpacked(right.column("scores")[0].as_py(), np.float32)
+            block = right.column("block")[0].as_py()
+            for chunk, data in zip(left.column("chunk").to_pylist(), left.column("windows")):
+                rows.append({"chunk": chunk, "block": block,
+                             "scores": scores[np.searchsorted(windows, _windows(data.as_py()))].tobytes()})
+        return pa.Table.from_pylist(rows, schema)
+
+    return own.groupBy("block", "salt").cogroup(scored.groupBy("block", "salt")).applyInArrow(look, struct)
+
+
+class Lookup:
+    """Scores by window: a hashed place each, a search for those whose place another window took."""
+
+    def __init__(self, windows: np.ndarray, scores: np.ndarray):
+        self.windows, self.scores = windows, scores
+        bits = max(1, int(len(windows) * 2).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.places = np.zeros(1 << bits, np.int32)
+        self.places[self.hashed(windows)] = np.arange(len(windows))
+
+    def hashed(self, windows: np.ndarray) -> np.ndarray:
+        return ((windows * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, windows: np.ndarray) -> np.ndarray:
+        at = self.places[self.hashed(windows)]
+        other = np.flatnonzero(self.windows[at] != windows)
+        at[other] = np.searchsorted(self.windows, windows[other])
+        return self.scores[at]
 
 
 # --- base model and scores ----------------------------------------------------
@@ -384,45 +493,49 @@ def scores(docs: DataFrame, how: Mixing = Mixing(), held_out=is_held_out) -> Dat
     total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, kinds = total + ends, kinds + (ends > 0)
     often = {bytes(r["word"]): r["c"] for r in words.orderBy(F.desc("c"), "word").limit(how.frequent_words).collect()}
-    mixer, sent = train(training, how)
-    weights, final = mixer.weights, mixer.map
-    del mixer
+    packed = staged(chunks(docs, held_out, how))
+    blocks, number, salts = counted(packed, how)
+    mixer = train(blocks, how)
+    found = window_scores(packed, blocks, number, salts, mixer)
     words_sent = spark.sparkContext.broadcast({w: math.log10(c + 1) for w, c in often.items()})
     end = math.log10(ends + 1)
     lost = math.log10(total + kinds + 1)
-    width = max(how.orders)
-
-    def start():
-        known, memory = words_sent.value, _Memory(_on_task(how, sent.value, weights, final))
-
-        def work(rows, texts):
-            events, lengths = stream(texts, width)
-            model = np.add.reduceat(memory.log10(events), np.concatenate(([0], np.cumsum(lengths)))[:-1])
-            out = {c: [] for c in ("n_tokens", "n_often", "often_sum", "rest")}
-            for t in texts:
-                counts = Counter(t.lower().split()) if t else Counter()
-                rest, n, s, m = [], 1, end, 1 if ends else 0
-                for w, k in counts.items():
-                    n += k
-                    value = known.get(w)
-                    if value is None:
-                        rest.append({"word": w, "k": k})
-                    else:
-                        s += k * value
-                        m += k
-                out["n_tokens"].append(n)
-                out["n_often"].append(m)
-                out["often_sum"].append(s)
-                out["rest"].append(rest)
-            bits = -model / (lengths - 1 + (lengths == 1)) / math.log10(2)
-            yield {"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), **out, "score": model, "bits_per_byte": bits}
-
-        return work
-
-    keep = {"doc_id": F.col("doc_id").cast("long"), "held_out": held_out(F.col("doc_id"))}
-    rows = per_text(docs, "text", keep, start,
-                    "doc_id long, held_out boolean, n_tokens long, n_often long, often_sum double, "
-                    "rest array<struct<word: binary, k: long>>, score double, bits_per_byte double")
+    struct = T.StructType.fromDDL(
+        "doc_id long, held_out boolean, n_tokens long, n_often long, often_sum double, rest array<struct<word: binary, k: long>>, "
+        "score double, bits_per_byte double")
+    schema = to_arrow_schema(struct)
+
+    def judged(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = words_sent.value
+        row = left.slice(0, 1).to_pylist()[0]
+        lengths, raw, windows = _unpacked(row["lengths"], np.int64), zlib.decompress(row["texts"]), _windows(row["windows"])
+        ends_at = np.cumsum(np.maximum(lengths, 0))
+        texts = [raw[e - max(0, n) : e] for n, e in zip(lengths.tolist(), ends_at.tolist())]
+        values, places = np.empty(len(windows), np.float32), _split(windows, number)
+        for block, data in zip(right.column("block").to_pylist(), right.column("scores")):
+            values[places[block]] = np.frombuffer(data.as_py(), np.float32)
+        lookup, model = Lookup(windows, values), np.zeros(len(texts))
+        for events, text in stream(texts, how.width):
+            low = int(text[0]) if len(text) else 0
+            sums = np.bincount(text - low, lookup.of(events))
+            model[low : low + len(sums)] += sums
+        out = []
+        for i, t in enumerate(texts):
+            rest, n, s, m = [], 1, end, 1 if ends else 0
+            for w, k in Counter(t.split()).items():
+                n += k
+                value = known.get(w)
+                if value is None:
+                    rest.append({"word": w, "k": k})
+                else:
+                    s += k * value
+                    m += k
+            out.append({"doc_id": row["doc_ids"][i], "held_out": row["held"][i], "n_tokens": n, "n_often": m, "often_sum": s,
+                        "rest": rest, "score": float(model[i]), "bits_per_byte": -float(model[i]) / max(1, len(t)) / math.log10(2)})
+        return pa.Table.from_pylist(out, schema)
+
+    texts = packed.select("chunk", "doc_ids", "held", "lengths", "texts", "windows")
+    rows = texts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(judged, struct)
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()))
     rare = rows.select("row", F.inline("rest")).join(words, "word").groupBy("row").agg(
         F.sum("k").alias("n_rare"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("rare_sum"))

@@ -342,7 +342,7 @@ def test_unigram_ties():
 
 
 def test_scores(messy, messy_rows, none):
-    rows = context_mixing.scores(messy, context_mixing.Mixing(bits=(16, 18, 18, 18, 18), frequent_words=20)).collect()
+    rows = context_mixing.scores(messy, context_mixing.Mixing(least_blocks=3, chunk_bytes=5000, frequent_words=20)).collect()
     held = {i for i, _ in messy_rows if i is not None and zlib.crc32(str(i).encode()) % 7 == 2}
     count, ends = collections.Counter(), 0
     for i, t in messy_rows:
@@ -361,19 +361,69 @@ def test_scores(messy, messy_rows, none):
     assert context_mixing.scores(none).count() == 0
 
 
-def test_probabilities_sum_to_one_and_learn(spark):
+def small_talk(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choice(("alpha", "beta", "gamma delta")) for _ in range(60)) for _ in range(200)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    how = context_mixing.Mixing(bits=(16, 18, 18, 18, 18))
-    mixer, _ = context_mixing.train(docs, how)
-    context = int.from_bytes(b"gamma", "big") << 8
-    total = (10 ** mixer.log10(np.arange(256, dtype=np.uint64) + np.uint64(context))).sum()
-    assert abs(total - 1) < 1e-9
+    return texts, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_probabilities_sum_to_one_and_learn(spark):
+    _, docs = small_talk(spark)
+    how = context_mixing.Mixing(least_blocks=2)
+    packed = context_mixing.staged(context_mixing.chunks(docs, context_mixing.is_held_out, how))
+    blocks, _, _ = context_mixing.counted(packed, how)
+    mixer = context_mixing.train(blocks, how)
+    rows = blocks.collect()
+    windows = np.concatenate([context_mixing._windows(r["windows"]) for r in rows])
+    n = np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in rows])
+    for context in (b" gamma", b"beta a", b"qqqqqq"):
+        every = np.arange(256, dtype=np.uint64) + np.uint64(int.from_bytes(context, "big") << 8)
+        both, counts = context_mixing._merged([(windows, n), (every, np.zeros(256, np.int64))])
+        block = mixer.block(both, counts)
+        assert abs((10 ** mixer.log10(block)[np.isin(both, every)]).sum() - 1) < 1e-9
     held = [r for r in context_mixing.scores(docs, how).collect() if r["held_out"]]
     assert held and sum(r["bits_per_byte"] for r in held) / len(held) < 0.6
-    shuffled = context_mixing.scores(docs.repartition(7), how).collect()
-    assert len(shuffled) == 200
+    assert all(r["score"] > r["base_score"] for r in held)
+
+
+def test_counters_against_brute_force(spark):
+    texts, docs = small_talk(spark)
+    how = context_mixing.Mixing(least_blocks=3, chunk_bytes=4000)
+    packed = context_mixing.staged(context_mixing.chunks(docs, context_mixing.is_held_out, how))
+    blocks, number, _ = context_mixing.counted(packed, how)
+    first = context_mixing.first_counts(blocks)
+    want = collections.Counter()
+    seen = set()
+    for i, t in enumerate(texts):
+        raw = b"\xff" * 6 + t.encode() + b"\xff"
+        for at in range(6, len(raw)):
+            seen.add(raw[at - 6 : at + 1])
+            if zlib.crc32(str(i).encode()) % 7 != 2:
+                for order in how.orders:
+                    for bits in range(9):
+                        want[raw[at - order : at], bits, raw[at] >> (8 - bits)] += 1
+    found = set()
+    for r in blocks.collect():
+        block = context_mixing.Block(how, first, context_mixing._windows(r["windows"]), np.frombuffer(zlib.decompress(r["counts"]), np.int64))
+        assert (context_mixing.block_of(block.windows, number) == r["block"]).all()
+        for j, w in enumerate(block.windows.tolist()):
+            raw = w.to_bytes(7, "big")
+            found.add(raw)
+            for c, order in enumerate(how.orders):
+                for bits in range(9):
+                    assert block.counts[c, bits, j] == want[raw[6 - order : 6], bits, raw[6] >> (8 - bits)]
+    assert found == seen
+
+
+def test_scores_do_not_depend_on_partitioning(spark, messy, monkeypatch):
+    def scored(docs, **more):
+        rows = context_mixing.scores(docs, context_mixing.Mixing(least_blocks=3, **more)).collect()
+        return sorted((str(r["doc_id"]), round(r["score"], 9), round(r["bits_per_byte"], 9)) for r in rows)
+
+    want = scored(messy)
+    monkeypatch.setattr(context_mixing, "FAN_IN", 2)
+    monkeypatch.setattr(context_mixing, "PIECE", 1000)
+    assert scored(messy.repartition(7), chunk_bytes=3000) == want
 
 
 # --- licences -------------------------------------------------------------------
