@@ -49,7 +49,7 @@ PIECE, NOTED, FAN_IN = 1 << 20, 1024, 256
 @dataclass(frozen=True)
 class Mixing:
     orders: tuple[int, ...] = (1, 3, 4, 5, 6)
-    rounds: int = 3
+    rounds: int = 2
     rate: float = 0.1
     batch: int = 4096
     buckets: int = 33
@@ -106,6 +106,16 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return _counted(*(np.concatenate(x) for x in zip(*parts))) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def _marked(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows and how many of each have no mark in their last bit."""
+    values = np.concatenate(parts)
+    values.sort()
+    windows = values >> np.uint64(1)
+    first = np.flatnonzero(np.concatenate(([True], windows[1:] != windows[:-1])))[: len(windows)]
+    n = np.add.reduceat((~values & np.uint64(1)).astype(np.int64), first) if len(first) else first
+    return windows[first], n
+
+
 def _packed(values: np.ndarray) -> bytes:
     return zlib.compress(values.tobytes(), 1)
 
@@ -133,15 +143,14 @@ def chunks(docs: DataFrame, held_out, how: Mixing) -> DataFrame:
     schema = to_arrow_schema(struct)
 
     def packed(number, ids, held, texts):
-        parts, flags = [], np.asarray(held)
+        parts, waiting, flags = [], [], np.asarray(held).astype(np.uint64)
         for windows, text in stream(texts, how.width):
-            own = flags[text]
-            values, n = _counted(windows[~own])
-            other = np.setdiff1d(windows[own], values)
-            parts.append((np.concatenate((values, other)), np.concatenate((n, np.zeros(len(other), np.int64)))))
-            if len(parts) > 4:
+            waiting.append((windows << np.uint64(1)) | flags[text])
+            if len(waiting) == 4:
+                parts, waiting = parts + [_marked(waiting)], []
+            if len(parts) > 8:
                 parts = [_merged(parts)]
-        windows, n = _merged(parts)
+        windows, n = _merged(parts + [_marked(waiting)] if waiting else parts)
         lengths = np.fromiter((-1 if t is None else len(t) for t in texts), np.int64, len(texts))
         return pa.RecordBatch.from_pylist([{
             "chunk": number, "doc_ids": ids, "held": held, "lengths": _packed(lengths),
@@ -191,10 +200,10 @@ def parts(packed: DataFrame, blocks: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                windows, n = _windows(row["windows"]), _unpacked(row["counts"], np.int64)
+            for chunk, data, counts in zip(*batch.columns):
+                windows, n = _windows(data.as_py()), _unpacked(counts.as_py(), np.int64)
                 yield pa.RecordBatch.from_pylist([
-                    {"block": b, "chunk": row["chunk"], "windows": _steps(windows[at]), "counts": _packed(n[at])}
+                    {"block": b, "chunk": chunk.as_py(), "windows": _steps(windows[at]), "counts": _packed(n[at])}
                     for b, at in enumerate(_split(windows, blocks)) if len(at)], schema)
 
     return packed.select("chunk", "windows", "counts").mapInArrow(run, struct)
@@ -437,7 +446,7 @@ class Lookup:
 
     def __init__(self, windows: np.ndarray, scores: np.ndarray):
         self.windows, self.scores = windows, scores
-        bits = max(1, int(len(windows) * 2).bit_length())
+        bits = max(1, int(len(windows) * 4).bit_length())
         self.shift = np.uint64(64 - bits)
         self.places = np.zeros(1 << bits, np.int32)
         self.places[self.hashed(windows)] = np.arange(len(windows))
@@ -476,7 +485,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 for t in texts:
                     if t:
                         counts.update(t.lower().split())
-                if len(counts) > 1 << 19:
+                if len(counts) > 1 << 18:
                     yield from out()
         yield from out()
 
@@ -519,20 +528,28 @@ def scores(docs: DataFrame, how: Mixing = Mixing(), held_out=is_held_out) -> Dat
             low = int(text[0]) if len(text) else 0
             sums = np.bincount(text - low, lookup.of(events))
             model[low : low + len(sums)] += sums
-        out = []
-        for i, t in enumerate(texts):
-            rest, n, s, m = [], 1, end, 1 if ends else 0
+        sizes, n_tokens, n_often, often_sum, rest, times = [0], [], [], [], [], []
+        for t in texts:
+            n, s, m = 1, end, 1 if ends else 0
             for w, k in Counter(t.split()).items():
                 n += k
                 value = known.get(w)
                 if value is None:
-                    rest.append({"word": w, "k": k})
+                    rest.append(w)
+                    times.append(k)
                 else:
                     s += k * value
                     m += k
-            out.append({"doc_id": row["doc_ids"][i], "held_out": row["held"][i], "n_tokens": n, "n_often": m, "often_sum": s,
-                        "rest": rest, "score": float(model[i]), "bits_per_byte": -float(model[i]) / max(1, len(t)) / math.log10(2)})
-        return pa.Table.from_pylist(out, schema)
+            sizes.append(len(rest))
+            n_tokens.append(n)
+            n_often.append(m)
+            often_sum.append(s)
+        pairs = pa.StructArray.from_arrays([pa.array(rest, pa.binary()), pa.array(times, pa.int64())], names=["word", "k"])
+        bits = -model / np.maximum(1, lengths) / math.log10(2)
+        columns = [row["doc_ids"], row["held"], n_tokens, n_often, often_sum,
+                   pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pairs), model, bits]
+        return pa.Table.from_arrays(
+            [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     texts = packed.select("chunk", "doc_ids", "held", "lengths", "texts", "windows")
     rows = texts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(judged, struct)
