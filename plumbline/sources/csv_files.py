@@ -141,8 +141,7 @@ def _text_rows(spark: SparkSession, path: str, layout: Layout, rows: DataFrame,
     heads = [rows] if layout.banner is not None else []
     heads += [rows.where(F.col("line") == layout.header_line)] if layout.header_line is not None else []
     for head in heads:
-        first = head.groupBy("file").agg(F.min(F.struct("start", "place")).alias("top")).select("file", "top.start", "top.place")
-        rows = rows.join(first, ["file", "start", "place"], "left_anti")
+        rows = rows.join(csv_records.sent(csv_records.first_places(head)), ["file", "start", "place"], "left_anti")
     return rows.select(F.from_csv("line", F.lit(schema.toDDL()), options).alias("r")).select("r.*")
 
 

@@ -182,7 +182,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 def line_records(spark: SparkSession, path: str) -> DataFrame:
     """The same columns for files without line breaks in cells: each line is a record; JVM expressions only."""
     text = F.col("line").cast("string")
-    bare = F.regexp_replace(text, '"[^"]*"', "")
+    bare = F.when(text.contains('"'), F.regexp_replace(text, '"[^"]*"', "")).otherwise(text)
     return raw_lines(spark, path).select(
         "file", "start", F.col("at").alias("place"), (F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1).alias("fields"),
         F.when(F.substring(text, -1, 1) == "\r", F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text).cast("binary").alias("record"))
@@ -202,6 +202,18 @@ def present(record: Column) -> Column:
     return F.trim(record.cast("string"), F.lit(" \t\r")) != ""
 
 
+def first_places(rows: DataFrame) -> DataFrame:
+    """(file, start, place) of the first of the rows of each file; tasks sum up to one place for each split."""
+    splits = rows.groupBy("file", "start").agg(F.min("place").alias("place"))
+    return splits.groupBy("file").agg(F.min(F.struct("start", "place")).alias("top")).select("file", "top.start", "top.place")
+
+
+def sent(few: DataFrame) -> DataFrame:
+    """A table with few rows for each file, to be joined with all records: sent to all tasks up to SENT_SPLITS rows."""
+    few = staged(few)
+    return F.broadcast(few) if few.count() <= SENT_SPLITS else few
+
+
 def file_layouts(rows: DataFrame) -> DataFrame:
     """One row per file of the records of a folder: (file, records, first_fields, width, at_width, ragged, widest, first,
     second, second_fields).
@@ -209,14 +221,16 @@ def file_layouts(rows: DataFrame) -> DataFrame:
     width is the field count that most records after the first have (the smaller one among equals); ragged counts those that
     have another. Blank lines do not count. All records are looked at; counts are summed per task before the shuffle."""
     rows = rows.where(present(F.col("record")))
-    top = rows.groupBy("file").agg(
-        F.min(F.struct("start", "place")).alias("top"), F.min_by(F.struct("record", "fields"), F.struct("start", "place")).alias("one"))
-    places = rows.select("file", "start", "place").join(top.select("file", "top"), "file").where(F.struct("start", "place") > F.col("top"))
-    two = places.groupBy("file").agg(F.min(F.struct("start", "place")).alias("two")).select(
-        "file", F.col("two.start").alias("start"), F.col("two.place").alias("place"))
-    two = rows.join(two, ["file", "start", "place"]).select(
-        "file", F.col("record").alias("second"), F.col("fields").alias("second_fields"))
-    widths = rows.groupBy("file", "fields").agg(F.count(F.lit(1)).alias("n")).join(top, "file").withColumn(
+    # whole numbers per split and width: summed by hash in each task, without sorting or moving records
+    counts = staged(rows.groupBy("file", "start", "fields").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place")))
+    firsts = sent(first_places(counts))
+    later = rows.select("file", "start", "place").join(
+        firsts.select("file", F.struct("start", "place").alias("top")), "file").where(F.struct("start", "place") > F.col("top"))
+    heads = sent(firsts.withColumn("nth", F.lit(1)).unionByName(first_places(later).withColumn("nth", F.lit(2))))
+    heads = staged(rows.join(heads, ["file", "start", "place"]).select("file", "nth", F.struct("record", "fields").alias("one")))
+    top = heads.where("nth = 1").select("file", "one")
+    two = heads.where("nth = 2").select("file", F.col("one.record").alias("second"), F.col("one.fields").alias("second_fields"))
+    widths = counts.groupBy("file", "fields").agg(F.sum("n").alias("n")).join(top, "file").withColumn(
         "n", F.col("n") - (F.col("fields") == F.col("one.fields")).cast("bigint")).where("n > 0")
     usual = widths.groupBy("file").agg(
         F.max_by("fields", F.struct("n", -F.col("fields"))).alias("width"), F.max("n").alias("at_width"), F.sum("n").alias("below"),

@@ -3,9 +3,10 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import plumbline as pb
-from plumbline.sources import csv_records, sinks
+from plumbline.sources import csv_files, csv_records, sinks
 from plumbline.sources.csv_files import layout_table
 
 
@@ -156,3 +157,18 @@ def test_files_that_disagree_raise(spark, put, tmp_path):
     put("junk\n" + "id,a\n" * 30 + "1,2,3\n" * 40, "late_junk.csv")  # the first lines alone look like two fields
     assert {r["finding"] for r in csv_records.layout_report(csv_records.line_records(spark, str(tmp_path / "late*.csv"))).collect()} == {
         "plain", "malformed"}
+
+
+def test_layout_neither_sorts_nor_moves_records(spark, put, tmp_path, monkeypatch):
+    """What is joined with all records is sent to the tasks, so that no task gathers a file; the exact way stays for many files."""
+    put("id,a,b\n" + "1,x,y\n" * 50 + "1,x\n", "one.csv")
+    put("\n  \n# note\nid,a,b\n1,x,y\n", "two.csv")
+    rows = csv_records.line_records(spark, str(tmp_path / "*.csv"))
+    plans = []
+    keep = csv_records.staged
+    monkeypatch.setattr(csv_records, "staged", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    want = sorted(tuple(r) for r in csv_records.file_layouts(rows).collect())
+    assert plans and not any("SortMergeJoin" in p for p in plans)
+    assert sorted((r[1], r[7], r[8]) for r in want) == [(3, b"# note", b"id,a,b"), (52, b"id,a,b", b"1,x,y")]
+    monkeypatch.setattr(csv_records, "SENT_SPLITS", 0)
+    assert sorted(tuple(r) for r in csv_records.file_layouts(rows).collect()) == want
