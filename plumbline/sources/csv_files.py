@@ -22,7 +22,6 @@ from plumbline.sources import csv_records
 from plumbline.session import small_table
 
 _EXTRA = "_extra"
-_BATCH = 32
 
 
 class ScanError(Exception):
@@ -152,32 +151,36 @@ def present(c: Column) -> Column:
 
 def _as_double(c: Column) -> Column:
     """Number text as double; a Java type suffix (1d, 1f) is not a number."""
-    suffixed = c.rlike(r"\d\.?[dDfF]\s*$")
+    lettered = c.contains("d") | c.contains("D") | c.contains("f") | c.contains("F")
+    suffixed = lettered & c.rlike(r"\d\.?[dDfF]\s*$")
     return F.when(~suffixed, c.try_cast("double"))
 
 
+def _as_bigint(c: Column) -> Column:
+    """Whole number text as bigint; a text with a dot is none, and a cast that fails is slow."""
+    return F.when(~c.contains("."), c.try_cast("bigint"))
+
+
 def infer_types(rows: DataFrame, names: Sequence[str]) -> tuple[dict[str, str], int, int]:
     """Column types, row count and rows with surplus fields, from aggregates over the text cells."""
+    # one row per cell, so that the generated code stays small whatever the number of columns
+    cells = rows.select(F.posexplode(F.array(*[ref(n) for n in (*names, _EXTRA)])).alias("at", "text"))
+    c = F.col("cell")
+    counted = cells.select("at", "text", present(F.col("text")).alias("cell")).groupBy("at").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("text").alias("filled"), F.count(c).alias("n"),
+        F.count(_as_bigint(c)).alias("l"), F.count(_as_double(c)).alias("d"),
+        F.count(F.when(c.isin(*vocab.TRUE_WORDS, *vocab.FALSE_WORDS), 1)).alias("b")).collect()
+    by_place = {row["at"]: row for row in counted}
     types: dict[str, str] = {}
-    total = surplus = 0
-    for start in range(0, len(names), _BATCH):
-        batch = names[start : start + _BATCH]
-        aggs = [F.count(F.lit(1)).alias("rows"), F.count(ref(_EXTRA)).alias("surplus")]
-        for i, name in enumerate(batch):
-            c = present(ref(name))
-            aggs += [
-                F.count(c).alias(f"n{i}"), F.count(c.try_cast("bigint")).alias(f"l{i}"),
-                F.count(_as_double(c)).alias(f"d{i}"),
-                F.count(F.when(c.isin(*vocab.TRUE_WORDS, *vocab.FALSE_WORDS), 1)).alias(f"b{i}"),
-            ]
-        row = rows.agg(*aggs).first()
-        total, surplus = row["rows"], row["surplus"]
-        for i, name in enumerate(batch):
-            n = row[f"n{i}"]
-            if n == row[f"d{i}"]:
-                types[name] = "bigint" if n > 0 and n == row[f"l{i}"] else "double"
-            else:
-                types[name] = "boolean" if n == row[f"b{i}"] == total else "string"
+    if not by_place:
+        return dict.fromkeys(names, "double"), 0, 0
+    total, surplus = by_place[0]["rows"], by_place[len(names)]["filled"]
+    for at, name in enumerate(names):
+        row = by_place[at]
+        if row["n"] == row["d"]:
+            types[name] = "bigint" if row["n"] > 0 and row["n"] == row["l"] else "double"
+        else:
+            types[name] = "boolean" if row["n"] == row["b"] == total else "string"
     return types, total, surplus
 
 

@@ -172,3 +172,20 @@ def test_layout_neither_sorts_nor_moves_records(spark, put, tmp_path, monkeypatc
     assert sorted((r[1], r[7], r[8]) for r in want) == [(3, b"# note", b"id,a,b"), (52, b"id,a,b", b"1,x,y")]
     monkeypatch.setattr(csv_records, "SENT_SPLITS", 0)
     assert sorted(tuple(r) for r in csv_records.file_layouts(rows).collect()) == want
+
+
+def test_types_of_many_columns_in_one_pass(spark, monkeypatch):
+    """Whole numbers, texts with a dot and suffixes as before, over more columns than one batch had; decimals are not cast to bigint."""
+    cells = {"i": ["1", " 2 ", "-3"], "f": ["1", "2.", ".5"], "x": ["1", "2d", "3"], "b": ["True", "false", "TRUE"], "s": ["d", "1.5f", "7"],
+             "gap": [None, "NA", "4"], "none": ["", "NA", None]}
+    names = [f"{k}{n}" for n in range(8) for k in cells]
+    table = [tuple(cells[n.rstrip("01234567")][i] for n in names) + (None,) for i in range(3)]
+    df = spark.createDataFrame(table, ", ".join(f"{n} string" for n in (*names, "_extra")))
+    jobs = []
+    run = type(df).agg
+    monkeypatch.setattr(type(df), "agg", lambda self, *a: jobs.append(1) or run(self, *a))
+    kinds, total, surplus = csv_files.infer_types(df, names)
+    want = {"i": "bigint", "f": "double", "x": "string", "b": "boolean", "s": "string", "gap": "bigint", "none": "double"}
+    assert kinds == {n: want[n.rstrip("01234567")] for n in names} and (total, surplus) == (3, 0) and len(jobs) == 0
+    assert csv_files.infer_types(df.limit(0), ["i0"]) == ({"i0": "double"}, 0, 0)
+    assert "contains" in str(csv_files._as_bigint(F.col("c"))).lower()
