@@ -16,7 +16,7 @@ from plumbline.functions.scalars import fact, is_whole
 from plumbline.operators.columns import (
     BOOLEAN, DATETIME, NUMERIC, UNSUPPORTED, ColumnInfo, columns_of, slice_key,
 )
-from plumbline.operators.quantiles import column_quantiles, long_numbers, sliced_quantiles
+from plumbline.operators.quantiles import SENT_RANGES, column_quantiles, long_numbers, sliced_quantiles
 from plumbline.session import cut_lineage, small_table, together
 
 BATCH = 16
@@ -174,6 +174,7 @@ def sliced_outlier_counts(df: DataFrame, cols: Sequence[ColumnInfo], fences: Dat
     """(slice, ordinal, outliers) from fences (slice, ordinal, lower, upper)."""
     index = small_table(df.sparkSession, [(c.ordinal, i) for i, c in enumerate(cols)], "ordinal int, pos int")
     bounds = fences.join(F.broadcast(index), "ordinal").select("slice", "pos", "ordinal", "lower", "upper")
+    bounds = F.broadcast(bounds) if fences.count() <= SENT_RANGES else bounds
     outside = (F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper"))
     return (
         long_numbers(df, cols, by).join(bounds, ["slice", "pos"])

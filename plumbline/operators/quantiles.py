@@ -28,6 +28,8 @@ BINS = 4096
 SORT_LIMIT = 200_000
 MAX_ROUNDS = 7
 COLUMN_BATCH = 16
+#: Value ranges of all groups up to which they are sent to all tasks.
+SENT_RANGES = 100_000
 #: Logarithms of doubles lie between -745.2 and 709.8; infinity is put at the top.
 _LOG_TOP, _LOG_SHIFT = 711.0, 746.0
 
@@ -172,16 +174,19 @@ def sliced_order_statistics(long: DataFrame, wanted: DataFrame, keys: list[str],
     """The same search per group, with its state as a distributed table.
 
     ``wanted`` has keys, k, lo, hi (the group's extremes) and inside (its row
-    count). The join to the ranges carries no hint: their number grows with the
-    groups, so the planner decides by size.
+    count). Up to SENT_RANGES ranges are sent to all tasks, so that cells stay where
+    they are and only bins are shuffled, however few the groups; more are joined by a
+    shuffle, as there are many groups then.
     """
+    few = wanted.count() <= SENT_RANGES  # never more ranges than wanted ranks
     group = [*keys, "lo", "hi"]
     wide = (F.col("inside") > sort_limit) & (F.col("lo") < F.col("hi"))
     rank = F.col("k") - F.col("below")
     hit = (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
 
     def attach(s: DataFrame) -> DataFrame:
-        return long.join(s.select(*group).distinct(), keys).where(F.col("v").between(F.col("lo"), F.col("hi")))
+        ranges = s.select(*group).distinct()
+        return long.join(F.broadcast(ranges) if few else ranges, keys).where(F.col("v").between(F.col("lo"), F.col("hi")))
 
     state = wanted.withColumn("below", F.lit(0).cast("bigint"))
     if not state.where(wide).isEmpty():

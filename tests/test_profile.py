@@ -199,3 +199,25 @@ def test_binned_density_is_close(spark):
     specs = charts.histogram_specs(df, facts.column_facts(df), log_scale=False)
     exact, binned = ({r["point"]: r["density"] for r in charts.density_curves(df, specs, cells_per_width=c).collect()} for c in (None, 400))
     assert exact.keys() == binned.keys() and max(abs(exact[p] - binned[p]) for p in exact) < 1e-6 * max(exact.values())
+
+
+def test_sliced_search_sends_ranges_instead_of_moving_cells(spark, monkeypatch):
+    """Few groups: cells are not shuffled by group, whatever the planner's threshold; the join by a shuffle gives the same."""
+    from plumbline.operators import quantiles
+
+    long = spark.range(900).selectExpr("cast(id % 3 as string) AS slice", "int(id % 2) AS pos", "double(id * 37 % 400) AS v")
+    wanted = long.groupBy("slice", "pos").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("inside"))
+    wanted = wanted.select("slice", "pos", F.explode(F.array(F.lit(3), F.lit(70))).cast("bigint").alias("k"), "lo", "hi", "inside")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = quantiles.sliced_order_statistics(long, wanted, ["slice", "pos"], sort_limit=20)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        want = {(s, p): sorted(r["v"] for r in long.where((F.col("slice") == s) & (F.col("pos") == p)).collect()) for s in "012" for p in (0, 1)}
+        got = sorted(tuple(r) for r in found.collect())
+        assert "BroadcastHashJoin" in plan and got == sorted((s, p, k, want[s, p][k]) for s, p in want for k in (3, 70))
+        monkeypatch.setattr(quantiles, "SENT_RANGES", 0)
+        again = quantiles.sliced_order_statistics(long, wanted, ["slice", "pos"], sort_limit=20)
+        assert "BroadcastHashJoin" not in again._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in again.collect()) == got
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
