@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,6 +25,8 @@ from plumbline.session import staged
 
 #: Splits up to which their states are sent to all tasks instead of being joined by a shuffle.
 SENT_SPLITS = 200_000
+#: Bytes of lines that a task holds as Python objects at once, besides the record it is in.
+SLICE_BYTES = 2 << 20
 COMPLETE, CONTINUES, OPENS = 0, 1, 2
 
 _CLOSE = re.compile(rb'[^"]*+(?:""[^"]*+)*+"[^,]*+(?:,|\Z)')
@@ -62,6 +65,14 @@ def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.Arra
         yield (files[begin].as_py(), starts[begin].as_py()), batch.slice(begin, end - begin)
 
 
+def _slices(values: pa.Array) -> Iterator[list[bytes]]:
+    """The values in order, in lists of about SLICE_BYTES."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begins = [0, *(np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1).tolist(), len(values)]
+    for begin, end in zip(begins, begins[1:]):
+        yield values.slice(begin, end - begin).to_pylist()
+
+
 def split_states(lines: DataFrame) -> DataFrame:
     """(file, start, inside): whether each split begins inside a quoted cell."""
     struct = T.StructType.fromDDL("file string, start bigint, from_outside boolean, from_inside boolean")
@@ -76,8 +87,9 @@ def split_states(lines: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*now, *ends)], schema=schema)
                     now, ends = split, [False, True]
                 line = rows.column("line")
-                for raw in line.filter(pc.match_substring(line, '"')).to_pylist():
-                    ends = [fields_of(raw, inside)[1] for inside in ends]
+                for raws in _slices(line.filter(pc.match_substring(line, '"'))):
+                    for raw in raws:
+                        ends = [fields_of(raw, inside)[1] for inside in ends]
         if now is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*now, *ends)], schema=schema)
 
@@ -103,18 +115,20 @@ def _cut(lines: DataFrame) -> DataFrame:
     schema = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, place, kind, inside, held = None, 0, COMPLETE, False, []
+        now, place, kind, inside, held, size = None, 0, COMPLETE, False, [], 0
         out: list[tuple] = []
 
         def put(last: int) -> None:
-            nonlocal place, kind, held
+            nonlocal place, kind, held, size
             record = b"\n".join(held)
             if last != OPENS and record.endswith(b"\r"):
                 record = record[:-1]
             out.append((*now, place, last, fields_of(record)[0] if last == COMPLETE else None, record))
-            place, kind, held = place + 1, COMPLETE, []
+            place, kind, held, size = place + 1, COMPLETE, [], size + len(record)
 
         def batch_of() -> pa.RecordBatch:
+            nonlocal size
+            size = 0
             made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
             out.clear()
             return made
@@ -127,11 +141,14 @@ def _cut(lines: DataFrame) -> DataFrame:
                     now, place = split, 0
                     inside = rows.column("inside")[0].as_py()
                     kind = CONTINUES if inside else COMPLETE
-                for raw in rows.column("line").to_pylist():
-                    held.append(raw)
-                    inside = fields_of(raw, inside)[1] if b'"' in raw else inside
-                    if not inside:
-                        put(kind)
+                for raws in _slices(rows.column("line")):
+                    for raw in raws:
+                        held.append(raw)
+                        inside = fields_of(raw, inside)[1] if b'"' in raw else inside
+                        if not inside:
+                            put(kind)
+                    if size >= SLICE_BYTES:
+                        yield batch_of()
             if out:
                 yield batch_of()
         if held:
@@ -149,7 +166,7 @@ def _counted(records: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fields = pa.array([fields_of(r)[0] for r in batch.column("record").to_pylist()], pa.int32())
+            fields = pa.array([fields_of(r)[0] for some in _slices(batch.column("record")) for r in some], pa.int32())
             yield pa.RecordBatch.from_arrays([fields if i == at else c for i, c in enumerate(batch.columns)], schema=schema)
 
     return records.mapInArrow(run, records.schema)

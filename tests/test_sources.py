@@ -189,3 +189,14 @@ def test_types_of_many_columns_in_one_pass(spark, monkeypatch):
     assert kinds == {n: want[n.rstrip("01234567")] for n in names} and (total, surplus) == (3, 0) and len(jobs) == 0
     assert csv_files.infer_types(df.limit(0), ["i0"]) == ({"i0": "double"}, 0, 0)
     assert "contains" in str(csv_files._as_bigint(F.col("c"))).lower()
+
+
+def test_lines_are_taken_in_small_slices(monkeypatch):
+    """All values in order, few bytes at once, a longer one alone at most with its neighbours' slice."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(csv_records, "SLICE_BYTES", 100)
+    values = [b"x" * (i % 30) for i in range(500)] + [b"y" * 900, b"", None, b"z"]
+    slices = list(csv_records._slices(pa.array(values, pa.binary())))
+    assert [v for s in slices for v in s] == values and max(len(s) for s in slices) < 60 and len(slices) > 60
+    assert [v for s in csv_records._slices(pa.array([], pa.binary())) for v in s] == []
