@@ -207,7 +207,7 @@ def test_sliced_search_sends_ranges_instead_of_moving_cells(spark, monkeypatch):
 
     long = spark.range(900).selectExpr("cast(id % 3 as string) AS slice", "int(id % 2) AS pos", "double(id * 37 % 400) AS v")
     wanted = long.groupBy("slice", "pos").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("inside"))
-    wanted = wanted.select("slice", "pos", F.explode(F.array(F.lit(3), F.lit(70))).cast("bigint").alias("k"), "lo", "hi", "inside")
+    wanted = wanted.select("slice", "pos", F.explode(F.expr("array(3L, 70L)")).alias("k"), "lo", "hi", "inside")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         found = quantiles.sliced_order_statistics(long, wanted, ["slice", "pos"], sort_limit=20)
