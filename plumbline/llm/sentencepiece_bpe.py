@@ -87,37 +87,52 @@ class Encoder:
         self.pairs = Remembering(lambda pair: merge("".join(pair), vocabulary.pieces) == [*pair])
         spans = any(re.search(f"[^{SPACE}]{SPACE}", p) or "\n" in p for p in vocabulary.pieces)
         self.cuts = None if spans else re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+        self.decimal = {piece: str(i) for piece, (i, _) in vocabulary.pieces.items()}
 
     def tokens(self, text: str) -> list[str]:
         """The encoding as pieces (or single characters outside the vocabulary)."""
         n = len(text)
-        last: list[str | None] = [None] * (n + 1)
+        last: list[str | None] = [None] * n  # by the place of the token's last character
         fits = self.pairs  # (left, right): whether merging leaves the two tokens as they are
         for end, (size, token) in self.automaton.iter(text):  # ends ascend; at an end any order, one token fits
-            end += 1
             if last[end] is None:
-                start = end - size
-                if start:
-                    left = last[start]
+                before = end - size
+                if before >= 0:
+                    left = last[before]
                     if left is None:
-                        left = last[start] = text[start - 1]
+                        left = last[before] = text[before]
                     if not fits[left, token]:
                         continue
                 last[end] = token
         out, at = [], n
         while at:
-            token = last[at] or text[at - 1]
+            token = last[at - 1] or text[at - 1]
             out.append(token)
             at -= len(token)
         return out[::-1]
 
     def ids(self, text: str) -> list[int]:
+        return self.numbers(self.tokens(text))
+
+    def numbers(self, tokens: list[str]) -> list[int]:
         out: list[int] = []
-        for token in self.tokens(text):
+        for token in tokens:
             found = self.v.pieces.get(token)
             out += [found[0]] if found else [self.v.bytes_[b] for b in token.encode("utf-8", "replace")]
         return out
 
+    def joined(self, part: str, odd: dict[str, str]) -> str:
+        """Decimal ids of a part, joined by commas; its decoded text goes to `odd` if it is another. Pieces alone give the part."""
+        tokens = self.tokens(part)
+        try:
+            return ",".join([self.decimal[t] for t in tokens])
+        except KeyError:
+            ids = self.numbers(tokens)
+        text = self.pieces_text(ids)
+        if text != part.replace(SPACE, " "):
+            odd[part] = text
+        return ",".join(map(str, ids))
+
     def prepare(self, text: str) -> str:
         """The text that is encoded: spaces are escaped, one is put before."""
         return (SPACE if self.v.prefix and text else "") + text.replace(" ", SPACE)
@@ -179,15 +194,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, keep: dict[str, Column] | N
     def start():
         encoder = Encoder(vocabulary)
         odd: dict[str, str] = {}  # decoded text of the parts of one text that do not decode to themselves
-
-        def encode(part: str) -> str:
-            ids = encoder.ids(part)
-            text = encoder.pieces_text(ids)
-            if text != part.replace(SPACE, " "):
-                odd[part] = text
-            return ",".join(map(str, ids))
-
-        memory = Remembering(encode)
+        memory = Remembering(lambda part: encoder.joined(part, odd))
 
         def work(rows, texts):
             out = {c: rows.column(c) for c in carried}

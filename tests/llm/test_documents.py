@@ -319,6 +319,17 @@ def test_sentencepiece_random_texts():
         assert encoder.decode(ids) == sp.decode(ids)
 
 
+def test_parts_of_pieces_alone_are_not_decoded(monkeypatch):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    encoder, decoded, odd = sentencepiece_bpe.Encoder(sentencepiece_bpe.Vocabulary.load(MODEL)), [], {}
+    monkeypatch.setattr(encoder, "pieces_text", lambda ids: decoded.append(ids) or "?")
+    for text, times in (("hello", 0), ("The 12 cats", 0), ("x.", 0), ("a\U0001f9ff", 1)):
+        part = encoder.prepare(text)
+        assert encoder.joined(part, odd) == ",".join(map(str, library.encode(text)))
+        assert len(decoded) == times
+    assert odd == {part: "?"}
+
+
 def test_unigram_counts(messy, messy_rows, none):
     vocabulary = unigram_counts.Unigram.from_sentencepiece(MODEL)
     library = Tokenizer(models.Unigram([tuple(p) for p in vocabulary.pieces], vocabulary.unk, True))
