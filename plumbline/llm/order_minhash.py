@@ -5,12 +5,15 @@ its occurrence number, takes the l labelled shingles with the least hash and kee
 equal sketches need common shingles in a common order. Texts that share one of m sketches are candidates.
 
 Texts with the same words are collapsed first. In every bucket each text is compared with the bucket's least and greatest
-text, which is all pairs for buckets of up to three. Buckets of more that still hold several components are then finished
-exactly: their members are dealt to blocks of bounded size, and every block meets every block of its bucket. There all pairs
-of different components whose sizes allow the threshold are looked at (a pair in its first common bucket only), and those
-whose profiles allow it become candidates. A profile counts the shingles by hash in BINS bins; the sum of the lesser counts
-is never below the number of common shingles, so no link is lost. The first pass takes of each two blocks only a forest of
-candidates, so that groups of near copies join with few comparisons; the second takes all candidates that are left.
+text, which is all pairs for buckets of up to three. The texts of larger buckets that still hold several components are then
+finished exactly by their rarest shingles: the shingles of each (repeats told apart) are ordered by the number of these texts
+that have them, and of A shingles the first A - ceil(threshold * A) + 1 are kept; texts that reach the threshold have one of
+these in common, so no link is lost. Texts whose rarest shingles nobody else has are done. Where texts of several components
+share one, those outside its largest component meet each other and that component, in blocks of bounded size; texts of the
+largest component do not meet each other. All pairs of different components with a common sketch whose sizes allow the
+threshold are looked at there, and those whose profiles allow it become candidates. A profile counts the shingles by hash in
+BINS bins; the sum of the lesser counts is never below the number of common shingles. The first pass takes of each two blocks
+only a forest of candidates, so that groups of near copies join with few comparisons; the second takes all that are left.
 
 A candidate pair is linked if its alignment matches M shingles with M / (A + B - M) >= threshold, A
 and B being the numbers of shingles; an alignment with that many matches stays within a band of A + B - 2M places, so
@@ -30,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -214,19 +217,29 @@ def _profiles(how: Sketching):
         memory = WordHashes()
 
         def work(rows, texts):
-            out = []
+            out, grams = [], []
             for hashes in shingles(Words([t.lower() for t in texts], memory), how.k):
                 counts = np.bincount((hashes % np.uint64(BINS)).astype(np.int64), minlength=BINS)
                 out.append(counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32).tobytes())
-            yield {"key": rows.column("key"), "profile": out}
+                grams.append(labelled(hashes).view(np.int64))
+            yield {"key": rows.column("key"), "profile": out, "grams": grams}
 
         return work
 
     return start
 
 
+def _rarest(profiles: DataFrame, threshold: float) -> DataFrame:
+    """(gram, key): of each text its rarest shingles that another text has too, one of which any text like it has."""
+    grams = profiles.select("key", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    own = Window.partitionBy("key")
+    shared = grams.join(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "gram").select(
+        "gram", "key", "size", F.count("*").over(own).alias("common"), F.row_number().over(own.orderBy("n", "gram")).alias("place"))
+    return shared.where(F.col("place") <= F.col("common") + 1 - F.ceil(F.col("size") * threshold - 1e-6)).select("gram", "key")
+
+
 def _compared(group: dict[str, list], full: bool, threshold: float):
-    """Candidates (a, b) of the members of two blocks of a bucket (or of one): all, or a forest over their components."""
+    """Candidates (a, b) of the members of two blocks of a shingle (or of one): all, or a forest over their components."""
     numbers: dict[bytes, int] = {}
     root = np.asarray([numbers.setdefault(r, len(numbers)) for r in group["root"]])
     if len(numbers) < 2:
@@ -239,7 +252,7 @@ def _compared(group: dict[str, list], full: bool, threshold: float):
         return x
 
     keys, size, block = group["key"], np.asarray(group["size"], np.int64), np.asarray(group["block"])
-    sketches, bucket, two = np.asarray(group["sketches"], np.int64), group["bucket"][0], group["i"][0] != group["j"][0]
+    sketches, two = np.asarray(group["sketches"], np.int64), group["i"][0] != group["j"][0]
     profiles = np.stack([np.frombuffer(p, np.uint16 if len(p) == 2 * BINS else np.uint32) for p in group["profile"]])
     for x in range(len(keys) - 1):
         may = (root[x + 1 :] != root[x]) & (
@@ -248,7 +261,7 @@ def _compared(group: dict[str, list], full: bool, threshold: float):
             may &= block[x + 1 :] != block[x]
         at = np.flatnonzero(may) + x + 1
         if len(at):
-            at = at[sketches[x][np.argmax(sketches[at] == sketches[x], axis=1)] == bucket]
+            at = at[(sketches[at] == sketches[x]).any(axis=1)]
         if len(at):
             common = np.minimum(profiles[at], profiles[x]).sum(axis=1, dtype=np.int64)
             at = at[common >= needed(size[at] + size[x], threshold)]
@@ -260,7 +273,7 @@ def _compared(group: dict[str, list], full: bool, threshold: float):
 
 
 def _compare(full: bool, threshold: float):
-    """Rows sorted by (bucket, i, j) -> candidates."""
+    """Rows sorted by (gram, i, j) -> candidates."""
     def run(batches):
         group, last = None, None
 
@@ -268,7 +281,7 @@ def _compare(full: bool, threshold: float):
             return pa.RecordBatch.from_arrays([pa.array([p[n] for p in found], pa.binary()) for n in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            marks = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j"))))
+            marks = list(zip(*(batch.column(c).to_pylist() for c in ("gram", "i", "j"))))
             at, found = 0, []
             while at < len(marks):
                 to = at + 1
@@ -291,22 +304,38 @@ def _compare(full: bool, threshold: float):
 
 
 def _open(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(bucket, key, root, n) of the buckets of n > 3 members that hold several components."""
+    """The keys in buckets of more than three members that hold several components."""
     placed = members.join(found, members["key"] == found["node"], "left").select(
         "bucket", "key", F.coalesce("root", "key").alias("root"))
     mixed = placed.groupBy("bucket").agg(
         F.min("root").alias("one"), F.max("root").alias("other"), F.count("*").alias("n")).where("one <> other and n > 3")
-    return placed.join(mixed.select("bucket", "n"), "bucket")
+    return placed.join(mixed.select("bucket"), "bucket").select("key").distinct()
+
 
+def _meetings(rarest: DataFrame, found: DataFrame) -> DataFrame:
+    """(gram, i, j, key, root, block): the texts of several components that share a shingle, block against block.
 
-def _block_pairs(members: DataFrame, details: DataFrame, full: bool, how: Sketching) -> DataFrame:
-    """The candidates among the open members, block against block."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).select(
-        "bucket", "key", "root", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("x"))
-    rows = dealt.select("bucket", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "key", "root", "block")
-    sorted_rows = rows.join(details, "key").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return sorted_rows.mapInArrow(_compare(full, how.threshold), T.StructType.fromDDL("a binary, b binary")).distinct()
+    Blocks of the largest component follow those of the others and meet only these."""
+    placed = rarest.join(found, rarest["key"] == found["node"], "left").select(
+        "gram", "key", F.coalesce("root", "key").alias("root"))
+    sizes = placed.groupBy("gram", "root").agg(F.count("*").alias("k")).groupBy("gram").agg(
+        F.sum("k").alias("n"), F.max(F.struct("k", "root")).alias("most")).where("most.k < n")
+    few = F.col("n") <= BLOCK
+    others = F.when(few, 1).otherwise(F.ceil((F.col("n") - F.col("most.k")) / BLOCK)).cast("int")
+    largest = F.when(few, 0).otherwise(F.ceil(F.col("most.k") / BLOCK)).cast("int")
+    inside = ~few & (F.col("root") == F.col("most.root"))
+    dealt = placed.join(sizes, "gram").select(
+        "gram", "key", "root", F.when(inside, others).otherwise(0).alias("first"), F.when(inside, largest).otherwise(others).alias("own"),
+        F.when(inside, others).otherwise(others + largest).alias("met"))
+    met = dealt.withColumn("block", (F.col("first") + F.pmod(F.xxhash64("key"), F.col("own"))).cast("int")).select(
+        "gram", "key", "root", "block", F.explode(F.sequence(F.lit(0), F.col("met") - 1)).alias("x"))
+    return met.select("gram", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "key", "root", "block")
+
+
+def _block_pairs(rarest: DataFrame, found: DataFrame, details: DataFrame, full: bool, how: Sketching) -> DataFrame:
+    """The candidates among the texts of open buckets that share one of their rarest shingles."""
+    rows = _meetings(rarest, found).join(details, "key").repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+    return rows.mapInArrow(_compare(full, how.threshold), T.StructType.fromDDL("a binary, b binary")).distinct()
 
 
 def classes(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
@@ -321,17 +350,14 @@ def classes(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     seen = staged(_candidates(shared, how))
     edges = links(seen, texts, how)
     found = components(edges)
-    members, details = shared.select("bucket", "key"), None
+    keys = _open(shared.select("bucket", "key"), found)
+    profiles = staged(per_text(texts.join(keys, "key", "left_semi"), "text", {"key": F.col("key")}, _profiles(how),
+                               "key binary, profile binary, grams array<long>"))
+    rarest = staged(_rarest(profiles, how.threshold))
+    details = profiles.select("key", "profile").join(nodes.select("key", "size", "sketches"), "key")
+    details = staged(details.join(rarest.select("key").distinct(), "key", "left_semi"))
     for full in (False, True):
-        rest = staged(_open(members, found))
-        if rest.isEmpty():
-            break
-        if details is None:
-            keys = rest.select("key").distinct()
-            profiles = per_text(texts.join(keys, "key", "left_semi"), "text", {"key": F.col("key")}, _profiles(how),
-                                "key binary, profile binary")
-            details = staged(profiles.join(nodes.select("key", "size", "sketches"), "key"))
-        wanted = staged(_block_pairs(rest, details, full, how))
+        wanted = staged(_block_pairs(rarest, found, details, full, how))
         if wanted.isEmpty():
             break
         more = staged(wanted.join(seen, ["a", "b"], "left_anti"))

@@ -170,6 +170,40 @@ def test_star_of_near_copies(spark, monkeypatch, block):
     assert {r["class_id"] for r in got} == {0}
 
 
+def test_largest_component_meets_the_others_only(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "BLOCK", 10)
+    keys = [b"%03d" % i for i in range(200)]
+    rarest = spark.createDataFrame([(7, k) for k in keys] + [(8, k) for k in keys[:8]], "gram long, key binary")
+    found = spark.createDataFrame([(k, keys[0]) for k in keys[1:185]], "node binary, root binary")
+    met = collections.defaultdict(list)
+    for r in order_minhash._meetings(rarest, found).collect():
+        assert r["gram"] == 7
+        met[r["i"], r["j"]].append(r)
+    pairs = {frozenset((bytes(a["key"]), bytes(b["key"]))) for (i, j), rows in met.items() for a in rows for b in rows
+             if a["root"] != b["root"] and (i == j or a["block"] != b["block"])}
+    assert pairs == {frozenset((a, b)) for a in keys for b in keys[185:] if a != b}
+    assert sum(map(len, met.values())) <= 2 * 185 + 15 * (2 + 19)  # 4,000 if each block met each
+
+
+def test_like_texts_share_a_rare_shingle(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        w = [f"v{j % 90}" for j in range(100)]
+        for at in rng.sample(range(100), rng.randint(0, 5)):
+            w[at : at + rng.randint(0, 2)] = [f"e{rng.randrange(9)}"]
+        rows.append(" ".join(w).encode())
+    hashes = [order_minhash.shingles(order_minhash.Words([t], order_minhash.WordHashes()), 5)[0] for t in rows]
+    grams = spark.createDataFrame(
+        [(b"%d" % i, order_minhash.labelled(h).view(np.int64).tolist()) for i, h in enumerate(hashes)], "key binary, grams array<long>")
+    kept = collections.defaultdict(set)
+    for r in order_minhash._rarest(grams, 0.8).collect():
+        kept[int(bytes(r["key"]))].add(r["gram"])
+    linked = [(i, j) for i in range(60) for j in range(i) if order_minhash.aligned(hashes[i], hashes[j], 0.8)]
+    assert len(linked) > 100 and all(kept[i] & kept[j] for i, j in linked)
+    assert max(map(len, kept.values())) <= 30
+
+
 # --- repeated passages ----------------------------------------------------------
 
 
