@@ -13,7 +13,8 @@ share one, those outside its largest component meet each other and that componen
 largest component do not meet each other. All pairs of different components with a common sketch whose sizes allow the
 threshold are looked at there, and those whose profiles allow it become candidates. A profile counts the shingles by hash in
 BINS bins; the sum of the lesser counts is never below the number of common shingles. The first pass takes of each two blocks
-only a forest of candidates, so that groups of near copies join with few comparisons; the second takes all that are left.
+only a forest of candidates, so that groups of near copies join with few comparisons; the second takes all that are left, each
+at the least shingle that both texts have, as far as the MARKS least rare shingles that each text carries along tell.
 
 A candidate pair is linked if its alignment matches M shingles with M / (A + B - M) >= threshold, A
 and B being the numbers of shingles; an alignment with that many matches stays within a band of A + B - 2M places, so
@@ -49,9 +50,10 @@ class Sketching:
     threshold: float = 0.8
 
 
-#: Bins of a profile and members of a block.
+#: Bins of a profile, members of a block, and rare shingles that a text carries along.
 BINS = 512
 BLOCK = 512
+MARKS = 64
 
 
 def shingles(words: Words, k: int) -> list[np.ndarray]:
@@ -239,7 +241,9 @@ def _rarest(profiles: DataFrame, threshold: float) -> DataFrame:
 
 
 def _compared(group: dict[str, list], full: bool, threshold: float):
-    """Candidates (a, b) of the members of two blocks of a shingle (or of one): all, or a forest over their components."""
+    """Candidates (a, b) of the members of two blocks of a shingle (or of one): all, or a forest over their components.
+
+    All are without those that have a lesser shingle among the marks of both and meet there."""
     numbers: dict[bytes, int] = {}
     root = np.asarray([numbers.setdefault(r, len(numbers)) for r in group["root"]])
     if len(numbers) < 2:
@@ -252,6 +256,8 @@ def _compared(group: dict[str, list], full: bool, threshold: float):
         return x
 
     keys, size, block = group["key"], np.asarray(group["size"], np.int64), np.asarray(group["block"])
+    gram = group["gram"][0]
+    lesser = [{m for m in marks if m < gram} for marks in group["marks"]] if full else None
     sketches, two = np.asarray(group["sketches"], np.int64), group["i"][0] != group["j"][0]
     profiles = np.stack([np.frombuffer(p, np.uint16 if len(p) == 2 * BINS else np.uint32) for p in group["profile"]])
     for x in range(len(keys) - 1):
@@ -266,6 +272,8 @@ def _compared(group: dict[str, list], full: bool, threshold: float):
             common = np.minimum(profiles[at], profiles[x]).sum(axis=1, dtype=np.int64)
             at = at[common >= needed(size[at] + size[x], threshold)]
         for y in at.tolist():
+            if full and not lesser[x].isdisjoint(lesser[y]):
+                continue
             one, other = find(root[x]), find(root[y])
             if full or one != other:
                 above[one] = other
@@ -303,6 +311,12 @@ def _compare(full: bool, threshold: float):
     return run
 
 
+def _details(profiles: DataFrame, rarest: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, profile, size, sketches, marks) of the texts with rare shingles; marks are the least of these."""
+    marks = rarest.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("gram")), 1, MARKS).alias("marks"))
+    return profiles.select("key", "profile").join(nodes.select("key", "size", "sketches"), "key").join(marks, "key")
+
+
 def _open(members: DataFrame, found: DataFrame) -> DataFrame:
     """The keys in buckets of more than three members that hold several components."""
     placed = members.join(found, members["key"] == found["node"], "left").select(
@@ -354,8 +368,7 @@ def classes(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     profiles = staged(per_text(texts.join(keys, "key", "left_semi"), "text", {"key": F.col("key")}, _profiles(how),
                                "key binary, profile binary, grams array<long>"))
     rarest = staged(_rarest(profiles, how.threshold))
-    details = profiles.select("key", "profile").join(nodes.select("key", "size", "sketches"), "key")
-    details = staged(details.join(rarest.select("key").distinct(), "key", "left_semi"))
+    details = staged(_details(profiles, rarest, nodes))
     for full in (False, True):
         wanted = staged(_block_pairs(rarest, found, details, full, how))
         if wanted.isEmpty():

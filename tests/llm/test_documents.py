@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer, models
@@ -185,6 +186,38 @@ def test_largest_component_meets_the_others_only(spark, monkeypatch):
     assert sum(map(len, met.values())) <= 2 * 185 + 15 * (2 + 19)  # 4,000 if each block met each
 
 
+@pytest.mark.parametrize("marks", [64, 3])
+def test_texts_with_many_common_shingles_meet_once(spark, monkeypatch, marks):
+    """Near copies in components of their own share almost all rare shingles; each pair comes from one of them."""
+    monkeypatch.setattr(order_minhash, "MARKS", marks, raising=False)
+    rng = random.Random(5)
+    rows = []
+    for _ in range(24):
+        w = [f"v{j}" for j in range(120)]
+        w[rng.randrange(120)] = f"e{rng.random()}"
+        rows.append(" ".join(w).encode())
+    hashes = [order_minhash.shingles(order_minhash.Words([t], order_minhash.WordHashes()), 5)[0] for t in rows]
+    grams = [order_minhash.labelled(h).view(np.int64).tolist() for h in hashes]
+    rarest = order_minhash._rarest(
+        spark.createDataFrame([(b"%02d" % i, g) for i, g in enumerate(grams)], "key binary, grams array<long>"), 0.8)
+    kept = collections.defaultdict(list)
+    for r in rarest.collect():
+        kept[r["gram"]].append(int(bytes(r["key"])))
+    common = sum(len(k) * (len(k) - 1) // 2 for k in kept.values())
+    profiles = [np.bincount((h % np.uint64(order_minhash.BINS)).astype(np.int64), minlength=order_minhash.BINS).astype(np.uint16) for h in hashes]
+    own = collections.defaultdict(list)
+    for g, members in kept.items():
+        for i in members:
+            own[i].append(g)
+    members = [{"gram": g, "i": 0, "j": 0, "key": b"%02d" % i, "root": b"%02d" % i, "block": 0, "profile": profiles[i].tobytes(),
+                "size": len(grams[i]), "sketches": [1], "marks": sorted(own[i])[:marks]} for g in sorted(kept) for i in kept[g]]
+    batches = pa.Table.from_pylist(members).to_batches(max_chunksize=50)
+    found = [(r["a"], r["b"]) for b in order_minhash._compare(True, 0.8)(batches) for r in b.to_pylist()]
+    want = {(b"%02d" % i, b"%02d" % j) for k in kept.values() for i in k for j in k if i < j}
+    assert set(found) == want and common > 10 * len(want)
+    assert len(found) == len(want) if marks == 64 else len(found) < common / 2
+
+
 def test_like_texts_share_a_rare_shingle(spark):
     rng = random.Random(12)
     rows = []
