@@ -24,26 +24,29 @@ scored each and count each in training; without training documents all counts ar
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.llm.text import mix, slices, staged
+from plumbline.session import shared_dir
 
 END = 0xFF  # no UTF-8 text has this byte
 #: Bytes of context whose hash deals a window to its block; every order but the first is at least as long.
 DEALT = 3
-#: Bytes looked at at once; one of so many windows is noted to estimate their number; rows merged by one task.
-PIECE, NOTED, FAN_IN = 1 << 20, 1024, 256
+#: Bytes looked at at once; events sorted at once; one of so many windows is noted to estimate their number; rows merged by one task.
+PIECE, GATHERED, NOTED, FAN_IN = 1 << 18, 6 << 20, 1024, 256
+ZSTD = pa.Codec("zstd", compression_level=6)
 
 
 @dataclass(frozen=True)
@@ -53,7 +56,7 @@ class Mixing:
     rate: float = 0.1
     batch: int = 4096
     buckets: int = 33
-    chunk_bytes: int = 16 << 20
+    chunk_bytes: int = 12 << 20
     block_windows: int = 1 << 18
     least_blocks: int = 16
     frequent_words: int = 1 << 17
@@ -106,14 +109,35 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return _counted(*(np.concatenate(x) for x in zip(*parts))) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _marked(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct windows and how many of each have no mark in their last bit."""
-    values = np.concatenate(parts)
+def _marked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows and how many of each have no mark in their last bit; sorts the values in place."""
     values.sort()
-    windows = values >> np.uint64(1)
-    first = np.flatnonzero(np.concatenate(([True], windows[1:] != windows[:-1])))[: len(windows)]
-    n = np.add.reduceat((~values & np.uint64(1)).astype(np.int64), first) if len(first) else first
-    return windows[first], n
+    new, marks = np.ones(len(values), bool), np.empty(len(values), np.uint8)
+    for begin in range(0, len(values), PIECE):
+        own = values[begin : begin + PIECE]
+        marks[begin : begin + PIECE] = own & np.uint64(1)
+        before = values[max(0, begin - 1) : begin + len(own) - 1]
+        new[max(1, begin) : begin + len(own)] = (own[len(own) - len(before) :] ^ before) > np.uint64(1)
+    first = np.flatnonzero(new)
+    n = np.diff(first, append=len(values))
+    if len(first):
+        n -= np.add.reduceat(marks, first, dtype=np.int64)
+    return values[first] >> np.uint64(1), n
+
+
+def distinct_windows(texts: list[bytes | None], held: list[bool], how: Mixing) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows of the texts, ascending, and how often each stands in those not held out."""
+    flags = np.asarray(held).astype(np.uint64)
+    events = sum(len(t or b"") + 1 for t in texts)
+    values, used, parts = np.empty(min(events, max(GATHERED, PIECE)), np.uint64), 0, []
+    for windows, text in stream(texts, how.width):
+        if used + len(windows) > len(values):
+            parts, used = [_merged([*parts, _marked(values[:used])])], 0
+        np.bitwise_or(windows << np.uint64(1), flags[text], out=values[used : used + len(windows)])
+        used += len(windows)
+    parts.append(_marked(values[:used]))
+    del values
+    return _merged(parts) if len(parts) > 1 else parts[0]
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -124,13 +148,33 @@ def _unpacked(data: bytes, kind=np.uint64) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), kind)
 
 
+def _shrunk(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + ZSTD.compress(data, asbytes=True)
+
+
+def _restored(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return ZSTD.decompress(data[8:], size, asbytes=True) if size else b""
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones and so on, which shrinks better."""
+    return _shrunk(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+
+
+def _values(data: bytes, kind=np.uint64) -> np.ndarray:
+    bytes_ = np.frombuffer(_restored(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(bytes_.T).view(kind).ravel()
+
+
 def _steps(windows: np.ndarray) -> bytes:
     """Ascending windows as their differences."""
-    return _packed(np.diff(windows, prepend=np.uint64(0)))
+    return _planes(np.diff(windows, prepend=np.uint64(0)))
 
 
 def _windows(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpacked(data), dtype=np.uint64)
+    steps = _values(data)
+    return np.cumsum(steps, out=steps)
 
 
 CHUNK = ("chunk long, doc_ids array<long>, held array<boolean>, lengths binary, texts binary, windows binary, counts binary, "
@@ -143,19 +187,12 @@ def chunks(docs: DataFrame, held_out, how: Mixing) -> DataFrame:
     schema = to_arrow_schema(struct)
 
     def packed(number, ids, held, texts):
-        parts, waiting, flags = [], [], np.asarray(held).astype(np.uint64)
-        for windows, text in stream(texts, how.width):
-            waiting.append((windows << np.uint64(1)) | flags[text])
-            if len(waiting) == 4:
-                parts, waiting = parts + [_marked(waiting)], []
-            if len(parts) > 8:
-                parts = [_merged(parts)]
-        windows, n = _merged(parts + [_marked(waiting)] if waiting else parts)
+        windows, n = distinct_windows(texts, held, how)
         lengths = np.fromiter((-1 if t is None else len(t) for t in texts), np.int64, len(texts))
         return pa.RecordBatch.from_pylist([{
             "chunk": number, "doc_ids": ids, "held": held, "lengths": _packed(lengths),
-            "texts": zlib.compress(b"".join([t.lower() for t in texts if t]), 1), "windows": _steps(windows),
-            "counts": _packed(n), "noted": windows[mix(windows) % np.uint64(NOTED) == 0].astype(np.int64).tolist()}], schema)
+            "texts": _shrunk(b"".join([t.lower() for t in texts if t])), "windows": _steps(windows),
+            "counts": _planes(n), "noted": windows[mix(windows) % np.uint64(NOTED) == 0].astype(np.int64).tolist()}], schema)
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
@@ -172,6 +209,7 @@ def chunks(docs: DataFrame, held_out, how: Mixing) -> DataFrame:
                 size += more
         if texts:
             yield packed(number, ids, held, texts)
+        pa.default_memory_pool().release_unused()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"),
                        F.col("text").cast("binary").alias("text"))
@@ -188,9 +226,10 @@ def block_of(windows: np.ndarray, blocks: int) -> np.ndarray:
 
 def _split(windows: np.ndarray, blocks: int) -> list[np.ndarray]:
     """Places of the windows of each block, in the order of the windows."""
-    block = block_of(windows, blocks)
-    order = np.argsort(block, kind="stable")
-    return np.split(order, np.searchsorted(block[order], np.arange(1, blocks)))
+    block = np.empty(len(windows), np.uint16 if blocks <= 1 << 16 else np.int64)
+    for begin in range(0, len(windows), PIECE):
+        block[begin : begin + PIECE] = block_of(windows[begin : begin + PIECE], blocks)
+    return np.split(np.argsort(block, kind="stable"), np.cumsum(np.bincount(block, minlength=blocks))[:-1])
 
 
 def parts(packed: DataFrame, blocks: int) -> DataFrame:
@@ -201,9 +240,9 @@ def parts(packed: DataFrame, blocks: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for chunk, data, counts in zip(*batch.columns):
-                windows, n = _windows(data.as_py()), _unpacked(counts.as_py(), np.int64)
+                windows, n = _windows(data.as_py()), _values(counts.as_py(), np.int64)
                 yield pa.RecordBatch.from_pylist([
-                    {"block": b, "chunk": chunk.as_py(), "windows": _steps(windows[at]), "counts": _packed(n[at])}
+                    {"block": b, "chunk": chunk.as_py(), "windows": _steps(windows[at]), "counts": _planes(n[at])}
                     for b, at in enumerate(_split(windows, blocks)) if len(at)], schema)
 
     return packed.select("chunk", "windows", "counts").mapInArrow(run, struct)
@@ -214,19 +253,23 @@ def merged(own: DataFrame, salts: int) -> DataFrame:
     struct = T.StructType.fromDDL("block int, chunk long, windows binary, counts binary")
     schema = to_arrow_schema(struct)
 
-    def add(table: pa.Table) -> pa.Table:
+    def add(table: pa.Table, last: bool) -> pa.Table:
         sums, waiting = [], 0
         for w, n in zip(table.column("windows"), table.column("counts")):
-            sums.append((_windows(w.as_py()), _unpacked(n.as_py(), np.int64)))
+            sums.append((_windows(w.as_py()), _values(n.as_py(), np.int64)))
             waiting += len(sums[-1][0])
-            if waiting > 1 << 22:
+            if waiting > 1 << 21:
                 sums, waiting = [_merged(sums)], 0
         windows, n = _merged(sums)
         return pa.Table.from_pylist([{"block": table.column("block")[0].as_py(), "chunk": table.column("chunk")[0].as_py(),
-                                      "windows": _steps(windows), "counts": _packed(n)}], schema)
+                                      "windows": _steps(windows), "counts": _packed(n) if last else _planes(n)}], schema)
+
+    def added(last: bool):
+        return lambda table: add(table, last)
 
     while True:
-        own = own.withColumn("salt", F.pmod(F.xxhash64("chunk", F.lit(salts)), F.lit(salts))).groupBy("block", "salt").applyInArrow(add, struct)
+        own = own.withColumn("salt", F.pmod(F.xxhash64("chunk", F.lit(salts)), F.lit(salts))).groupBy("block", "salt").applyInArrow(
+            added(salts == 1), struct)
         if salts == 1:
             return own.select("block", "windows", "counts")
         salts = -(-salts // FAN_IN)
@@ -379,11 +422,13 @@ def _on_blocks(blocks: DataFrame, mixer: Mixer, fn, schema: str) -> DataFrame:
 
 
 def _gathered(blocks: DataFrame, mixer: Mixer, fn) -> tuple[np.ndarray, float]:
-    """Sum of fn over the blocks in their order, added a group of blocks at a time, and the training events."""
+    """Sum of fn over the blocks in their order, added a group of blocks at a time, and the training events.
+
+    The rows are staged, as sorting looks at its input twice."""
     def result(own, block):
         return {"values": fn(own, block).ravel().tolist(), "n": float(block.n.sum())}
 
-    rows = _on_blocks(blocks, mixer, result, "values array<double>, n double")
+    rows = staged(_on_blocks(blocks, mixer, result, "values array<double>, n double"))
     sums, total = np.zeros(1), 0.0
     for row in rows.orderBy("block").toLocalIterator():
         sums, total = sums + np.asarray(row["values"]), total + row["n"]
@@ -419,7 +464,7 @@ def train(blocks: DataFrame, how: Mixing = Mixing()) -> Mixer:
 def window_scores(packed: DataFrame, blocks: DataFrame, number: int, salts: int, mixer: Mixer) -> DataFrame:
     """(chunk, block, scores): log10 probabilities of the chunk's windows of the block, in the order of the windows."""
     def result(own, block):
-        return {"windows": _steps(block.windows), "scores": _packed(own.log10(block).astype(np.float32))}
+        return {"windows": _steps(block.windows), "scores": _planes(own.log10(block).astype(np.float32))}
 
     scored = staged(_on_blocks(blocks, mixer, result, "windows binary, scores binary")).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -431,11 +476,11 @@ def window_scores(packed: DataFrame, blocks: DataFrame, number: int, salts: int,
     def look(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if len(left):
-            windows, scores = _windows(right.column("windows")[0].as_py()), _unpacked(right.column("scores")[0].as_py(), np.float32)
+            windows, scores = _windows(right.column("windows")[0].as_py()), _values(right.column("scores")[0].as_py(), np.float32)
             block = right.column("block")[0].as_py()
             for chunk, data in zip(left.column("chunk").to_pylist(), left.column("windows")):
                 rows.append({"chunk": chunk, "block": block,
-                             "scores": scores[np.searchsorted(windows, _windows(data.as_py()))].tobytes()})
+                             "scores": _planes(scores[np.searchsorted(windows, _windows(data.as_py()))])})
         return pa.Table.from_pylist(rows, schema)
 
     return own.groupBy("block", "salt").cogroup(scored.groupBy("block", "salt")).applyInArrow(look, struct)
@@ -449,7 +494,9 @@ class Lookup:
         bits = max(1, int(len(windows) * 4).bit_length())
         self.shift = np.uint64(64 - bits)
         self.places = np.zeros(1 << bits, np.int32)
-        self.places[self.hashed(windows)] = np.arange(len(windows))
+        for begin in range(0, len(windows), PIECE):
+            own = windows[begin : begin + PIECE]
+            self.places[self.hashed(own)] = np.arange(begin, begin + len(own), dtype=np.int32)
 
     def hashed(self, windows: np.ndarray) -> np.ndarray:
         return ((windows * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -461,6 +508,25 @@ class Lookup:
         return self.scores[at]
 
 
+def text_scores(texts: list[bytes], windows: np.ndarray, found: Iterable[tuple[int, bytes]], number: int, how: Mixing) -> np.ndarray:
+    """Sum of the windows' scores over the events of each text; found has the scores of each block's windows."""
+    values, places = np.empty(len(windows), np.float32), _split(windows, number)
+    for block, data in found:
+        values[places[block]] = _values(data, np.float32)
+    del places
+    lookup, model = Lookup(windows, values), np.zeros(len(texts))
+    for events, text in stream(texts, how.width):
+        low = int(text[0]) if len(text) else 0
+        sums = np.bincount(text - low, lookup.of(events))
+        model[low : low + len(sums)] += sums
+    return model
+
+
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # --- base model and scores ----------------------------------------------------
 
 
@@ -502,7 +568,9 @@ def scores(docs: DataFrame, how: Mixing = Mixing(), held_out=is_held_out) -> Dat
     total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, kinds = total + ends, kinds + (ends > 0)
     often = {bytes(r["word"]): r["c"] for r in words.orderBy(F.desc("c"), "word").limit(how.frequent_words).collect()}
-    packed = staged(chunks(docs, held_out, how))
+    place = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    chunks(docs, held_out, how).write.parquet(place)
+    packed = spark.read.schema(CHUNK).parquet(place)
     blocks, number, salts = counted(packed, how)
     mixer = train(blocks, how)
     found = window_scores(packed, blocks, number, salts, mixer)
@@ -515,19 +583,15 @@ def scores(docs: DataFrame, how: Mixing = Mixing(), held_out=is_held_out) -> Dat
     schema = to_arrow_schema(struct)
 
     def judged(left: pa.Table, right: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         known = words_sent.value
         row = left.slice(0, 1).to_pylist()[0]
-        lengths, raw, windows = _unpacked(row["lengths"], np.int64), zlib.decompress(row["texts"]), _windows(row["windows"])
+        lengths, raw = _unpacked(row["lengths"], np.int64), _restored(row.pop("texts"))
         ends_at = np.cumsum(np.maximum(lengths, 0))
         texts = [raw[e - max(0, n) : e] for n, e in zip(lengths.tolist(), ends_at.tolist())]
-        values, places = np.empty(len(windows), np.float32), _split(windows, number)
-        for block, data in zip(right.column("block").to_pylist(), right.column("scores")):
-            values[places[block]] = np.frombuffer(data.as_py(), np.float32)
-        lookup, model = Lookup(windows, values), np.zeros(len(texts))
-        for events, text in stream(texts, how.width):
-            low = int(text[0]) if len(text) else 0
-            sums = np.bincount(text - low, lookup.of(events))
-            model[low : low + len(sums)] += sums
+        del raw
+        found_here = zip(right.column("block").to_pylist(), (d.as_py() for d in right.column("scores")))
+        model = text_scores(texts, _windows(row.pop("windows")), found_here, number, how)
         sizes, n_tokens, n_often, often_sum, rest, times = [0], [], [], [], [], []
         for t in texts:
             n, s, m = 1, end, 1 if ends else 0
@@ -554,6 +618,7 @@ def scores(docs: DataFrame, how: Mixing = Mixing(), held_out=is_held_out) -> Dat
     texts = packed.select("chunk", "doc_ids", "held", "lengths", "texts", "windows")
     rows = texts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(judged, struct)
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()))
+    _delete(spark, place)  # all that follows needs only the staged rows and words
     rare = rows.select("row", F.inline("rest")).join(words, "word").groupBy("row").agg(
         F.sum("k").alias("n_rare"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("rare_sum"))
     return rows.join(rare, "row", "left").select(

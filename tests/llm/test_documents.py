@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import textwrap
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -493,6 +494,44 @@ def test_counters_against_brute_force(spark):
     assert found == seen
 
 
+def test_distinct_windows_of_a_chunk(monkeypatch):
+    """Against brute force, sorted at once or in parts, in a few times the bytes of the texts."""
+    rng = random.Random(9)
+    texts = [None, b"", b"A", *(" ".join(rng.choice(("so", "it", "goes")) for _ in range(rng.randint(1, 90))).encode() for _ in range(80))]
+    held = [rng.random() < 0.3 for _ in texts]
+    want = collections.Counter()
+    for t, out in zip(texts, held):
+        raw = b"\xff" * 6 + (t or b"").lower() + b"\xff"
+        for at in range(6, len(raw)):
+            want[int.from_bytes(raw[at - 6 : at + 1], "big")] += not out
+    for gathered, piece in ((1 << 20, 1 << 20), (1500, 700)):
+        monkeypatch.setattr(context_mixing, "GATHERED", gathered)
+        monkeypatch.setattr(context_mixing, "PIECE", piece)
+        windows, n = context_mixing.distinct_windows(texts, held, context_mixing.Mixing())
+        assert dict(zip(windows.tolist(), n.tolist())) == dict(want) and (np.diff(windows.astype(np.int64)) > 0).all()
+    monkeypatch.undo()
+    large = [rng.randbytes(1 << 19).hex().encode() for _ in range(4)]
+    tracemalloc.start()
+    context_mixing.distinct_windows(large, [False] * 4, context_mixing.Mixing())
+    assert tracemalloc.get_traced_memory()[1] < 45 * sum(map(len, large))
+    tracemalloc.stop()
+
+
+def test_each_block_is_worked_on_once_per_pass(spark):
+    _, docs = small_talk(spark)
+    how = context_mixing.Mixing(least_blocks=3)
+    blocks, _, _ = context_mixing.counted(context_mixing.staged(context_mixing.chunks(docs, context_mixing.is_held_out, how)), how)
+    mixer = context_mixing.Mixer(how, context_mixing.first_counts(blocks))
+    calls = spark.sparkContext.accumulator(0)
+
+    def fn(own, block):
+        calls.add(1)
+        return np.ones(2)
+
+    sums, _ = context_mixing._gathered(blocks, mixer, fn)
+    assert sums.tolist() == [blocks.count()] * 2 and calls.value == blocks.count()
+
+
 def test_scores_do_not_depend_on_partitioning(spark, messy, monkeypatch):
     def scored(docs, **more):
         rows = context_mixing.scores(docs, context_mixing.Mixing(least_blocks=3, **more)).collect()
