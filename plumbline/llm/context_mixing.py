@@ -45,7 +45,7 @@ END = 0xFF  # no UTF-8 text has this byte
 #: Bytes of context whose hash deals a window to its block; every order but the first is at least as long.
 DEALT = 3
 #: Bytes looked at at once; events sorted at once; one of so many windows is noted to estimate their number; rows merged by one task.
-PIECE, GATHERED, NOTED, FAN_IN = 1 << 18, 6 << 20, 1024, 256
+PIECE, GATHERED, NOTED, FAN_IN = 1 << 17, 6 << 20, 1024, 256
 ZSTD = pa.Codec("zstd", compression_level=6)
 
 
@@ -56,7 +56,7 @@ class Mixing:
     rate: float = 0.1
     batch: int = 4096
     buckets: int = 33
-    chunk_bytes: int = 12 << 20
+    chunk_bytes: int = 8 << 20
     block_windows: int = 1 << 18
     least_blocks: int = 16
     frequent_words: int = 1 << 17
@@ -73,6 +73,19 @@ def is_held_out(doc_id: Column) -> Column:
 # --- windows ------------------------------------------------------------------
 
 
+def _runs(data: np.ndarray, k: int) -> np.ndarray:
+    """The k bytes from each place as one number, put together from runs of 1, 2, 4 ... bytes."""
+    run, size, out, done = data.astype(np.uint64), 1, np.zeros(len(data), np.uint64), 0
+    while True:
+        if k & size:
+            out = (out[: len(data) - done - size + 1] << np.uint64(8 * size)) | run[done:]
+            done += size
+        if done == k:
+            return out
+        run = (run[:-size] << np.uint64(8 * size)) | run[size:]
+        size *= 2
+
+
 def stream(texts: list[bytes | None], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(windows of `width` context bytes and the byte that follows, as numbers; text of each), piece by piece.
 
@@ -83,12 +96,10 @@ def stream(texts: list[bytes | None], width: int) -> Iterator[tuple[np.ndarray,
     starts = np.cumsum(lengths + width - 1) - (lengths + width - 1)
     for begin in range(0, len(raw) - width, PIECE):
         own = raw[begin : begin + PIECE + width]
-        packed = np.zeros(len(own) - width, np.uint64)
-        for j in range(width + 1):
-            packed = (packed << np.uint64(8)) | own[j : j + len(packed)]
+        packed = _runs(own, width + 1)
         first = int(np.searchsorted(starts, begin, "right")) - 1
         last = int(np.searchsorted(starts, begin + len(packed), "left"))
-        text = np.repeat(np.arange(first, last), np.diff(np.append(starts[first:last], len(raw))))
+        text = np.repeat(np.arange(first, last), np.diff(np.append(starts[first:last], begin + len(packed))))
         text = text[begin - starts[first] :][: len(packed)]
         event = begin + np.arange(len(packed)) - starts[text] < lengths[text]
         yield packed[event], text[event]
